@@ -97,8 +97,8 @@ ORACLE: dict[str, str] = {
         size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
         common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
         link AS (SELECT x, y FROM common JOIN size a ON a.doc_id = x JOIN size b ON b.doc_id = y WHERE 100 * i >= 80 * (a.n + b.n - i)),
-        both AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
-        reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, both.y FROM reach JOIN both ON both.x = reach.r)
+        pair AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+        reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, pair.y FROM reach JOIN pair ON pair.x = reach.r)
         SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, d.doc_id = c AS kept
         FROM (SELECT doc_id, min(r) AS c FROM reach GROUP BY doc_id) d LEFT JOIN size USING (doc_id)
     """,
