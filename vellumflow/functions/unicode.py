@@ -7,15 +7,16 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normal_name(names: pd.Series) -> pd.Series:
     """NFKC with white space squeezed."""
     return names.map(lambda s: None if s is None else " ".join(unicodedata.normalize("NFKC", s).split()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_key(names: pd.Series) -> pd.Series:
     """Letters and digits of the folded name without marks, in words."""
 
@@ -28,6 +29,6 @@ def canonical_key(names: pd.Series) -> pd.Series:
     return names.map(key)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def casefolded(texts: pd.Series) -> pd.Series:
     return texts.map(lambda s: None if s is None else s.casefold())

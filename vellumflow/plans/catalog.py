@@ -1,4 +1,7 @@
-"""Named queries over the driver's tables, with SQL of the same meaning."""
+"""Named queries over the driver's tables, with SQL of the same meaning.
+
+The driver's tables are no papers; each query names the columns that stand in for a paper's.
+"""
 
 from __future__ import annotations
 
@@ -6,22 +9,449 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from vellumflow.functions import text as T
+from vellumflow.operators import curation, library, metrics, split, terms, upsert
+from vellumflow.operators.claims import with_claims
+from vellumflow.operators.features import matched, used
+from vellumflow.operators.selection import prompt_text
+from vellumflow.sources.shards import shard_counts
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+SENTENCES = r"string_split(regexp_replace({}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
+SQUEEZED = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+MARKERS = ("license", "token")
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Library
+
+
+@query(
+    """
+    SELECT doc_id, lang, source, n_chars
+    FROM (SELECT * FROM documents ORDER BY doc_id DESC LIMIT 500)
+    WHERE contains(lower(text), 'license') AND lang = 'en'
+    ORDER BY doc_id DESC LIMIT 100
+    """
+)
+def library_page(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("*", F.array("lang", "source").alias("categories"), F.col("text").alias("title"), F.lit("").alias("abstract"), F.array().cast("array<string>").alias("authors"), F.col("doc_id").cast("string").alias("key"))
+    page = library.search(docs, "license", "en", 100, by="doc_id", key="key")
+    return page.select("doc_id", "lang", "source", "n_chars")
+
+
+@query("SELECT doc_id, lang, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50")
+def newest_rows(spark, sf_dir):
+    return library.newest(table(spark, sf_dir, "documents"), 50, "n_chars", "doc_id").select("doc_id", "lang", "n_chars")
+
+
+@query("SELECT doc_id, lang, source FROM documents WHERE doc_id = 7")
+def point_lookup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "arxiv_id")
+    return library.lookup(docs, 7).select(F.col("arxiv_id").alias("doc_id"), "lang", "source")
+
+
+def _papers_and_features(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    papers = docs.select(F.col("doc_id").alias("arxiv_id"), F.concat(F.lit("v"), F.pmod("doc_id", F.lit(2)).cast("string")).alias("versioned_id"), F.col("n_chars").alias("published_at"))
+    features = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("arxiv_id"),
+        F.concat(F.lit("v"), F.col("quality").cast("string")).alias("source_versioned_id"),
+        F.lit("rules").alias("extractor"),
+        F.col("toxic").cast("string").alias("extractor_version"),
+        F.lit(None).cast("string").alias("prompt_version"),
+        F.lit("").alias("features"),
+    )
+    return papers, features
+
+
+@query(
+    """
+    SELECT d.doc_id AS arxiv_id FROM documents d LEFT JOIN labels l USING (doc_id)
+    WHERE l.doc_id IS NULL OR l.quality <> d.doc_id % 2 OR l.toxic <> 0
+    ORDER BY n_chars, d.doc_id LIMIT 100
+    """
+)
+def work_list(spark, sf_dir):
+    papers, features = _papers_and_features(spark, sf_dir)
+    return library.work_list(papers, features, "rules", "0", None, 100).select("arxiv_id")
+
+
+@query("SELECT d.doc_id AS arxiv_id, 'v' || (d.doc_id % 2) AS versioned_id FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = d.doc_id % 2")
+def fresh_features(spark, sf_dir):
+    papers, features = _papers_and_features(spark, sf_dir)
+    return library.current_features(papers, features).select("arxiv_id", "versioned_id")
+
+
+@query("SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
+def missing_parents(spark, sf_dir):
+    return library.orphans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id").select("doc_id")
+
+
+@query("SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM labels) AS labels, (SELECT count(*) FROM events) AS events, (SELECT count(*) FROM pages) AS pages")
+def store_counts(spark, sf_dir):
+    return library.store_counts(**{n: table(spark, sf_dir, n) for n in ("documents", "labels", "events", "pages")})
+
+
+@query("SELECT DISTINCT unnest([lang, source]) AS category FROM documents")
+def distinct_categories(spark, sf_dir):
+    return library.categories(table(spark, sf_dir, "documents").select(F.array("lang", "source").alias("categories")))
+
+
+# Revisions
+
+_ARRIVALS = """
+    WITH s AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last FROM events),
+    t AS (SELECT event_id, user_id, CASE WHEN last IS NULL THEN 'inserted' WHEN last = event_type THEN 'unchanged' ELSE 'updated' END AS status FROM s)
+"""
+
+
+def _statuses(spark, sf_dir):
+    return upsert.statuses(table(spark, sf_dir, "events"), "user_id", ["event_type"], ["ts", "event_id"])
+
+
+@query(f"{_ARRIVALS} SELECT * FROM t")
+def upsert_status(spark, sf_dir):
+    return _statuses(spark, sf_dir).select("event_id", "user_id", "status")
+
+
+@query(f"{_ARRIVALS} SELECT status, count(*) AS n FROM t GROUP BY status")
+def upsert_counts(spark, sf_dir):
+    return upsert.status_counts(_statuses(spark, sf_dir))
+
+
+@query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def latest_state(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type", "value")
+    return upsert.latest(events, "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type", "value")
+
+
+@query("SELECT event_id FROM events WHERE date_trunc('minute', ts) BETWEEN TIMESTAMP '2024-01-09 12:00:00' AND TIMESTAMP '2024-01-11 12:00:00' AND event_type IN ('click', 'view', 'purchase')")
+def window_overlap(spark, sf_dir):
+    from datetime import datetime
+
+    start = upsert.window_start(datetime(2024, 1, 10, 12), datetime(2024, 1, 11, 12))
+    events = table(spark, sf_dir, "events").select("event_id", F.array("event_type").alias("categories"), F.col("ts").cast("timestamp").alias("published_at"))
+    return upsert.in_window(events, start, datetime(2024, 1, 11, 12), ["click", "view", "purchase"]).select("event_id")
+
+
+@query("SELECT event_id FROM events ORDER BY ts, event_id LIMIT 100")
+def saturated_rows(spark, sf_dir):
+    return upsert.capped(table(spark, sf_dir, "events"), 100, ["ts", "event_id"])[0].select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-01 12:00:00')")
+def unseen_revisions(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("versioned_id", F.col("user_id"))
+    return upsert.unseen(events, events.where("ts < timestamp_ntz '2024-01-01 12:00:00'")).select("event_id")
+
+
+# Curation
+
+_QUOTAS = """
+    WITH c AS (SELECT source AS category, count(*) AS n FROM documents GROUP BY source),
+    p AS (SELECT count(*) AS g, sum(n) AS total, (sum(n) // 3)::BIGINT AS target FROM c),
+    s AS (SELECT category, n, ((target - g)::BIGINT * (n - 1))::DOUBLE / (total - g)::DOUBLE AS share, target - g AS spare FROM c, p),
+    w AS (SELECT *, floor(share) AS whole, row_number() OVER (ORDER BY share - floor(share) DESC, category DESC) AS place FROM s),
+    q AS (SELECT category, n, (1 + whole + CASE WHEN place <= spare - (SELECT sum(whole) FROM w) THEN 1 ELSE 0 END)::BIGINT AS quota FROM w)
+"""
+
+
+def _named(spark, sf_dir):
+    return table(spark, sf_dir, "documents").withColumn("primary_category", F.col("source"))
+
+
+@query(f"{_QUOTAS} SELECT category, n, quota FROM q")
+def category_quotas(spark, sf_dir):
+    docs = _named(spark, sf_dir)
+    return curation.quotas(docs.groupBy(F.col("source").alias("category")).agg(F.count(F.lit(1)).alias("n")), docs.count() // 3)
+
+
+@query(
+    f"""{_QUOTAS}
+    SELECT doc_id, source FROM (
+        SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, sha256(doc_id::VARCHAR) DESC) AS place FROM documents
+    ) d JOIN q ON q.category = d.source WHERE place <= quota
+    """
+)
+def curated_docs(spark, sf_dir):
+    docs = _named(spark, sf_dir)
+    order = [F.col("n_chars"), F.sha2(F.col("doc_id").cast("string"), 256)]
+    return curation.curate(docs, docs.count() // 3, order, "doc_id").select("doc_id", "source")
+
+
+@query("SELECT doc_id, source FROM documents WHERE NOT (starts_with(source, 'src1') OR starts_with(source, 'src3'))")
+def prefix_exclusion(spark, sf_dir):
+    return curation.without_prefixes(table(spark, sf_dir, "documents"), ("src1", "src3"), "source").select("doc_id", "source")
+
+
+@query(
+    """
+    SELECT d::DATE AS date, count(event_id) AS paper_count
+    FROM generate_series(DATE '2023-12-25', DATE '2024-02-05', INTERVAL 1 DAY) AS g(d) LEFT JOIN events ON ts::DATE = d::DATE
+    GROUP BY 1
+    """
+)
+def daily_counts(spark, sf_dir):
+    return curation.daily_counts(table(spark, sf_dir, "events"), "2023-12-25", "2024-02-05", "ts")
+
+
+# Metrics
+
+
+@query(
+    """
+    WITH g AS (SELECT doc_id FROM labels WHERE quality = 1), p AS (SELECT doc_id FROM labels WHERE toxic = 1),
+    c AS (SELECT count(*) FILTER (WHERE g.doc_id IS NOT NULL AND p.doc_id IS NOT NULL) AS tp, count(*) FILTER (WHERE g.doc_id IS NULL) AS fp,
+        count(*) FILTER (WHERE p.doc_id IS NULL) AS fn FROM g FULL JOIN p ON g.doc_id = p.doc_id)
+    SELECT tp AS true_positives, fp AS false_positives, fn AS false_negatives, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall,
+        2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)) AS f1 FROM c
+    """
+)
+def set_metrics(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    return metrics.set_metrics(labels.where("quality = 1"), labels.where("toxic = 1"), ["doc_id"])
+
+
+_REPORT = """
+    WITH l AS (SELECT quality AS t, toxic AS p FROM labels), names AS (SELECT t AS label FROM l UNION SELECT p FROM l),
+    c AS (SELECT label, (SELECT count(*) FROM l WHERE t = label) AS support, (SELECT count(*) FROM l WHERE p = label) AS guessed,
+        (SELECT count(*) FROM l WHERE t = label AND p = label) AS hits FROM names),
+    r AS (SELECT label, support, CASE WHEN guessed = 0 THEN 0 ELSE hits / guessed END AS precision, CASE WHEN support = 0 THEN 0 ELSE hits / support END AS recall FROM c),
+    f AS (SELECT *, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM r)
+"""
+
+
+@query(f"{_REPORT} SELECT * FROM f")
+def class_report(spark, sf_dir):
+    return metrics.class_report(table(spark, sf_dir, "labels"), "quality", "toxic")
+
+
+@query("SELECT quality, toxic, count(*) AS n FROM labels WHERE quality <> toxic GROUP BY 1, 2")
+def confusion(spark, sf_dir):
+    return metrics.confusion(table(spark, sf_dir, "labels"), "quality", "toxic")
+
+
+@query("SELECT label, count(*) AS n FROM embeddings GROUP BY label ORDER BY n DESC, label LIMIT 1")
+def majority_label(spark, sf_dir):
+    return metrics.majority_label(table(spark, sf_dir, "embeddings"), "label")
+
+
+@query("WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), r AS (SELECT *, sqrt(max(n) OVER () / n) AS w FROM c) SELECT lang, n, w / avg(w) OVER () AS weight FROM r")
+def class_weights(spark, sf_dir):
+    return metrics.class_weights(table(spark, sf_dir, "documents"), "lang")
+
+
+def _scored(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(((F.pmod(F.col("event_id") * 37, F.lit(101))) / 100).alias("confidence"), F.col("event_type").isin("click", "view").alias("correct"))
+
+
+_SCORED = "WITH s AS (SELECT (event_id * 37 % 101) / 100 AS c, event_type IN ('click', 'view') AS ok FROM events)"
+
+
+@query(
+    f"""{_SCORED}, b AS (SELECT i / 10 AS lower, (i + 1) / 10 AS upper FROM range(10) t(i))
+    SELECT lower, upper, count(*) AS n, avg(ok::INT) AS accuracy, avg(c) AS confidence FROM s JOIN b ON c > lower AND c <= upper GROUP BY 1, 2
+    """
+)
+def calibration(spark, sf_dir):
+    return metrics.calibration(_scored(spark, sf_dir), "confidence", "correct")
+
+
+@query(
+    f"""{_SCORED} SELECT t AS threshold, count(*) FILTER (WHERE c >= t) AS kept, (count(*) FILTER (WHERE c >= t)) / count(*) AS coverage,
+        (count(*) FILTER (WHERE c >= t AND ok)) / (count(*) FILTER (WHERE c >= t)) AS accuracy
+    FROM s, (VALUES (0.5::DOUBLE), (0.7::DOUBLE), (0.9::DOUBLE)) v(t) GROUP BY t
+    """
+)
+def selective(spark, sf_dir):
+    return metrics.selective(_scored(spark, sf_dir), "confidence", "correct")
+
+
+_SIZES = """
+    WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang),
+    z AS (SELECT lang, n, greatest(1, round_even(n * 0.15::DOUBLE, 0)::BIGINT) AS test, greatest(1, round_even(n * 0.15::DOUBLE, 0)::BIGINT) AS validation FROM c)
+"""
+
+
+@query(f"{_SIZES} SELECT lang, n, test, validation, n - test - validation AS train FROM z")
+def split_sizes(spark, sf_dir):
+    return split.split_sizes(table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang")
+
+
+@query(
+    f"""{_SIZES} SELECT doc_id, lang, CASE WHEN place <= test THEN 'test' WHEN place <= test + validation THEN 'validation' ELSE 'train' END AS split
+    FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('42:' || doc_id), doc_id) AS place FROM documents) JOIN z USING (lang)
+    """
+)
+def split_assignment(spark, sf_dir):
+    return split.stratified(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", "lang")
+
+
+@query("SELECT doc_id, source FROM documents WHERE lang IN (SELECT lang FROM documents GROUP BY lang HAVING count(*) >= 120)")
+def rare_classes(spark, sf_dir):
+    return split.without_rare(table(spark, sf_dir, "documents"), "lang", 120).select("doc_id", "source")
+
+
+# Text
+
+
+@query(f"SELECT doc_id, sha256({SENTENCES.format(SQUEEZED.format('text'))}[1]) AS first_hash FROM documents")
+def first_sentence(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.first_sentence("text"), 256).alias("first_hash"))
+
+
+@query(f"SELECT doc_id, len({SENTENCES.format('text')})::INT AS n, sha256(array_to_string({SENTENCES.format('text')}, '|')) AS hash FROM documents")
+def sentences(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.sentences("text")).alias("n"), F.sha2(F.concat_ws("|", T.sentences("text")), 256).alias("hash"))
+
+
+_SHORT = r"CASE WHEN length({0}) <= 240 THEN {0} ELSE rtrim(substr({0}, 1, 237)) || '...' END"
+
+
+@query(f"SELECT doc_id, {_SHORT.format(SQUEEZED.format('text'))} AS statement FROM documents")
+def short_statement(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.short_statement("text").alias("statement"))
+
+
+@query(
+    f"""
+    WITH s AS (SELECT doc_id, {SENTENCES.format(SQUEEZED.format('text'))} AS l FROM documents),
+    u AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS x FROM s),
+    m AS (SELECT doc_id, i, {_SHORT.format('x')} AS x FROM u WHERE contains(lower(x), 'license') OR contains(lower(x), 'token')),
+    f AS (SELECT doc_id, x, i, row_number() OVER (PARTITION BY doc_id, lower(x) ORDER BY i) AS r FROM m)
+    SELECT doc_id, string_agg(x, '|' ORDER BY i) AS statements FROM f WHERE r = 1 GROUP BY doc_id
+    """
+)
+def explicit_statements(spark, sf_dir):
+    found = table(spark, sf_dir, "documents").select("doc_id", T.marked_statements("text", MARKERS).alias("s"))
+    return found.where(F.size("s") > 0).select("doc_id", F.concat_ws("|", "s").alias("statements"))
+
+
+@query(r"SELECT page_id, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS host FROM pages")
+def url_host(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.url_host(F.col("url")).alias("host"))
+
+
+@query(r"WITH h AS (SELECT page_id, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS host FROM pages) SELECT page_id, host = 'example.com' OR ends_with(host, '.example.com') OR host = 'example.org' OR ends_with(host, '.example.org') AS ok FROM h")
+def allow_list(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.trusted(T.url_host(F.col("url")), ("example.com", "example.org")).alias("ok"))
+
+
+_FRONT = int((400 - len(T.OMISSION)) * 0.75)
+_BACK = 400 - len(T.OMISSION) - _FRONT
+
+
+@query(
+    f"""
+    SELECT doc_id, sha256(CASE WHEN length(text) <= 400 THEN text ELSE substr(text, 1, {_FRONT}) || chr(10) || chr(10) || '{T.OMISSION.strip()}' || chr(10) || chr(10)
+        || substr(text, length(text) - {_BACK - 1}) END) AS hash FROM documents
+    """
+)
+def head_tail(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.when(F.length("text") <= 400, F.col("text")).otherwise(T.head_tail(F.col("text"), F.lit(400))), 256).alias("hash"))
+
+
+@query()
+def prompts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), T.first_sentence("text").alias("abstract"), F.col("text").alias("full_text"))
+    return prompt_text(docs.where("length(abstract) < 2000"), 4000).select("doc_id", F.length("prompt").alias("length"))
+
+
+@query("SELECT doc_id, doc_id::VARCHAR AS base, (doc_id % 5)::INT AS version FROM documents")
+def version_split(spark, sf_dir):
+    parts = T.split_version(F.concat(F.lit("http://arxiv.org/abs/"), F.col("doc_id").cast("string"), F.lit("v"), F.pmod("doc_id", F.lit(5)).cast("string")))
+    return table(spark, sf_dir, "documents").select("doc_id", parts["base"].alias("base"), parts["version"].alias("version"))
+
+
+@query("SELECT doc_id, 'source:' || substr(sha256(source), 1, 16) AS node_id FROM documents")
+def node_ids(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.node_id(F.lit("Source"), F.col("source")).alias("node_id"))
+
+
+@query("SELECT event_id, (json_extract(props, '$.k'))::BIGINT AS k FROM events")
+def json_field(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query(
+    r"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS t FROM documents),
+    u AS (SELECT doc_id, unnest(t) AS term FROM w),
+    c AS (SELECT doc_id, term, count(*) AS n FROM u WHERE term NOT IN (STOP) GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, encode(term)) AS place FROM c)
+    SELECT doc_id, string_agg(term, '|' ORDER BY place) AS terms FROM r WHERE place <= 12 GROUP BY doc_id
+    """.replace("STOP", ", ".join(f"'{w}'" for w in terms.STOP_WORDS))
+)
+def top_words(spark, sf_dir):
+    counts = terms.term_counts(table(spark, sf_dir, "documents"), "doc_id", terms.tokens(F.col("text")))
+    ranked = counts.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("tf").desc(), "term"))).where("place <= 12")
+    rows = ranked.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "term"))).alias("r"))
+    return rows.select("doc_id", F.concat_ws("|", "r.term").alias("terms"))
+
+
+@query()
+def keywords(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", F.concat_ws("|", terms.keywords(F.col("text"))).alias("terms"))
+
+
+@query(
+    r"""
+    WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents),
+    c AS (SELECT doc_id, term, count(*) AS tf FROM w WHERE term NOT IN (STOP) GROUP BY 1, 2),
+    d AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM c GROUP BY 1), n AS (SELECT count(*) AS n FROM documents),
+    v AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf FROM d, n WHERE df >= 2 AND df <= 0.995 * n ORDER BY cf DESC, encode(term) LIMIT 500),
+    x AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS raw FROM c JOIN v USING (term)),
+    m AS (SELECT doc_id, sqrt(sum(raw * raw)) AS norm FROM x GROUP BY 1)
+    SELECT doc_id, term, round(raw / norm, 6) AS weight FROM x JOIN m USING (doc_id)
+    """.replace("STOP", ", ".join(f"'{w}'" for w in terms.STOP_WORDS))
+)
+def tfidf(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    counts = terms.term_counts(docs, "doc_id", terms.tokens(F.col("text")))
+    vocab = terms.vocabulary(counts, docs.count(), 500, 2, 0.995)
+    return terms.tfidf(counts, vocab, "doc_id").select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
+VOCABULARY = {"apache": ["apache license"], "license": ["license"], "token": ["token"], "the": ["the"]}
+
+
+@query()
+def vocabulary_match(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("|", matched(F.col("text"), VOCABULARY)).alias("labels"))
+
+
+@query()
+def usage_match(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("|", used(F.col("text"), {"license": ["license"], "token": ["token"]})).alias("labels"))
 
 
-def library_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest 500 documents, then those in English that mention `license`, the newest 100 of them."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    newest = docs.orderBy(F.col("doc_id").desc()).limit(500)
-    hits = newest.where(F.lower("text").contains("license") & (F.col("lang") == "en"))
-    return hits.orderBy(F.col("doc_id").desc()).limit(100).select("doc_id", "lang", "source", "n_chars")
+@query()
+def claim_status(spark, sf_dir):
+    """Claims of generated abstracts: a claim phrase before each document's first sentence, with its number as the value."""
+    first = F.concat(F.lit("We show that accuracy improves by "), F.col("doc_id").cast("string"), F.lit("% on ImageNet. "), T.first_sentence("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.when(F.col("lang") == "en", first).otherwise(F.col("text")).alias("abstract"))
+    return shard_counts(with_claims(docs), "source")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"library_page": library_page}
-ORACLE: dict[str, str] = {
-    "library_page": """
-        SELECT doc_id, lang, source, n_chars
-        FROM (SELECT * FROM documents ORDER BY doc_id DESC LIMIT 500)
-        WHERE contains(lower(text), 'license') AND lang = 'en'
-        ORDER BY doc_id DESC LIMIT 100
-    """,
-}
+@query("SELECT ts::DATE::VARCHAR AS day, count(*) AS paper_count, count(*) FILTER (WHERE event_type = 'click') AS with_envelopes, count(*) FILTER (WHERE event_type = 'click') AS envelopes FROM events GROUP BY 1")
+def shard_manifest(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select(F.col("ts").cast("date").cast("string").alias("day"), F.when(F.col("event_type") == "click", F.array(F.lit(1))).otherwise(F.array().cast("array<int>")).alias("validity_envelopes"))
+    return shard_counts(events, "day")
