@@ -78,6 +78,11 @@ def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str, bytes
     """
     if right.count() * bytes_per_row <= BROADCAST_BYTES:
         return left.join(F.broadcast(right), on, how)
+    return join_keyed(left, right, on, how)
+
+
+def join_keyed(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Joins by a shuffle at every size, hashing right, so that the long rows of left are not sorted."""
     return left.join(right.hint("shuffle_hash"), on, how)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vellumflow.llm.common import KEY, Scratch, arrow_map, join_small, keyed
+from vellumflow.llm.common import KEY, Scratch, arrow_map, join_keyed, keyed
 from vellumflow.llm.kernel import SPACED, Texts, Words, as_signed, mix, powers, prefix, range_hash, slices, windows
 
 #: Anchors with more distinct contexts than this are counted by window hash over all tasks, others by anchor.
@@ -159,7 +159,7 @@ def remove_repeats(docs: DataFrame, length: int = 35, k: int = 8, id_col: str =
     contexts = several.groupBy("seed", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*KEY, "low")).alias("at"))
     contexts = scratch.store(contexts.select("seed", "context", "n", "at.*"), "contexts")
     wanted = scratch.store(contexts.groupBy(*KEY).agg(F.collect_list("low").alias("lows")), "wanted")
-    texts = join_small(rows.select("text", *KEY), wanted, KEY, "inner", 400)
+    texts = join_keyed(rows.select("text", *KEY), wanted, KEY, "inner")
     # Rows that share a key emit the same windows; one row of each context counts.
     emitted = arrow_map(texts.select("text", "lows"), lambda b: _emit_windows(b, length, k), "seed long, context long, hashes array<long>")
     hot = contexts.groupBy("seed").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > HOT_CONTEXTS).select("seed", F.lit(True).alias("hot"))
@@ -187,7 +187,7 @@ def remove_repeats(docs: DataFrame, length: int = 35, k: int = 8, id_col: str =
     covered = scratch.store(covered.groupBy(*KEY).agg(F.collect_list(F.struct("low", "mask")).alias("at")), "covered")
     for name in ("repeated", "contexts", "windows"):
         scratch.drop(name)
-    joined = join_small(rows, covered, KEY, "left", 600)
+    joined = join_keyed(rows, covered, KEY, "left")
     joined = joined.select(
         "doc_id",
         "text",
