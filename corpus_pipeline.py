@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumflow.llm.common import KEY, Scratch, join_small
+from vellumflow.llm.common import KEY, Scratch, join_keyed, join_small
 from vellumflow.llm.line_dedup import drop_common_lines
 from vellumflow.llm.near_dedup import near_duplicates
 from vellumflow.llm.packing import pack_documents
@@ -41,7 +41,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of at least 40 characters that stand in five documents or more stay in the largest document only; every document stays."""
     store = Scratch(spark)
     cleaned = drop_common_lines(docs).where("n_dropped > 0").select(*KEY, F.col("kept_text").alias("_kept")).dropDuplicates(KEY)
-    out = join_small(_keyed(docs), store.store(cleaned, "cleaned"), KEY, "left", 4000)
+    out = join_keyed(_keyed(docs), store.store(cleaned, "cleaned"), KEY, "left")
     out = out.withColumn("text", F.coalesce("_kept", "text"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumflow.llm.common import KEY, Scratch, arrow_map, join_small, keyed
+from vellumflow.llm.common import KEY, Scratch, arrow_map, join_keyed, join_small, keyed
 from vellumflow.llm.kernel import LOWER, Lines, Texts, as_signed, code_points, mix, slices, span_hashes
 
 LINE = ["k1", "k2"]
@@ -163,7 +163,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, b
     held = scratch.store(held, "held")
     scratch.drop("keys")
     empty = F.expr("array()").cast("array<long>")
-    joined = join_small(rows, held, KEY, "left", 300).select("doc_id", "text", *KEY, F.coalesce("drops.k1", empty).alias("drop1"), F.coalesce("drops.k2", empty).alias("drop2"))
+    joined = join_keyed(rows, held, KEY, "left").select("doc_id", "text", *KEY, F.coalesce("drops.k1", empty).alias("drop1"), F.coalesce("drops.k2", empty).alias("drop2"))
     kind = joined.schema["doc_id"].dataType.simpleString()
     out = arrow_map(joined, lambda b: _drop_lines(b, min_chars), f"doc_id {kind}, _d long, _t long, n_lines long, n_dropped long, kept_sha256 string, kept_text string")
     return out if with_text else out.drop("kept_text", *KEY)
