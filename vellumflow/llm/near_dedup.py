@@ -174,9 +174,11 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, id_col: s
     classes = scratch.store(classes.select("c", "label", "r.*"), "classes")
 
     band = F.array(*(F.xxhash64(F.lit(b), F.substring("sketch", 2 * ROWS * b + 1, 2 * ROWS)) for b in range(BANDS)))
-    banded = classes.select(F.explode(band).alias("g"), "c")
-    crowded = banded.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("rep")).where("m > 1")
-    members = scratch.store(banded.join(crowded.select("g", "rep"), "g"), "members")
+    # The first document of a band leads it: copies resemble what they were made from more than each other.
+    banded = classes.select(F.explode(band).alias("g"), "c", "label")
+    crowded = banded.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("label", "c")).alias("lead")).where("m > 1")
+    crowded = crowded.select("g", F.col("lead.c").alias("rep"))
+    members = scratch.store(banded.select("g", "c").join(crowded, "g"), "members")
 
     sizes = classes.select("c", "n", "sketch")
 

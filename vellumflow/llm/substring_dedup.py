@@ -151,8 +151,11 @@ def remove_repeats(docs: DataFrame, length: int = 35, k: int = 8, id_col: str =
         "anchors",
     )
     repeated = anchors.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1")).where("n > 1")
-    found = scratch.store(anchors.join(repeated.select("seed", (F.col("c0") != F.col("c1")).alias("several")), "seed"), "repeated")
+    # Stored first, so that nothing but the join reads the shuffled anchors and a hot seed's rows can be split.
+    repeated = scratch.store(repeated.select("seed", (F.col("c0") != F.col("c1")).alias("several")), "seeds")
+    found = scratch.store(anchors.join(repeated, "seed"), "repeated")
     scratch.drop("anchors")
+    scratch.drop("seeds")
     full = F.expr("shiftrightunsigned(-1L, 64 - owned)")
 
     several = found.where("several")
