@@ -3,9 +3,12 @@
 A sketch splits the hashes of a shingle set over REGISTERS buckets; of each bucket's smallest hash it keeps the
 count of leading zeros (6 bits) and the next MANTISSA bits. Empty registers take another register's value by a
 fixed probe order. Classes (equal shingle sets) that share a band of registers are candidates: a first round compares
-each with the smallest class of its bands, later rounds compare only across components that
-share a band, until no such pair is left, so nothing is capped. Sketches give a collision-corrected estimate;
-pairs whose estimate could reach the threshold are confirmed on the sets. Components come from star contraction.
+each with the first document of its bands, later rounds compare only across components that
+share a band, until no such pair is left, so nothing is capped. In these rounds classes that share a band meet at
+their rare shingles instead of the band itself: sets that reach the threshold share one of the first shingles of
+each, rarest first, so a family of copies that are unlike each other makes no pairs. Sketches give a
+collision-corrected estimate; pairs whose estimate could reach the threshold are confirmed on the sets. Components
+come from star contraction.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumflow.llm.common import KEY, Scratch, arrow_map, join_small, keyed
@@ -117,14 +120,22 @@ def _emit_sets(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([part["c"], pa.ListArray.from_arrays(pa.array(found.first.astype(np.int32)), pa.array(as_signed(found.x)))], ["c", "members"])
 
 
+def _emit_shingles(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    for part in slices(batch, "text"):
+        found = Shingles(Texts(part["text"]), size)
+        yield pa.record_batch([part["c"].take(pa.array(found.doc)), pa.array(as_signed(found.x))], ["c", "x"])
+
+
 def _estimates(batch: pa.RecordBatch, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Keeps pairs whose Jaccard similarity could reach the threshold; adds the estimate."""
+    """Keeps pairs that share a band and whose Jaccard similarity could reach the threshold; adds the estimate."""
     a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), "<u2").reshape(-1, REGISTERS) for c in ("sketch1", "sketch2"))
+    same = a == b
+    banded = same.reshape(-1, BANDS, ROWS).all(axis=2).any(axis=1)
     n1, n2 = np.asarray(batch["n1"]), np.asarray(batch["n2"])
     smaller, larger = np.minimum(n1, n2), np.maximum(n1, n2)
-    estimate = np.clip(((a == b).mean(axis=1) - COLLISION) / (1 - COLLISION), 0, 1)
+    estimate = np.clip((same.mean(axis=1) - COLLISION) / (1 - COLLISION), 0, 1)
     error = np.sqrt(threshold * (1 - threshold) / np.minimum(REGISTERS, smaller))
-    keep = (smaller >= threshold * larger * (1 - 1e-9)) & (estimate >= threshold - SLACK * error)
+    keep = banded & (smaller >= threshold * larger * (1 - 1e-9)) & (estimate >= threshold - SLACK * error)
     yield pa.record_batch([batch["c1"], batch["c2"], pa.array(estimate)], ["c1", "c2", "estimate"]).filter(pa.array(keep))
 
 
@@ -175,10 +186,10 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, id_col: s
 
     band = F.array(*(F.xxhash64(F.lit(b), F.substring("sketch", 2 * ROWS * b + 1, 2 * ROWS)) for b in range(BANDS)))
     # The first document of a band leads it: copies resemble what they were made from more than each other.
-    banded = classes.select(F.explode(band).alias("g"), "c", "label")
+    banded = classes.select(F.explode(band).alias("g"), "c", "label", "n")
     crowded = banded.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("label", "c")).alias("lead")).where("m > 1")
     crowded = crowded.select("g", F.col("lead.c").alias("rep"))
-    members = scratch.store(banded.select("g", "c").join(crowded, "g"), "members")
+    members = scratch.store(banded.select("g", "c", "n").join(crowded, "g"), "members")
 
     sizes = classes.select("c", "n", "sketch")
 
@@ -187,11 +198,40 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, id_col: s
         two = sizes.select(F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"))
         return arrow_map(pairs.join(one, "c1").join(two, "c2"), lambda b: _estimates(b, percent / 100), "c1 long, c2 long, estimate double")
 
+    def texts_of(wanted: DataFrame, name: str) -> DataFrame:
+        """(c, text) of the classes in wanted (c), which are distinct."""
+        stored = scratch.store(wanted.join(classes.select("c", *KEY), "c"), f"{name}_wanted")
+        return join_small(rows.select("text", *KEY), stored, KEY, "inner", 80).select("c", "text")
+
+    def rare_places(members: DataFrame, roots: DataFrame) -> DataFrame:
+        """Rare shingles (g) of the classes in bands with several components; s: shared shingles of the class from this one on.
+
+        Shingles are ordered by how many of these classes have them; those that only one has come first and are left
+        out, as no pair meets there. Only places from which the threshold can still be reached are kept.
+        """
+        placed = scratch.store(with_roots(members, roots), "placed_0")
+        mixed = placed.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("g")
+        there = scratch.store(placed.join(mixed, "g").select("c", "n").distinct(), "mixed")
+        shingles = arrow_map(texts_of(there.select("c"), "mixed"), lambda b: _emit_shingles(b, size), "c long, x long")
+        shingles = scratch.store(shingles, "shingles")
+        common = shingles.groupBy("x").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("df"))
+        common = common.where("low <> high").select("x", "df")
+        own = Window.partitionBy("c")
+        # Rows that are there twice have one rank.
+        ranked = shingles.join(common, "x").withColumn("r", F.dense_rank().over(own.orderBy("df", "x")))
+        ranked = ranked.select("x", "c", (F.max("r").over(own) - F.col("r") + 1).cast("long").alias("s"))
+        places = join_small(ranked, there, ["c"], "inner", 40).where(f"100L * s >= {percent}L * n")
+        places = scratch.store(places.select(F.col("x").alias("g"), "c", "n", "s"), "places")
+        scratch.drop("shingles")
+        return places
+
+    def with_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
+        return join_small(members, roots, ["c"], "left", 40).withColumn("root", F.coalesce("root", "c"))
+
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (c1, c2; stored) that hold on full sets."""
-        wanted = pairs.select(F.col("c1").alias("c")).union(pairs.select("c2")).distinct().join(classes.select("c", *KEY), "c")
-        texts = join_small(rows.select("text", *KEY), scratch.store(wanted, f"{name}_wanted"), KEY, "inner", 80)
-        sets = scratch.store(arrow_map(texts.select("c", "text"), lambda b: _emit_sets(b, size), "c long, members array<long>"), f"{name}_sets")
+        texts = texts_of(pairs.select(F.col("c1").alias("c")).union(pairs.select("c2")).distinct(), name)
+        sets = scratch.store(arrow_map(texts, lambda b: _emit_sets(b, size), "c long, members array<long>"), f"{name}_sets")
         one = sets.select(F.col("c").alias("c1"), F.col("members").alias("m1"))
         two = sets.select(F.col("c").alias("c2"), F.col("members").alias("m2"))
         both = pairs.select("c1", "c2").join(two, "c2").join(one, "c1")
@@ -205,20 +245,23 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, id_col: s
     best = pairs.groupBy("c2").agg(F.max_by("c1", F.struct("estimate", -F.col("c1"))).alias("c1")).select("c1", "c2")
     tested = scratch.store(best, "pairs_0")
     roots = components(confirmed(tested, "round_0"), scratch, "stars_0")
-    members = members.drop("rep")
+    members = rare_places(members.drop("rep"), roots)
     turn, reps = 1, FIRST_REPS
     while True:
-        placed = join_small(members, roots, ["c"], "left", 40).withColumn("root", F.coalesce("root", "c"))
-        placed = scratch.store(placed, f"placed_{turn}")
+        placed = scratch.store(with_roots(members, roots), f"placed_{turn}")
         scratch.drop(f"placed_{turn - 1}")
         main = placed.groupBy("g", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("g")
         main = main.agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.sum("m").alias("all"), F.max("m").alias("most"), F.count(F.lit(1)).alias("roots"))
         mixed = placed.join(main.where("roots > 1"), "g")
         left = F.col("all") - F.col("most")
-        # All outsiders of a band where they are few; else as many as `reps`, more each turn.
+        # All outsiders of a shingle where they are few; else as many as `reps`, more each turn.
         chosen = mixed.where("root <> main").where((left <= reps) | (F.pmod(F.xxhash64("c", F.lit(turn)), left) < reps))
-        chosen = chosen.select("g", F.col("c").alias("a"), F.col("root").alias("ra"))
-        across = chosen.join(mixed.select("g", "c", "root"), "g").where("ra <> root")
+        chosen = chosen.select("g", F.col("c").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("s").alias("sa"))
+        # The set sizes there that an outsider could link with, then the classes of these sizes.
+        sizes_there = mixed.groupBy("g", "n").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("s").alias("s"))
+        enough = f"{100 + percent}L * least(sa, s) >= {percent}L * (na + n)"
+        reach = chosen.join(sizes_there, "g").where(f"100L * least(na, n) >= {percent}L * greatest(na, n) and {enough} and (low <> ra or high <> ra)")
+        across = reach.select("g", "n", "a", "ra", "na", "sa").join(mixed.select("g", "n", "c", "s", "root"), ["g", "n"]).where(f"ra <> root and {enough}")
         across = across.select(F.least("a", "c").alias("c1"), F.greatest("a", "c").alias("c2")).distinct()
         ordered = tested.select(F.least("c1", "c2").alias("c1"), F.greatest("c1", "c2").alias("c2"))
         fresh = scratch.store(across.join(ordered, ["c1", "c2"], "left_anti"), f"across_{turn}")
