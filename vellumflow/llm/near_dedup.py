@@ -34,7 +34,8 @@ SLACK = 4.5
 #: Chance that registers of different minima agree, for MANTISSA bits (sets of like size).
 COLLISION = 0.17 * 2.0**-MANTISSA
 EMPTY = 0xFFFF
-FIRST_REPS = 16
+#: Outsiders of a shingle that are compared in the first of the later rounds.
+FIRST_REPS = 256
 
 
 @lru_cache(maxsize=1)
@@ -147,8 +148,12 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     step = 0
     pairs = edges.select(F.greatest("c1", "c2").alias("u"), F.least("c1", "c2").alias("v")).where("u <> v").distinct()
     pairs = scratch.store(pairs, f"{name}_0")
-    before = None
     while True:
+        ends = pairs.select(F.col("u").alias("c"), F.lit(1).alias("u")).union(pairs.select("v", F.lit(0)))
+        ends = ends.groupBy("c").agg(F.sum("u").alias("links"), F.min("u").alias("least"))
+        # Stars only: a node has one link to a smaller one, or is the smallest of all its links.
+        if not ends.where("links > 1 or (links = 1 and least = 0)").limit(1).count():
+            break
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # large star: neighbours above u go to the least of u and its neighbours
@@ -159,10 +164,6 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         step += 1
         pairs = scratch.store(small.where("u <> v").distinct(), f"{name}_{step}")
         scratch.drop(f"{name}_{step - 1}")
-        now = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
-        if now == before:
-            break
-        before = now
     return pairs.select(F.col("u").alias("c"), F.col("v").alias("root"))
 
 
@@ -280,7 +281,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, id_col: s
                 tops = components(joined, scratch, f"stars_{turn}").select(F.col("c").alias("root"), F.col("root").alias("top"))
                 nodes = roots.union(tops.select("root", F.col("root").alias("r"))).dropDuplicates(["c"])
                 roots = scratch.store(nodes.join(tops, "root", "left").select("c", F.coalesce("top", "root").alias("root")).where("c <> root"), f"roots_{turn}")
-        turn, reps = turn + 1, reps * 4
+        turn, reps = turn + 1, reps * 16
     ends = roots.union(roots.select("root", "root").distinct())
     labelled = classes.select("c", "label").join(ends, "c", "left")
     tops = labelled.where("root is not null").groupBy("root").agg(F.min("label").alias("top"))
