@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -86,12 +87,24 @@ def join_keyed(left: DataFrame, right: DataFrame, on: list[str], how: str) -> Da
     return left.join(right.hint("shuffle_hash"), on, how)
 
 
+def give_back() -> None:
+    """Returns the memory that a worker freed to the system, as workers are kept for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow, batch by batch."""
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield from f(batch)
+        try:
+            for batch in batches:
+                if batch.num_rows:
+                    yield from f(batch)
+            batch = None
+        finally:
+            give_back()
 
     return df.mapInArrow(run, schema)
