@@ -80,6 +80,33 @@ def test_markov_models_on_held_out_strings(spark):
     assert not any(3 in got[i] for i in range(len(secrets), len(secrets) + len(names)))
 
 
+def test_markov_secrets_behind_names(spark):
+    import base64
+
+    before = ["AWS_SECRET_ACCESS_KEY=", "database_connection_string=", "/services/notification/channel/"]
+    digests = [hashlib.sha256(f"behind{i}".encode()) for i in range(60)]
+    parts = [(k, d.hexdigest()[:20] if i % 2 else base64.b64encode(d.digest()).decode()[:40]) for i, d in enumerate(digests) for k in before]
+    names = [f"{k}maximum_number_of_connections/src/main/resources" for k in before]
+    rows = [f"see {k}{s} now" for k, s in parts] + [f"see {k} now" for k in names]
+    model = secret_scan.train(secret_scan.labelled_samples(spark))
+    found = secret_scan.find_secrets(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), model)
+    got = {r.doc_id: r for r in found.select("doc_id", "spans", secret_scan.masked("text", "spans").alias("masked")).collect()}
+    hits = [got[i].masked == "see [SECRET] now" for i in range(len(parts))]
+    assert sum(hits) >= 0.95 * len(parts)
+    assert not any(s.kind == 3 for i in range(len(names)) for s in got[len(parts) + i].spans)
+
+    # The same as brute force over all sub-runs of 20 characters or more.
+    n = len(secret_scan.ALPHABET)
+
+    def brute(run):
+        at = [secret_scan.ALPHABET.index(c) for c in run]
+        x = [model[a * n + b] for a, b in zip(at, at[1:], strict=False)]
+        return any(np.mean(x[i:j]) >= secret_scan.THRESHOLD for i in range(len(x)) for j in range(i + secret_scan.LEAST_SCORED - 1, len(x) + 1))
+
+    for i, text in enumerate(rows):
+        assert any(s.kind == 3 for s in got[i].spans) == brute(text[4:-4])
+
+
 def test_masking(spark):
     df = spark.createDataFrame([(1, "a token=abcdef0123 b " + "0" * 30), (2, "plain")], "doc_id long, text string")
     got = {r.doc_id: r.t for r in secret_scan.find_secrets(df).select("doc_id", secret_scan.masked("text", "spans").alias("t")).collect()}

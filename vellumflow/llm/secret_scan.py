@@ -1,8 +1,9 @@
 """Secret scans in DataFrame functions only.
 
 Patterns give the base spans. Long runs of key characters are scored besides by two character Markov models,
-one of random strings and one of ordinary identifiers, as the mean log-likelihood ratio of their transitions; runs above
-the threshold are spans of kind markov. The models are counted from labelled samples.
+one of random strings and one of ordinary identifiers, as the mean log-likelihood ratio of their transitions; runs with a
+sub-run of LEAST_SCORED characters or more above the threshold are spans of kind markov, so that a name or path before a
+secret doesn't cancel it. A span is the whole run. The models are counted from labelled samples.
 
 Positions come from split() and regexp_extract_all() with one pattern: a match starts after the pieces and matches
 before it. Everything is computed row by row, without a shuffle.
@@ -21,6 +22,8 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ["assign", "access", "hex", "markov"]
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+#: Fewest characters of a scored sub-run, as many as RUN asks for.
+LEAST_SCORED = 20
 #: Least mean log-likelihood ratio, in nats for each transition, of a secret.
 THRESHOLD = 0.6
 MASK = "[SECRET]"
@@ -100,17 +103,25 @@ def train(samples: DataFrame) -> list[float]:
     return [round(log(r[a][b] / sum(r[a])) - log(o[a][b] / sum(o[a])), 4) for a in range(n) for b in range(n)]
 
 
-def _score(run: Column, model: Column) -> Column:
-    """Mean log-likelihood ratio of a run's transitions."""
-    n = len(ALPHABET)
-    start = F.struct(F.lit(0).alias("last"), F.lit(0.0).alias("total"), F.lit(0).alias("n"))
+def _is_secret(run: Column, model: Column, threshold: float) -> Column:
+    """Whether a sub-run of LEAST_SCORED characters or more has a mean log-likelihood ratio of at least threshold.
+
+    Sums are of the ratios less the threshold: a sub-run reaches it if its last sum isn't below its first one. held has the
+    sums that a sub-run ending here is too short to start from, low the least of those before them.
+    """
+    n, least = len(ALPHABET), LEAST_SCORED - 1
+    none = F.lit(float("inf"))
+    start = F.struct(F.lit(0).alias("last"), F.lit(0.0).alias("total"), F.array(F.lit(0.0)).alias("held"), none.alias("low"), F.lit(False).alias("hit"))
 
     def step(acc: Column, code: Column) -> Column:
-        moved = acc["last"] > 0
-        total = acc["total"] + F.when(moved, F.get(model, (acc["last"] - 1) * n + code - 1)).otherwise(F.lit(0.0))
-        return F.struct(code.alias("last"), total.alias("total"), (acc["n"] + moved.cast("int")).alias("n"))
+        total = acc["total"] + F.get(model, (acc["last"] - 1) * n + code - 1) - F.lit(float(threshold))
+        low = F.when(F.size(acc["held"]) == least, F.least(acc["low"], F.get(acc["held"], F.lit(0)))).otherwise(acc["low"])
+        held = F.slice(F.array_append(acc["held"], total), F.greatest(F.size(acc["held"]) + 2 - least, F.lit(1)), F.lit(least))
+        moved = F.struct(code.alias("last"), total.alias("total"), held.alias("held"), low.alias("low"), (acc["hit"] | (total >= low)).alias("hit"))
+        first = F.struct(code.alias("last"), acc["total"].alias("total"), acc["held"].alias("held"), acc["low"].alias("low"), acc["hit"].alias("hit"))
+        return F.when(acc["last"] > 0, moved).otherwise(first)
 
-    return F.aggregate(_codes(run), start, step, lambda acc: F.coalesce(F.try_divide(acc["total"], acc["n"]), F.lit(0.0)))
+    return F.aggregate(_codes(run), start, step, lambda acc: acc["hit"])
 
 
 def _spans(matches: Column, pieces: Column, kind: int) -> Column:
@@ -148,7 +159,7 @@ def find_secrets(docs: DataFrame, model: list[float] | None = None, threshold: f
     found = {k: F.regexp_extract_all("text", F.lit(p), F.lit(0)) for k, p in patterns.items()}
     df = df.select("doc_id", "text", *(m.alias(f"m_{k}") for k, m in found.items()))
     # Runs are scored first; only rows with a match are split.
-    secret = F.transform("m_markov", lambda run: _score(run, table) >= threshold)
+    secret = F.transform("m_markov", lambda run: _is_secret(run, table, threshold))
     df = df.withColumn("ok_markov", secret)
     df = df.withColumn("ok_assign", F.when(F.size("m_assign") > 0, F.transform(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= ASSIGN_LEAST)).otherwise(F.expr("array()").cast("array<boolean>")))
     pieces = lambda kind, some: F.when(some, F.split("text", patterns[kind], -1))
