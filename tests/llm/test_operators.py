@@ -147,6 +147,22 @@ def test_quality_outliers(spark):
     assert all(got[i].kept for i in range(200)) and not any(got[1000 + i].kept for i in range(5))
 
 
+def test_quality_judges_small_groups(spark):
+    rng = np.random.default_rng(2)
+    words = ["river", "stone", "under", "light", "green", "table", "often", "seven"]
+    words += [a + b for a in words for b in ("s", "ed", "ing")]
+    text = lambda end="": " ".join(w + end for w in rng.choice(words, rng.integers(60, 200)))
+    # 20 rows a source, a source of one row, and a language of few rows: all under LEAST_ROWS.
+    rows = [(i, text(), "en", f"s{i % 10}") for i in range(200)] + [(200 + i, text(), "de", "s0") for i in range(5)]
+    rows += [(1000, text("&&&"), "en", "s3"), (1001, text("###"), "en", "alone"), (1002, text("$$$"), "de", "s0")]
+    got = by_id(quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))
+    assert all(r.distance is not None for r in got.values())
+    assert {i for i, r in got.items() if not r.kept} == {1000, 1001, 1002}
+    # So few rows say little about their spread.
+    few = quality.judge(spark.createDataFrame([(i, text(), "en", "s") for i in range(4)] + [(4, text() * 8, "en", "s")], "doc_id long, text string, lang string, source string"))
+    assert [r.kept for r in few.where("not base_failed").collect()].count(False) == 0
+
+
 def removed(all_texts, n=35):
     words = {i: re.findall(SPACED, t) for i, t in all_texts.items()}
     count = collections.Counter(tuple(w[i : i + n]) for w in words.values() for i in range(len(w) - n + 1))

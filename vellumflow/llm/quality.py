@@ -2,7 +2,8 @@
 
 Per text statistics come from one vectorised pass. Within each language and source, a minimum-covariance-determinant
 estimate (concentration steps over all rows, started from medians and spreads) gives centre and scatter of the
-transformed statistics; a row far from the centre by Mahalanobis distance is rejected.
+transformed statistics; a row far from the centre by Mahalanobis distance is rejected. The same is estimated for each
+language and for all rows, and the fewer rows a group has, the more its model is drawn to that of the level above.
 """
 
 from __future__ import annotations
@@ -79,11 +80,13 @@ CORE, CONSISTENCY = 0.75, 1.36
 STEPS = 4
 #: Squared distance beyond which a row goes: exceeded by one in 10^9 under a normal law with six features.
 CUTOFF = 53.0
-#: Groups with fewer rows are not judged.
+#: Groups with fewer rows share in the model of their language, and languages in that of all rows, the more the fewer they have.
 LEAST_ROWS = 60
 #: Squared distances are counted in steps of 1 / DISTANCE_STEPS.
 DISTANCE_STEPS = 16
 GROUP = ["lang", "source"]
+#: Groups of level 0 are all rows, of level 1 a language, of level 2 a language and source.
+LEVELED = ["level", *GROUP]
 
 
 def _features(counts: list[np.ndarray]) -> list[np.ndarray]:
@@ -114,9 +117,9 @@ def _moments() -> list:
 
 
 def _models(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Centre and inverse scatter of each group from its sums."""
+    """Centre, scatter and inverse scatter of each group from its sums."""
     p = len(FEATURES)
-    centres, inverses = [], []
+    centres, scatters, inverses = [], [], []
     for n, sums in zip(batch["n"].to_pylist(), batch["sums"].to_pylist(), strict=True):
         mean = [float(s) / n for s in sums[:p]]
         scatter = np.zeros((p, p))
@@ -125,7 +128,33 @@ def _models(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             scatter[i, j] = scatter[j, i] = float(s * n - sums[i] * sums[j]) / n / n
         scatter = CONSISTENCY * scatter + np.diag([(SCALE * x) ** 2 for x in FLOORS.values()])
         centres.append(mean)
+        scatters.append(scatter.ravel().tolist())
         inverses.append(np.linalg.inv(scatter).ravel().tolist())
+    arrays = [pa.array(x, pa.list_(pa.float64())) for x in (centres, scatters, inverses)]
+    yield pa.record_batch([*(batch[c] for c in LEVELED), *arrays], [*LEVELED, "centre", "scatter", "inverse"])
+
+
+MODELS = "level int, lang string, source string, centre array<double>, scatter array<double>, inverse array<double>"
+
+
+def _blend(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Centre and inverse scatter of each language and source, drawn to the levels above by the rows that are short of LEAST_ROWS.
+
+    Above all rows is nothing to be drawn to: fewer than LEAST_ROWS rows in all widen their scatter in proportion.
+    """
+    p = len(FEATURES)
+    centres, inverses = [], []
+    for row in batch.to_pylist():
+        centre, scatter = None, None
+        for level in range(3):
+            share = min(1.0, row[f"rows_{level}"] / LEAST_ROWS)
+            own, spread = np.array(row[f"centre_{level}"]), np.array(row[f"scatter_{level}"])
+            if level == 0:
+                centre, scatter = own, spread / share
+            else:
+                centre, scatter = share * own + (1 - share) * centre, share * spread + (1 - share) * scatter
+        centres.append(centre.tolist())
+        inverses.append(np.linalg.inv(scatter.reshape(p, p)).ravel().tolist())
     yield pa.record_batch([batch["lang"], batch["source"], pa.array(centres, pa.list_(pa.float64())), pa.array(inverses, pa.list_(pa.float64()))], [*GROUP, "centre", "inverse"])
 
 
@@ -136,41 +165,53 @@ def _distance():
     return sum(terms[1:], terms[0])
 
 
+def _leveled(stats: DataFrame) -> DataFrame:
+    """Each row once for each level."""
+    none = F.lit("")
+    kinds = [(none, none), (F.col("lang"), none), (F.col("lang"), F.col("source"))]
+    levels = F.array(*(F.struct(F.lit(i).alias("level"), a.alias("lang"), b.alias("source")) for i, (a, b) in enumerate(kinds)))
+    return stats.select(F.explode(levels).alias("_level"), *FEATURES).select("_level.*", *FEATURES)
+
+
 def robust_models(stats: DataFrame, scratch: Scratch) -> DataFrame:
-    """lang, source, centre, inverse for each group of stats (stored) with LEAST_ROWS rows or more.
+    """lang, source, centre, inverse for each language and source of stats (stored).
 
     Every step aggregates over all rows, combined before the shuffle; only a row for each group comes out.
     """
-    large = stats.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("rows"), *(F.percentile(x, 0.5).alias(f"m_{x}") for x in FEATURES)).where(F.col("rows") >= LEAST_ROWS)
-    middle = scratch.store(large, "middle")
-    spread = _with(stats, middle).groupBy(*GROUP).agg(*(F.percentile(F.abs(F.col(x) - F.col(f"m_{x}")), 0.5).alias(f"s_{x}") for x in FEATURES))
-    start = spread.join(middle, GROUP)
+    stats = _leveled(stats)
+    middle = scratch.store(stats.groupBy(*LEVELED).agg(F.count(F.lit(1)).alias("rows"), *(F.percentile(x, 0.5).alias(f"m_{x}") for x in FEATURES)), "middle")
+    spread = _with(stats, middle).groupBy(*LEVELED).agg(*(F.percentile(F.abs(F.col(x) - F.col(f"m_{x}")), 0.5).alias(f"s_{x}") for x in FEATURES))
+    start = spread.join(middle, LEVELED)
     p = len(FEATURES)
     variance = [F.pow(1.4826 * F.col(f"s_{x}"), F.lit(2)) + (SCALE * FLOORS[x]) ** 2 for x in FEATURES]
     inverse = [F.lit(1.0) / variance[i] if i == j else F.lit(0.0) for i in range(p) for j in range(p)]
-    models = scratch.store(start.select(*GROUP, F.array(*(F.col(f"m_{x}") for x in FEATURES)).alias("centre"), F.array(*inverse).alias("inverse")), "models_0")
+    models = scratch.store(start.select(*LEVELED, F.array(*(F.col(f"m_{x}") for x in FEATURES)).alias("centre"), F.array(*inverse).alias("inverse")), "models_0")
     for step in range(1, STEPS + 1):
-        placed = _with(stats, models).withColumn("d", F.least(F.floor(_distance() * DISTANCE_STEPS), F.lit(1 << 14)).cast("int"))
-        radius = placed.groupBy(*GROUP).agg(F.percentile("d", CORE).alias("radius"))
+        placed = _with(stats, models.drop("scatter")).withColumn("d", F.least(F.floor(_distance() * DISTANCE_STEPS), F.lit(1 << 14)).cast("int"))
+        radius = placed.groupBy(*LEVELED).agg(F.percentile("d", CORE).alias("radius"))
         core = _with(placed, scratch.store(radius, f"radius_{step}")).where("d <= radius")
-        sums = core.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), F.array(*_moments()).alias("sums"))
-        models = scratch.store(arrow_map(sums, _models, "lang string, source string, centre array<double>, inverse array<double>"), f"models_{step}")
-    return models
+        sums = core.groupBy(*LEVELED).agg(F.count(F.lit(1)).alias("n"), F.array(*_moments()).alias("sums"))
+        models = scratch.store(arrow_map(sums, _models, MODELS), f"models_{step}")
+    counted = scratch.store(models.join(middle.select(*LEVELED, "rows"), LEVELED).drop("inverse"), "counted")
+    above = lambda i: counted.where(F.col("level") == i).select(*GROUP[:i], *(F.col(c).alias(f"{c}_{i}") for c in ("rows", "centre", "scatter")))
+    levels = join_small(above(2), above(1), ["lang"], "inner", 600).crossJoin(F.broadcast(above(0)))
+    blended = arrow_map(levels, _blend, "lang string, source string, centre array<double>, inverse array<double>")
+    return scratch.store(blended, "models")
 
 
 def _with(stats: DataFrame, models: DataFrame) -> DataFrame:
-    return join_small(stats, models, GROUP, "inner", 600)
+    return join_small(stats, models, LEVELED, "inner", 600)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Base rules, and the verdict of the robust models of each language and source.
 
     Returns a row for each row of docs: doc_id, the row key _d, _t, the COUNTS, base_failed, distance (squared; null
-    where not judged) and kept. A row is kept if it passes the base rules and isn't beyond CUTOFF.
+    where the base rules fail) and kept. A row is kept if it passes the base rules and isn't beyond CUTOFF.
 
     Null, empty or blank texts have no words and fail the base rules. Null language or source counts as the empty
-    string. Groups under LEAST_ROWS passing rows are not judged. Rows are judged one by one; other columns
-    are ignored.
+    string. Groups under LEAST_ROWS passing rows are judged too, with a share of the model of their language. Rows are
+    judged one by one; other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
