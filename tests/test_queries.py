@@ -1,8 +1,11 @@
 """Every query against its SQL on the smallest tables."""
 
+import re
+
 import duckdb
 import pytest
 
+from vellumflow.operators import claims
 from vellumflow.plans.catalog import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +38,36 @@ def test_matches_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def brute_claims(text):
+    """Distinct claims of a text, by Python's patterns."""
+    py = lambda p: p.replace("(?iU)", "(?i)")
+    out = []
+    for sentence in re.split(r"(?<=[.!?])(?:\s+|(?=[A-Z]))", " ".join(text.split())):
+        whole = re.search(r"(?i)\bnot only\b.+\bbut (?:also|even)\b", sentence)
+        for c in [sentence] if whole else re.split(r"(?i)(?:[;\n]+|\s*,?\s+\b(?:but|however|whereas)\b\s*)", sentence):
+            c = c.strip()
+            if c and not re.search(py(claims.RELATED), c) and re.search(py(claims.CLAIM), c) and c.lower() not in out:
+                out.append(c.lower())
+    return out[: claims.MOST_ENVELOPES]
+
+
+def test_claims_of_whole_texts(spark, tmp_path):
+    rows = [
+        (1, "First words. We find that heat helps. It is late; our results show less noise, but we show more. we find that heat helps.", "en", "a"),
+        (2, "Nothing here. " * 50 + "Prior work and we find it. Our model improves recall.", "en", "a"),
+        (3, "We find. We show. We report. We confirm. We achieve. We observe.", "en", "b"),
+        (4, "Premier. We find that heat helps.", "fr", "b"),
+        (5, "Rien.", "fr", "b"),
+    ]
+    given = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source").where("text is not null")
+    df = given.unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    want = {}
+    for r in df.collect():
+        n = len(brute_claims((f"We show that accuracy improves by {r.doc_id}% on ImageNet. " if r.lang == "en" else "") + r.text))
+        papers, some, every = want.get(r.source, (0, 0, 0))
+        want[r.source] = (papers + 1, some + (n > 0), every + n)
+    got = {r.source: (r.paper_count, r.with_envelopes, r.envelopes) for r in QUERIES["claim_status"](spark, str(tmp_path)).collect()}
+    assert got == want and got["a"] == (2, 2, 6) and got["b"] == (3, 2, 6)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -26,6 +27,11 @@ def empty_strings() -> Column:
     return F.array().cast(STRINGS)
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once for each row, also where f reads it in lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def squeeze(c: Column | str) -> Column:
     """Outer white space off, inner runs to one space."""
     return F.trim(F.regexp_replace(col(c), r"(?U)\s+", " "))

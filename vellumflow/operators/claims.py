@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumflow.functions.text import claim_clauses, fold, squeeze, tidy, tight_sentences
+from vellumflow.functions.text import claim_clauses, fold, once, squeeze, tidy, tight_sentences
 from vellumflow.schemas import ENVELOPE
 
 MOST_ENVELOPES, MOST_BOUNDARIES, LONGEST_CLAIM = 5, 3, 1000
@@ -131,7 +131,7 @@ def claims(clean: Column) -> Column:
         lambda s, i: F.transform(claim_clauses(s), lambda c: F.struct(i.alias("sentence_index"), F.regexp_replace(c, r"(?U)^\s+|\s+$", "").alias("claim"))),
     )
     found = F.filter(F.flatten(per_sentence), lambda x: (x["claim"] != "") & ~x["claim"].rlike(RELATED) & x["claim"].rlike(CLAIM))
-    new = F.filter(found, lambda x, i: ~F.exists(F.slice(found, F.lit(1), i), lambda y: fold(y["claim"]) == fold(x["claim"])))
+    new = once(found, lambda every: F.filter(every, lambda x, i: ~F.exists(F.slice(every, F.lit(1), i), lambda y: fold(y["claim"]) == fold(x["claim"]))))
     return F.slice(new, 1, MOST_ENVELOPES)
 
 
@@ -163,8 +163,8 @@ def _envelope(c: Column, limits: Column) -> Column:
 def envelopes(abstract: Column) -> Column:
     """The claims of an abstract with their details; a claim over LONGEST_CLAIM characters is an error."""
     clean = squeeze(F.coalesce(abstract, F.lit("")))
-    found = claims(clean)
-    checked = F.when(F.exists(found, lambda c: F.length(c["claim"]) > LONGEST_CLAIM), F.raise_error(F.lit("a claim is too long")).cast("array<struct<sentence_index:int,claim:string>>")).otherwise(found)
+    too_long = F.raise_error(F.lit("a claim is too long")).cast("array<struct<sentence_index:int,claim:string>>")
+    checked = once(claims(clean), lambda found: F.when(F.exists(found, lambda c: F.length(c["claim"]) > LONGEST_CLAIM), too_long).otherwise(found))
     return F.transform(checked, lambda c: _envelope(c, boundaries(clean)))
 
 

@@ -445,9 +445,9 @@ def usage_match(spark, sf_dir):
 
 @query()
 def claim_status(spark, sf_dir):
-    """Claims of generated abstracts: a claim phrase before each document's first sentence, with its number as the value."""
-    first = F.concat(F.lit("We show that accuracy improves by "), F.col("doc_id").cast("string"), F.lit("% on ImageNet. "), T.first_sentence("text"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.when(F.col("lang") == "en", first).otherwise(F.col("text")).alias("abstract"))
+    """Claims of whole texts; before each English one is a generated claim with the document's number as the value."""
+    planted = F.concat(F.lit("We show that accuracy improves by "), F.col("doc_id").cast("string"), F.lit("% on ImageNet. "), F.col("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.when(F.col("lang") == "en", planted).otherwise(F.col("text")).alias("abstract"))
     return shard_counts(with_claims(docs), "source")
 
 
