@@ -71,3 +71,13 @@ def test_claims_of_whole_texts(spark, tmp_path):
         want[r.source] = (papers + 1, some + (n > 0), every + n)
     got = {r.source: (r.paper_count, r.with_envelopes, r.envelopes) for r in QUERIES["claim_status"](spark, str(tmp_path)).collect()}
     assert got == want and got["a"] == (2, 2, 6) and got["b"] == (3, 2, 6)
+
+
+def test_prompts_of_all_documents(spark, tmp_path):
+    rows = [(1, "word " * 500, "en", "a"), (2, "word " * 2000, "en", "a"), (3, None, "en", "a"), (4, "Short. Text.", "en", None), (5, "", "en", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.length for r in QUERIES["prompts"](spark, str(tmp_path)).collect()}
+    empty = len("TITLE\n\n\nABSTRACT\n\n")
+    whole = len("\nFULL PAPER TEXT\n")
+    assert got == {1: empty + 1 + 240 + whole + 2500, 2: 4000, 3: empty + 1, 4: empty + 12 + whole + 12, 5: empty + 1}

@@ -371,8 +371,10 @@ def head_tail(spark, sf_dir):
 
 @query()
 def prompts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), T.first_sentence("text").alias("abstract"), F.col("text").alias("full_text"))
-    return prompt_text(docs.where("length(abstract) < 2000"), 4000).select("doc_id", F.length("prompt").alias("length"))
+    """Prompts of all documents, with the source as title and the short statement as abstract; what is null is empty."""
+    title, abstract = (F.coalesce(c, F.lit("")) for c in (F.col("source"), T.short_statement("text")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", title.alias("title"), abstract.alias("abstract"), F.col("text").alias("full_text"))
+    return prompt_text(docs, 4000).select("doc_id", F.length("prompt").alias("length"))
 
 
 @query("SELECT doc_id, doc_id::VARCHAR AS base, (doc_id % 5)::INT AS version FROM documents")
