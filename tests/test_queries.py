@@ -1,11 +1,12 @@
 """Every query against its SQL on the smallest tables."""
 
+import collections
 import re
 
 import duckdb
 import pytest
 
-from vellumflow.operators import claims
+from vellumflow.operators import claims, terms
 from vellumflow.plans.catalog import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -81,3 +82,18 @@ def test_prompts_of_all_documents(spark, tmp_path):
     empty = len("TITLE\n\n\nABSTRACT\n\n")
     whole = len("\nFULL PAPER TEXT\n")
     assert got == {1: empty + 1 + 240 + whole + 2500, 2: 4000, 3: empty + 1, 4: empty + 12 + whole + 12, 5: empty + 1}
+
+
+def brute_keywords(text):
+    words = [w for w in re.findall(r"\b\w\w+\b", text.lower()) if w not in terms.STOP_WORDS]
+    counts = collections.Counter(words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)])
+    return "|".join(sorted(counts, key=lambda t: (-counts[t], t.encode()))[:12])
+
+
+def test_keywords_of_documents(spark, tmp_path):
+    rows = [(10**6, "the of"), (10**6 + 1, None), (10**6 + 2, "beta Beta alpha " * 3000), (10**6 + 3, " ".join(f"w{i % 701}" for i in range(20_000))), (10**6 + 4, "one")]
+    given = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    df = given.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.terms for r in QUERIES["keywords"](spark, str(tmp_path)).collect()}
+    assert got == {r.doc_id: brute_keywords(r.text or "") for r in df.collect()}

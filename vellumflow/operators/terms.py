@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellumflow.functions.text import once
+
 # English words that are no terms.
 STOP_WORDS = (
     "a about above after again against all am an and any are as at be because been before being below between both but by can cannot could did do "
@@ -46,18 +48,19 @@ def char_grams(text: Column, least: int = 3, most: int = 5) -> Column:
 
 def keywords(text: Column, n: int = 12) -> Column:
     """The n most frequent 1- and 2-word terms, equal counts in order of the term."""
-    terms = grams(tokens(text))
-    counts = F.aggregate(F.array_sort(terms), F.struct(F.lit("").alias("last"), F.array().cast("array<struct<o:int,t:string>>").alias("out")), _tally, lambda acc: acc["out"])
-    return F.transform(F.slice(F.array_sort(counts), 1, n), lambda x: x["t"])
-
-
-def _tally(acc: Column, t: Column) -> Column:
-    """Counts runs of a sorted list: the last entry grows while its term repeats."""
-    out = acc["out"]
-    head = F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))
-    same = (F.size(out) > 0) & (acc["last"] == t)
-    one = F.struct(F.when(same, F.element_at(F.when(F.size(out) > 0, out), -1)["o"] - 1).otherwise(F.lit(-1)).alias("o"), t.alias("t"))
-    return F.struct(t.alias("last"), F.when(same, F.array_append(head, one)).otherwise(F.array_append(out, one)).alias("out"))
+    return once(tokens(text), lambda words: once(F.sort_array(grams(words)), lambda terms: _ranked(terms, n)))
+
+
+def _ranked(terms: Column, n: int) -> Column:
+    """The n most frequent of sorted terms: a term's count is the distance from its first place to the next term's."""
+    places = F.when(F.size(terms) > 0, F.sequence(F.lit(0), F.size(terms) - 1)).otherwise(F.array().cast("array<int>"))
+    firsts = F.filter(places, lambda i: (i == 0) | (F.get(terms, i) != F.get(terms, i - 1)))
+
+    def rank(firsts: Column) -> Column:
+        counts = F.transform(firsts, lambda at, k: F.struct((at - F.coalesce(F.get(firsts, k + 1), F.size(terms))).alias("o"), F.get(terms, at).alias("t")))
+        return F.transform(F.slice(F.sort_array(counts), 1, n), lambda x: x["t"])
+
+    return once(firsts, rank)
 
 
 def term_counts(docs: DataFrame, key: str, terms: Column) -> DataFrame:

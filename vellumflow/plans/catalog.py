@@ -411,7 +411,7 @@ def top_words(spark, sf_dir):
 
 @query()
 def keywords(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", F.concat_ws("|", terms.keywords(F.col("text"))).alias("terms"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("|", terms.keywords(F.col("text"))).alias("terms"))
 
 
 @query(
