@@ -36,6 +36,21 @@ def test_stages(spark, tmp_path):
     assert packed.agg(F.sum("length")).head()[0] == packing.cut(docs).agg(F.sum("length")).head()[0]
 
 
+def test_near_dedup_links_by_four_words(spark):
+    from test_operators import brute_components
+
+    # One of 43 words changed: 36 of 44 shingles of four words are shared, 34 of 44 of five. Of 60 words both sizes link.
+    texts = {}
+    for i, n in enumerate((43, 60, 43, 60)):
+        words = [f"w{i}x{j}" for j in range(n)]
+        texts[2 * i], texts[2 * i + 1] = " ".join(words), " ".join([*words[:20], "other", *words[21:]])
+    rows = [(i, t, "en", "s", len(t)) for i, t in texts.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    four, five = ({i for i, (_, root) in brute_components(texts, n).items() if i == root} for n in (4, 5))
+    assert four != five
+    assert {r.doc_id for r in P.near_dedup(spark, df, SF).collect()} == four
+
+
 def test_stages_take_odd_rows(spark, odd, empty):
     for df in (odd.withColumn("n_chars", F.length("text").cast("long")), empty.withColumn("n_chars", F.lit(0).cast("long"))):
         for _, stage in P.STAGES:
