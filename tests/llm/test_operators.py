@@ -274,6 +274,22 @@ def test_sentencepiece_ids(spark, docs, texts):
     assert {r.doc_id: r.text for r in sentencepieces.decode(ids, path).collect()} == {i: t or "" for i, t in enumerate(made)}
 
 
+def test_sentencepiece_merges_of_odd_texts():
+    import public_tokenizers
+    import sentencepiece
+
+    path = str(public_tokenizers.path("piece_bpe_32k.model"))
+    sp, model = sentencepiece.SentencePieceProcessor(model_file=path), sentencepieces.load(path)
+    rng = np.random.default_rng(5)
+    # Runs of blanks have pieces of equal scores; long words without blanks; characters that are no pieces.
+    made = [" " * k + w + " " * j for k in range(0, 40, 3) for w in ("", "the", "é") for j in range(0, 40, 3)]
+    made += ["".join(rng.choice(list("abcdeinrst ▁éÀ日0123456789.,\n-_/"), rng.integers(1, 200))) for _ in range(800)]
+    made += ["aaaaaaa" * 60, "日本語のテキスト" * 300, "http://www.example.com/index.php?id=123456789&foo=bar" * 9]
+    ids, counts = sentencepieces.encode_batch(model, made)
+    ends = np.cumsum(counts)
+    assert [ids[e - n : e].tolist() for e, n in zip(ends, counts, strict=True)] == [sp.encode(t) for t in made]
+
+
 def test_viterbi_is_best(texts):
     import public_tokenizers
 
@@ -371,6 +387,44 @@ def test_chat(spark):
     assert got[(3, "a")].n_own == 2 and chat_format.rotate(df.limit(0)).count() == 0
 
 
+def brute_sides(rows, part):
+    """Parts of the dialogues from every side, from whole renderings."""
+    talks = collections.defaultdict(list)
+    for c, turn, role, text in rows:
+        talks[c].append((turn is not None, turn or 0, role or "unknown", text or ""))
+    out = {}
+    for c, turns in talks.items():
+        turns.sort()
+        for speaker in {t[2] for t in turns} - {"system"}:
+            at = 0
+            for i, (_, _, role, text) in enumerate(turns):
+                name = "system" if role == "system" else "assistant" if role == speaker else f"user name={role}"
+                head, body = f"<|{name}|>\n", f"{text}<|end|>\n"
+                own = out.setdefault((c, speaker, i // part), [at, 0, 0, "", []])
+                own[1] += 1
+                own[3] += head + body
+                if role == speaker:
+                    own[2] += 1
+                    own[4].append(f"{at + len(head)}:{at + len(head) + len(body)}")
+                at += len(head) + len(body)
+    return {k: (a, n, o, t, ",".join(m)) for k, (a, n, o, t, m) in out.items()}
+
+
+def test_chat_of_any_length(spark):
+    roles = ["ann", "bob", None, "system", "é"]
+    rows = [(1, i, roles[i % 7 % 5], f"t{i}" * (i % 5)) for i in range(3000)]
+    # Many rows of a null turn and of one turn, equal rows, a very long text, a dialogue of one turn.
+    rows += [(2, None, "a", f"x{i}") for i in range(1500)] + [(2, 7, "b", "same")] * 1200
+    rows += [(3, 1, "a", "long " * 40_000), (3, 2, "b", "😀"), (4, 5, "a", "one"), (None, 1, "a", "no id"), (5, 1, "system", "alone")]
+    df = spark.createDataFrame([(*r, 0, "c", 1) for r in rows], "conv_id long, turn long, role string, text string, part int, conv string, start int").repartition(5)
+    got = {(r.conv_id, r.speaker, r.part): (r.start, r.n_turns, r.n_own, r.text, r.mask) for r in chat_format.rotate(df).collect()}
+    assert got == brute_sides(rows, chat_format.PART)
+    assert got[(1, "ann", 2)][0] == len(got[(1, "ann", 0)][3]) + len(got[(1, "ann", 1)][3])
+    small = [r for r in rows if r[0] in (3, 4, None)]
+    got = {(r.conv_id, r.speaker, r.part): (r.start, r.n_turns, r.n_own, r.text, r.mask) for r in chat_format.rotate(spark.createDataFrame(small, "conv_id long, turn long, role string, text string"), part=1).collect()}
+    assert got == brute_sides(small, 1)
+
+
 ROW_WISE = {
     "license": lambda d: license_scan.scan_licenses(d),
     "secrets": lambda d: secret_scan.find_secrets(d),

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import gc
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,31 +34,84 @@ def scratch_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: While a table is stored: shuffle files go when it is there, and bucketed tables keep their order when they are read.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.legacy.bucketedTableScan.outputOrdering": "true"}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session's settings with these values, and as they were afterwards."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 class Scratch:
-    """Tables of one run under the shared folder; drop() removes those that nothing reads any more."""
+    """Tables of one run under the shared folder. drop() removes one that nothing reads any more, close() all of them."""
+
+    opened: list[Scratch] = []
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.path = f"{scratch_dir(spark)}/vellumflow/{uuid.uuid4().hex}"
+        self.run = uuid.uuid4().hex
+        self.path = f"{scratch_dir(spark)}/vellumflow/{self.run}"
+        self.sorted_tables: list[str] = []
+        Scratch.opened.append(self)
 
     def store(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         path, schema = f"{self.path}/{name}", df.schema
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-        del df, writer
-        release(self.spark)
+        with settings(self.spark, WRITING):
+            writer = df.write.mode("overwrite")
+            (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
+    def store_sorted(self, df: DataFrame, name: str, keys: list[str], dealt: bool = False) -> DataFrame:
+        """A table in buckets of the keys, each one a sorted file: joins by the keys neither shuffle nor sort it.
+
+        dealt: df comes from joins of such tables, so that its partitions are the buckets. (Unions of such tables are
+        not safe: where Spark 4.1 reads them by columns it takes their partitions for those of the buckets.)
+        """
+        table = f"vellumflow_{self.run}_{name}"
+        with settings(self.spark, WRITING):
+            df = df if dealt else df.repartition(buckets(self.spark), *keys)
+            df.sortWithinPartitions(*keys).write.format("parquet").bucketBy(buckets(self.spark), *keys).sortBy(*keys).option("path", f"{self.path}/{name}").saveAsTable(table)
+        self.sorted_tables.append(name)
+        return self.spark.table(table)
+
     def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        if name in self.sorted_tables:
+            self.sorted_tables.remove(name)
+            self.spark.sql(f"DROP TABLE IF EXISTS vellumflow_{self.run}_{name}")
+        self._delete(f"{self.path}/{name}")
+
+    def close(self) -> None:
+        for name in list(self.sorted_tables):
+            self.drop(name)
+        self._delete(self.path)
+
+    def _delete(self, path: str) -> None:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of plans that are done."""
-    gc.collect()
-    spark._jvm.System.gc()
+@contextmanager
+def passing() -> Iterator[None]:
+    """Removes in the end the tables of all runs begun inside. Their results have to be stored elsewhere by then."""
+    before = len(Scratch.opened)
+    try:
+        yield
+    finally:
+        while len(Scratch.opened) > before:
+            Scratch.opened.pop().close()
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -1,10 +1,10 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a stored table of line keys (two 64-bit hashes), sorted by key, with the number of documents that hold the
-key. The first run that sees a key also names its keeper. A new batch of lines is merge-anti-joined with the
-runs: keys that no run has are new and get the batch's largest document as keeper, the others only add to counts.
-FANOUT runs of a level are compacted into one run of the next. Batches come in descending document order, so the
-keeper of a key is the largest document that holds it.
+A run is a stored table of line keys (two 64-bit hashes), in buckets of the key and sorted in each, with the number of
+documents that hold the key. The first run that sees a key also names its keeper. A new batch of lines is sorted
+once and merge-joined with the runs, which are read in their order: keys that no run has are new and get the batch's
+largest document as keeper, the others only add to counts. FANOUT runs of a level are compacted into one run of the
+next. Batches come in descending document order, so the keeper of a key is the largest document that holds it.
 """
 
 from __future__ import annotations
@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumflow.llm.common import KEY, Scratch, arrow_map, join_keyed, join_small, keyed
+from vellumflow.llm.common import KEY, Scratch, arrow_map, buckets, join_keyed, join_small, keyed
 from vellumflow.llm.kernel import LOWER, Lines, Texts, as_signed, code_points, mix, slices, span_hashes
 
 LINE = ["k1", "k2"]
-FANOUT = 3
+FANOUT = 2
 LEAST_ID = -(1 << 63)
 
 
@@ -37,37 +37,53 @@ class LineRuns:
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level.values()]
 
-    def _write(self, df: DataFrame, level: int) -> None:
+    def _write(self, df: DataFrame, dealt: bool) -> tuple[str, DataFrame]:
         name = f"run{self.made}"
         self.made += 1
-        while len(self.levels) <= level:
-            self.levels.append({})
-        self.levels[level][name] = self.scratch.store(df.repartition(*LINE).sortWithinPartitions(*LINE), name)
+        return name, self.scratch.store_sorted(df, name, LINE, dealt)
+
+    def _merge(self, runs: dict[str, DataFrame]) -> tuple[str, DataFrame]:
+        """One run of several, two by two, the later (smaller) ones first; the old ones go."""
+        rest = list(runs.items())
+        while len(rest) > 1:
+            (a, one), (b, two) = rest.pop(), rest.pop()
+            rest.append(self._write(_merged(one, two), True))
+            self.scratch.drop(a)
+            self.scratch.drop(b)
+        return rest[0]
 
     def add(self, batch: DataFrame) -> None:
         """batch: k1, k2, n (documents), keeper (the largest); a row for each key."""
-        if runs := self.runs():
-            known = reduce(DataFrame.unionByName, [r.where("keeper is not null").select(*LINE) for r in runs])
-            fresh = batch.join(known.hint("merge"), LINE, "left_anti")
-            again = batch.join(known.hint("merge"), LINE, "left_semi").withColumn("keeper", F.lit(None).cast("long"))
-            batch = fresh.unionByName(again)
-        self._write(batch, 0)
-        level = 0
-        while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
-            old = self.levels[level]
-            self._write(_merged(list(old.values())), level + 1)
-            for name in old:
-                self.scratch.drop(name)
+        runs = self.runs()
+        if runs:
+            batch = batch.repartition(buckets(batch.sparkSession), *LINE)
+            for i, run in enumerate(runs):
+                batch = batch.join(run.select(*LINE, F.col("keeper").isNotNull().alias(f"_seen{i}")).hint("merge"), LINE, "left")
+            old = reduce(lambda a, b: a | b, (F.coalesce(f"_seen{i}", F.lit(False)) for i in range(len(runs))))
+            batch = batch.select(*LINE, "n", F.when(~old, F.col("keeper")).alias("keeper"))
+        name, run = self._write(batch, bool(runs))
+        self.levels[0][name] = run
+        for level, own in enumerate(self.levels):
+            if len(own) < self.fanout:
+                break
+            if level + 1 == len(self.levels):
+                self.levels.append({})
+            name, run = self._merge(own)
+            self.levels[level + 1][name] = run
             self.levels[level] = {}
-            level += 1
 
-    def totals(self) -> DataFrame | None:
-        """k1, k2, n, keeper of every key."""
-        return _merged(runs) if (runs := self.runs()) else None
+    def totals(self) -> DataFrame:
+        """k1, k2, n, keeper of every key, once a batch was added: all runs in one."""
+        runs = {name: run for level in reversed(self.levels) for name, run in level.items()}
+        name, run = self._merge(runs)
+        self.levels = [{name: run}]
+        return run
 
 
-def _merged(runs: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, runs).groupBy(*LINE).agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"))
+def _merged(one: DataFrame, two: DataFrame) -> DataFrame:
+    one = one.withColumnsRenamed({"n": "n1", "keeper": "keeper1"})
+    both = one.join(two.hint("merge"), LINE, "full")
+    return both.select(*LINE, (F.coalesce("n1", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n"), F.greatest("keeper1", "keeper").alias("keeper"))
 
 
 def _keys(lines: Lines, texts: Texts, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,20 +146,34 @@ def _drop_lines(batch: pa.RecordBatch, least: int) -> Iterator[pa.RecordBatch]:
         )
 
 
-def drop_common_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, batches: int = 4, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+def drop_common_lines(
+    docs: DataFrame,
+    min_docs: int = 5,
+    min_chars: int = 40,
+    batches: int = 4,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    with_text: bool = True,
+    carry: list[str] | None = None,
+) -> DataFrame:
     """Drops lines whose key stands in at least min_docs documents, except in the largest document id holding it.
 
     A key is the line without outer ASCII white space, A-Z lower-cased; keys under min_chars code points stay.
     Returns a row for each row of docs: doc_id, n_lines, n_dropped, kept_sha256, kept_text, and the row key _d, _t
-    (with_text=False: the first four).
+    (with_text=False: the first four), or with `carry` a row for each row of docs with the columns named there,
+    and after them n_lines, n_dropped and kept_text.
 
     Null or empty text is one empty line. Each row is a document; rows with one id all keep a line that their
-    id keeps. A null id counts as the smallest. Other columns are ignored; ids are integers.
+    id keeps. A null id counts as the smallest. An empty table gives an empty table. Columns that aren't carried are
+    ignored, whatever their names; ids are integers.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows = keyed(docs, id_col, text_col)
-    named = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("id"), "text", *KEY)
+    if carry:
+        rows = docs.select(F.struct(*carry).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("_id"))
+        rows = rows.select("*", F.xxhash64("_id").alias("_d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t"))
+    named = rows.select(F.coalesce(F.col("_id" if carry else "doc_id").cast("long"), F.lit(LEAST_ID)).alias("id"), "text", *KEY)
     keys = scratch.store(arrow_map(named, lambda b: _emit_keys(b, min_chars), "k1 long, k2 long, id long, _d long, _t long"), "keys")
     parts = [i / batches for i in range(1, batches)]
     bounds = sorted(set(keys.agg(F.percentile_approx("id", parts).alias("q")).head().q or [])) if parts else []
@@ -166,6 +196,8 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, b
     joined = join_keyed(rows, held, KEY, "left").select("doc_id", "text", *KEY, F.coalesce("drops.k1", empty).alias("drop1"), F.coalesce("drops.k2", empty).alias("drop2"))
     kind = joined.schema["doc_id"].dataType.simpleString()
     out = arrow_map(joined, lambda b: _drop_lines(b, min_chars), f"doc_id {kind}, _d long, _t long, n_lines long, n_dropped long, kept_sha256 string, kept_text string")
+    if carry:
+        return out.select("doc_id.*", "n_lines", "n_dropped", "kept_text")
     return out if with_text else out.drop("kept_text", *KEY)
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame
 
 from vellumflow.llm.ann import op5_nearest_neighbours
@@ -32,7 +31,7 @@ QUERIES: dict[str, Callable[..., DataFrame]] = {
         op9_chat_format,
         op10_minhash_near_dedup,
     )
-} | {"pipeline": corpus_pipeline.run}
+}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACE = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
@@ -62,23 +61,19 @@ ORACLE: dict[str, str] = {
         FROM marked GROUP BY doc_id
     """,
     "op9_chat_format": """
-        WITH t AS (
-            SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
-                coalesce(floor(turn / 1024), 0)::BIGINT AS part
-            FROM conversations
-        ),
+        WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
         side AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
         piece AS (
-            SELECT t.conv_id, speaker, part, turn, role, text, role = speaker AS own,
+            SELECT t.conv_id, speaker, turn, role, text, role = speaker AS own,
                 '<|' || CASE WHEN role = 'system' THEN 'system' WHEN role = speaker THEN 'assistant' ELSE 'user name=' || role END || '|>' || chr(10) AS head,
                 text || '<|end|>' || chr(10) AS body,
-                row_number() OVER (PARTITION BY t.conv_id, speaker, part ORDER BY turn NULLS FIRST, role, text) AS i
+                row_number() OVER (PARTITION BY t.conv_id, speaker ORDER BY turn NULLS FIRST, role, text) AS i
             FROM t JOIN side ON t.conv_id IS NOT DISTINCT FROM side.conv_id
         ),
         placed AS (
-            SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, part ORDER BY i ROWS UNBOUNDED PRECEDING) AS stop FROM piece
+            SELECT *, (i - 1) // 1024 AS part, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker ORDER BY i ROWS UNBOUNDED PRECEDING) AS stop FROM piece
         )
-        SELECT conv_id, speaker, part, count(*)::BIGINT AS n_turns, (count(*) FILTER (WHERE own))::BIGINT AS n_own,
+        SELECT conv_id, speaker, part, min(stop - length(body) - length(head))::BIGINT AS start, count(*)::BIGINT AS n_turns, (count(*) FILTER (WHERE own))::BIGINT AS n_own,
             string_agg(head || body, '' ORDER BY i) AS text,
             coalesce(string_agg((stop - length(body))::BIGINT || ':' || stop::BIGINT, ',' ORDER BY i) FILTER (WHERE own), '') AS mask
         FROM placed GROUP BY conv_id, speaker, part
@@ -102,4 +97,4 @@ ORACLE: dict[str, str] = {
         SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, d.doc_id = c AS kept
         FROM (SELECT doc_id, min(r) AS c FROM reach GROUP BY doc_id) d LEFT JOIN size USING (doc_id)
     """,
-} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+}

@@ -2,14 +2,17 @@
 
 Texts are cut into words (a run of word marks and what follows up to the next mark; no piece crosses that border).
 The distinct words of a slice advance together by length: hashes of all their substrings probe the sorted
-piece keys, which gives a table of piece numbers by start and length. Unigram models take the best-scoring
-segmentation by Viterbi, position by position, with vectorised maxima that store backpointers. BPE models are not
-best-scoring segmentations, so their words merge the best adjacent pair, all words of a length at once.
+piece keys, which gives a table of piece numbers by start and length. A Viterbi pass then goes position by position, with
+vectorised maxima that store backpointers. Unigram models take the segmentation of the greatest sum of scores.
+
+BPE models merge the best-scoring adjacent pair again and again, which is no greatest sum. Yet what merging gives for a
+prefix never changes when the prefix grows by a whole piece, and a segmentation is that of the merges exactly if each two
+neighbouring pieces, merged by themselves, stay as they are. So the same pass holds for BPE: the score of a step is 0 if
+the piece stands beside the last piece of the prefix before it, else minus infinity, and one step has score 0.
 """
 
 from __future__ import annotations
 
-import heapq
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,9 +26,13 @@ from vellumflow.llm.common import arrow_map
 from vellumflow.llm.kernel import mix, slices
 
 MARK = 0x2581
-#: Words longer than this merge by a heap, each for itself; their Viterbi pass is the same as that of others.
+#: Words longer than this are first cut where no piece has the two characters side by side.
 LONG = 48
 RUN_BITS = 18
+#: Answers on pairs of pieces that a process keeps, by the first bits of the mixed pair.
+PAIR_BITS = 18
+#: Order of a piece that no merge makes.
+WHOLE = -1
 CACHED = 1 << 19
 # Field numbers and codes of the model file.
 PIECE, TRAINER, NORMALIZER = 1, 2, 3
@@ -96,7 +103,7 @@ class Cache:
 class Model:
     """The pieces of a model file: texts, scores, kinds, and sorted keys of those that can match."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, algorithm: int | None = None):
         self.texts, scores, kinds = [], [], []
         self.algorithm, self.byte_fallback = UNIGRAM, False
         self.prefix, self.squeeze, charsmap = True, True, b""
@@ -112,6 +119,7 @@ class Model:
             elif field == NORMALIZER:
                 entry = dict(_fields(value))
                 charsmap, self.prefix, self.squeeze = entry.get(2, b""), bool(entry.get(3, 1)), bool(entry.get(4, 1))
+        self.algorithm = algorithm or self.algorithm
         if charsmap or self.squeeze or USER in kinds or UNUSED in kinds or not self.byte_fallback:
             raise ValueError("only models that keep the text as it is and fall back to bytes can be read")
         self.scores, self.kinds = np.array(scores, np.float64), np.array(kinds)
@@ -127,6 +135,7 @@ class Model:
         # Sorted keys by their first bits: where each run of equal first bits begins.
         self.runs = np.searchsorted(self.keys >> np.uint64(64 - RUN_BITS), np.arange((1 << RUN_BITS) + 1).astype(np.uint64)).astype(np.int32)
         self.longest_run = int(np.diff(self.runs).max())
+        self.joined = np.unique(np.concatenate([(p[:-1] << np.uint64(32)) | p[1:] for p in points]))
         self.cache = Cache()
         self.unknown = self.scores[normal].min() - UNKNOWN_PENALTY
         self.byte_ids = np.zeros(256, np.int32)
@@ -136,6 +145,76 @@ class Model:
         self.bytes = np.frombuffer(b"".join(bytes_of), np.uint8)
         self.ends = np.cumsum([len(b) for b in bytes_of])
         self.sizes = np.array([len(b) for b in bytes_of])
+        if self.algorithm == BPE:
+            self._learn_merges(normal, points)
+
+    def _learn_merges(self, normal: np.ndarray, points: list[np.ndarray]) -> None:
+        """The order of each piece among the merges, and the two pieces that its last merge joins.
+
+        Parts have to be of no later order than what they make, as trained models have it. A character that is no piece
+        is the piece number len(texts), which nothing joins.
+        """
+        n = len(self.texts) + 1
+        lengths = np.zeros(n, np.int64)
+        lengths[normal] = [len(p) for p in points]
+        lengths[-1] = 1
+        made = normal[lengths[normal] > 1]
+        self.order = np.full(n, WHOLE)
+        self.order[made] = np.unique(-self.scores[made], return_inverse=True)[1]
+        self.left, self.right = np.arange(n), np.arange(n)
+        self.reached = np.zeros(n, bool)
+        self.reached[normal[lengths[normal] == 1]] = self.reached[-1] = True
+        up, _ = _powers(self.longest + 1)
+        self.shift = up[lengths]
+        self.hashed = np.zeros(n, np.uint64)
+        self.hashed[self.numbers] = self.keys
+        self.pair_keys, self.pair_ok = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
+        by_number = dict(zip(normal.tolist(), points, strict=True))
+        for length in range(2, self.longest + 1):
+            own = made[lengths[made] == length]
+            if not len(own):
+                continue
+            table = self.table(np.stack([by_number[i] for i in own.tolist()]))
+            for cut in range(1, length):
+                a, b = table[:, 0, cut - 1], table[:, cut, length - cut - 1]
+                some = np.flatnonzero((a >= 0) & (b >= 0))
+                a, b, whole = a[some], b[some], own[some]
+                fits = self.reached[a] & self.reached[b] & (np.maximum(self.order[a], self.order[b]) <= self.order[whole])
+                a, b, whole = a[fits], b[fits], whole[fits]
+                stays = self._stay(a, b, self.order[whole])
+                self.left[whole[stays]], self.right[whole[stays]] = a[stays], b[stays]
+                self.reached[whole[stays]] = True
+
+    def _stay(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """Whether pieces a and b side by side stay as they are by merges of an order below limit.
+
+        The merges within both are undone from the last on. If what then meets at the border makes a piece of a lower order than the
+        merge undone, merging would have joined it instead. Of equal merges the left one comes first: undone last.
+        """
+        ok = np.ones(len(a), bool)
+        at, a, b, limit = np.arange(len(a)), a.astype(np.int64), b.astype(np.int64), limit.copy()
+        while len(at):
+            met = self.probe(self.hashed[a] + self.shift[a] * self.hashed[b])
+            met = np.where((a < len(self.texts)) & (b < len(self.texts)), met, -1)
+            joins = (met >= 0) & (self.order[met] < limit)
+            ok[at[joins]] = False
+            going = ~joins & ((self.order[a] > WHOLE) | (self.order[b] > WHOLE))
+            at, a, b = at[going], a[going], b[going]
+            first = self.order[a] > self.order[b]
+            limit = np.where(first, self.order[a], self.order[b] + 1)
+            a, b = np.where(first, self.right[a], a), np.where(first, b, self.left[b])
+        return ok
+
+    def beside(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """_stay without limit, with the answers to pairs met before."""
+        pair = a.astype(np.int64) * (len(self.texts) + 1) + b
+        slot = (mix(pair.astype(np.uint64)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        out = self.pair_ok[slot]
+        new = np.flatnonzero(self.pair_keys[slot] != pair)
+        if len(new):
+            out[new] = self._stay(a[new], b[new], np.full(len(new), len(self.order)))
+            self.pair_keys[slot[new]], self.pair_ok[slot[new]] = pair[new], out[new]
+        return out
 
     def probe(self, keys: np.ndarray) -> np.ndarray:
         """The piece number of each key, or -1."""
@@ -171,77 +250,46 @@ class Model:
             choice = options.argmax(axis=1)
             best[:, end] = options[np.arange(n), choice]
             back[:, end] = lengths[choice]
-        ends = np.zeros((n, size + 1), bool)
-        at = np.full(n, size)
-        while at.any():
-            some = np.flatnonzero(at)
-            ends[some, at[some]] = True
-            at[some] -= back[some, at[some]]
-        return ends[:, 1:]
-
-    def merges(self, pieces: np.ndarray) -> np.ndarray:
-        """Segment ends after merging, again and again, each word's best-scoring adjacent pair, the leftmost of equals."""
+        return _ends(back)
+
+    def viterbi_merges(self, pieces: np.ndarray) -> np.ndarray:
+        """Segment ends of what merging gives: at each end, the piece that can stand beside the last one before it."""
         n, size, longest = pieces.shape
-        if size > LONG:
-            return np.stack([self._merge_long(p) for p in pieces])
-        score = np.append(self.scores, -np.inf)[pieces]
-        # following[w, i]: end of the segment that starts at i; starts that are merged away are size + 1
-        following = np.tile(np.arange(1, size + 2), (n, 1))
-        alive = np.ones((n, size + 1), bool)
-        alive[:, size] = False
-        active = np.arange(n)
-        rows, starts = np.arange(n)[:, None], np.arange(size)[None, :]
-        while len(active):
-            f, a = following[active], alive[active]
-            after = np.take_along_axis(f, np.minimum(f[:, :size], size), axis=1)
-            length = after - starts
-            fits = a[:, :size] & (f[:, :size] < size) & (length <= longest)
-            value = np.where(fits, score[active][rows[: len(active)], starts, np.clip(length, 1, longest) - 1], -np.inf)
-            choice = value.argmax(axis=1)
-            going = value[np.arange(len(active)), choice] > -np.inf
-            active, choice = active[going], choice[going]
-            middle = following[active, choice]
-            following[active, choice] = following[active, middle]
-            alive[active, middle] = False
-        ends = np.zeros((n, size + 1), bool)
-        where = np.nonzero(alive)
-        ends[where[0], following[where]] = True
-        return ends[:, 1:]
-
-    def _merge_long(self, pieces: np.ndarray) -> np.ndarray:
-        size, longest = pieces.shape
-        end, before = list(range(1, size + 1)), list(range(-1, size))
-        heap: list[tuple[float, int, int]] = []
-
-        def offer(i: int) -> None:
-            if 0 <= i and end[i] < size and (last := end[end[i]]) - i <= longest and (p := pieces[i, last - i - 1]) >= 0:
-                heapq.heappush(heap, (-self.scores[p], i, last))
-
-        for i in range(size - 1):
-            offer(i)
-        gone = [False] * (size + 1)
-        while heap:
-            _, i, last = heapq.heappop(heap)
-            if gone[i] or end[i] >= size or end[end[i]] != last:
-                continue
-            gone[end[i]] = True
-            end[i] = last
-            if last < size:
-                before[last] = i
-            offer(i)
-            offer(before[i])
-        out = np.zeros(size, bool)
-        out[[end[i] - 1 for i in range(size) if not gone[i]]] = True
-        return out
+        none = len(self.texts)
+        last = np.full((n, size + 1), none)
+        back = np.ones((n, size + 1), np.int64)
+        for end in range(1, size + 1):
+            lengths = np.arange(1, min(end, longest) + 1)
+            options = pieces[:, end - lengths, lengths - 1]
+            options[:, 0] = np.where(options[:, 0] < 0, none, options[:, 0])
+            word, which = np.nonzero((options >= 0) & self.reached[options])
+            piece = options[word, which]
+            before = last[word, end - lengths[which]]
+            fits = np.zeros(options.shape, bool)
+            fits[word, which] = self.beside(before, piece)
+            choice = fits.argmax(axis=1)
+            last[:, end] = options[np.arange(n), choice]
+            back[:, end] = lengths[choice]
+        return _ends(back)
+
+
+def _ends(back: np.ndarray) -> np.ndarray:
+    """The mask of segment ends that the backpointers (lengths of last pieces) lead to."""
+    n, size = back.shape[0], back.shape[1] - 1
+    ends = np.zeros((n, size + 1), bool)
+    at = np.full(n, size)
+    while at.any():
+        some = np.flatnonzero(at)
+        ends[some, at[some]] = True
+        at[some] -= back[some, at[some]]
+    return ends[:, 1:]
 
 
 @lru_cache(maxsize=4)
 def load(path: str, algorithm: int | None = None) -> Model:
     """algorithm: reads the pieces as those of a model of another kind."""
     with open(path, "rb") as f:
-        model = Model(f.read())
-    model.algorithm = algorithm or model.algorithm
-    return model
+        return Model(f.read(), algorithm)
 
 
 def _ragged(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -265,6 +313,13 @@ def encode_batch(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray
     cut[offsets[:-1][offsets[:-1] < len(points)]] = True
     start = np.flatnonzero(cut)
     size = np.diff(np.append(start, len(points)))
+    if model.algorithm == BPE and (long := np.flatnonzero(size > LONG)).size:
+        inside = _ragged(start[long] + 1, size[long] - 1)
+        pair = (points[inside - 1].astype(np.uint64) << np.uint64(32)) | points[inside]
+        at = np.minimum(np.searchsorted(model.joined, pair), len(model.joined) - 1)
+        cut[inside[model.joined[at] != pair]] = True
+        start = np.flatnonzero(cut)
+        size = np.diff(np.append(start, len(points)))
     up, down = _powers(len(points) + 1)
     total = np.zeros(len(points) + 1, np.uint64)
     np.cumsum(mix(points.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
@@ -281,7 +336,7 @@ def encode_batch(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray
             some = own[a : a + step]
             rows = points[start[one[some]][:, None] + np.arange(length)]
             pieces = model.table(rows)
-            ends = model.viterbi(pieces) if model.algorithm == UNIGRAM else model.merges(pieces)
+            ends = model.viterbi(pieces) if model.algorithm == UNIGRAM else model.viterbi_merges(pieces)
             w, e = np.nonzero(ends)
             s = np.zeros_like(e)
             s[1:] = np.where(w[1:] == w[:-1], e[:-1] + 1, 0)
@@ -337,7 +392,7 @@ def _encode(batch: pa.RecordBatch, path: str, algorithm: int | None) -> Iterator
 
 
 def encode(docs: DataFrame, path: str | None = None, algorithm: int | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """Ids of every row, by the model's own rule, or by the given one (UNIGRAM: Viterbi; BPE: merges).
+    """Ids of every row, by the model's own rule, or by the given one (UNIGRAM: greatest sum; BPE: merge order).
 
     Returns a row for each row of docs: doc_id, ids, n_ids, ids_crc32 (of little-endian unsigned 32-bit ids) and round_trip
     (does decoding give the text back). with_ids=False leaves the lists out.
