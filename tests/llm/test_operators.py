@@ -113,6 +113,46 @@ def test_masking(spark):
     assert got == {1: "a [SECRET] b [SECRET]", 2: "plain"}
 
 
+def test_masking_of_many_spans(spark):
+    """Against a loop, on long texts with overlapping, touching and many spans."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i, n in enumerate((5, 1023, 1024, 1025, 5000, 60_000)):
+        text = "".join(rng.choice(list("ab é😀\n日"), n))
+        at = sorted(rng.integers(0, n, max(1, n // 20)).tolist())
+        rows.append((i, text, [(a, 0, min(n, a + int(rng.integers(1, 30)))) for a in at]))
+    rows.append((6, "abcdef", [(0, 0, 2), (2, 1, 4), (5, 0, 6)]))
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans array<struct<start:int,kind:int,end:int>>")
+    for r in df.withColumn("got", secret_scan.masked("text", "spans")).collect():
+        out, at = [], None
+        for a, _, b in r.spans:
+            if at is None or a > at:
+                out += [r.text[at or 0 : a], secret_scan.MASK]
+            at = max(at or 0, b)
+        assert r.got == "".join(out) + r.text[at:]
+
+
+def test_markov_spares_names_of_another_source(spark):
+    """Long names of Python's own library, which has no part in the training sample."""
+    import ast
+    import email
+    import http.client
+    import inspect
+    import logging.handlers
+    import ssl
+    import unittest.mock
+    import xml.dom.minidom
+
+    names = set()
+    for module in (ast, email, http.client, inspect, logging.handlers, ssl, unittest.mock, xml.dom.minidom):
+        names |= set(re.findall(r"[A-Za-z_]{20,}", inspect.getsource(module)))
+    names = sorted(n for n in names if not n.startswith("_"))
+    assert len(names) > 100
+    df = spark.createDataFrame([(i, f"x {n} y") for i, n in enumerate(names)], "doc_id long, text string")
+    wrong = [names[r.doc_id] for r in secret_scan.find_secrets(df).collect() if any(s.kind == 3 for s in r.spans)]
+    assert len(wrong) <= 0.02 * len(names), wrong
+
+
 def stats_of(t):
     w = re.findall(SPACED, t)
     grams = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]

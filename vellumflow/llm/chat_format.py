@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vellumflow.llm.common import Scratch, join_small
+from vellumflow.llm.common import Scratch, join_small, running
 
 #: Turns in a part of a dialogue.
 PART = 1024
@@ -32,17 +32,6 @@ def _head(role: Column, speaker: Column) -> Column:
     return F.concat(F.lit("<|"), name, F.lit("|>\n"))
 
 
-def _sums(sizes: Column) -> Column:
-    """Running sums of an array: with each round every sum takes in that of twice as many places before it."""
-    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(sizes), F.lit(1)))).cast("int"))
-
-    def step(acc: Column, k: Column) -> Column:
-        back = F.call_function("shiftleft", F.lit(1), k)
-        return F.transform(acc, lambda x, i: x + F.when(i >= back, F.get(acc, i - back)).otherwise(F.lit(0)))
-
-    return F.aggregate(rounds, F.transform(sizes, lambda x: x.cast("long")), step)
-
-
 def _numbered(df: DataFrame, scratch: Scratch, part: int) -> DataFrame:
     """The turns with the number of their part within the dialogue, by turn, role and text; stored twice in between."""
     keys = ["conv", "turn", "role", "text"]
@@ -106,7 +95,7 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     sides = sides.withColumn("heads", F.transform("turns", lambda t: _head(t["role"], speaker)))
     sides = sides.withColumn("bodies", F.transform("turns", lambda t: F.concat(t["text"], F.lit(END))))
     sides = sides.withColumn("own", F.transform("turns", lambda t: t["role"] == speaker))
-    sides = sides.withColumn("ends", _sums(F.zip_with("heads", "bodies", lambda h, b: F.length(h) + F.length(b))))
+    sides = sides.withColumn("ends", running(F.zip_with("heads", "bodies", lambda h, b: (F.length(h) + F.length(b)).cast("long"))))
     spans = F.filter(F.arrays_zip("bodies", "own", "ends"), lambda x: x["own"])
 
     def written(x: Column) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast up to this many bytes by its counted rows, and joined by a shuffle beyond.
@@ -140,6 +140,20 @@ def join_keyed(left: DataFrame, right: DataFrame, on: list[str], how: str) -> Da
     return left.join(right.hint("shuffle_hash"), on, how)
 
 
+def running(values: Column, combine: Callable[[Column, Column], Column] = lambda x, y: x + y) -> Column:
+    """Running sums (or maxima ...) of an array: with each round a place takes in what stands twice as far before it.
+
+    The rounds are as many as the length has bits, so that long arrays take no quadratic time.
+    """
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int"))
+
+    def step(acc: Column, k: Column) -> Column:
+        back = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(acc, lambda x, i: F.when(i >= back, combine(x, F.get(acc, i - back))).otherwise(x))
+
+    return F.aggregate(rounds, values, step)
+
+
 def give_back() -> None:
     """Returns the memory that a worker freed to the system, as workers are kept for later tasks."""
     pa.default_memory_pool().release_unused()

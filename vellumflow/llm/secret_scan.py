@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellumflow.llm.common import running
+
 # What the base kinds match. A hex or access run of the least length is the run itself.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_LEAST = 6
@@ -27,6 +29,8 @@ LEAST_SCORED = 20
 #: Least mean log-likelihood ratio, in nats for each transition, of a secret.
 THRESHOLD = 0.6
 MASK = "[SECRET]"
+#: Code points in which a text is cut for masking.
+CHUNK = 1024
 
 # Parts of ordinary identifiers.
 PARTS = (
@@ -127,15 +131,9 @@ def _is_secret(run: Column, model: Column, threshold: float) -> Column:
 def _spans(matches: Column, pieces: Column, kind: int) -> Column:
     """(start, kind, end) of each match, in code points."""
     empty = F.expr("array()").cast("array<struct<start:int,kind:int,end:int>>")
-    state = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    sizes = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(F.length(p).alias("p"), F.length(m).alias("m")))
-
-    def step(acc: Column, s: Column) -> Column:
-        start = acc["at"] + s["p"]
-        end = start + s["m"]
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))).alias("out"))
-
-    return F.when(F.size(matches) > 0, F.aggregate(sizes, state, step, lambda acc: acc["out"])).otherwise(empty)
+    sizes = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.length(p) + F.length(m))
+    spans = F.zip_with(running(sizes), matches, lambda end, m: F.struct((end - F.length(m)).alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
+    return F.when(F.size(matches) > 0, spans).otherwise(empty)
 
 
 def _where(spans: Column, tests: Column) -> Column:
@@ -179,18 +177,34 @@ def written(spans: str) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))))
 
 
-def masked(text: str, spans: str, mask: str = MASK) -> Column:
-    """The text with each run of overlapping spans replaced by the mask; spans in order of start."""
-    state = F.struct(F.lit(0).alias("at"), F.expr("array()").cast("array<string>").alias("out"))
+def _between(chunks: Column, low: Column, high: Column) -> Column:
+    """The code points low to high (exclusive) of a text that is cut into CHUNKs; none of it is walked from its start."""
+    a, b = F.floor(low / CHUNK).cast("int"), F.floor(high / CHUNK).cast("int")
+    chunk = lambda i: F.coalesce(F.get(chunks, i), F.lit(""))
+    front = F.substring(chunk(a), low % CHUNK + 1, F.least(high - low, F.lit(CHUNK)))
+    middle = F.when(b - a > 1, F.concat_ws("", F.slice(chunks, a + 2, F.greatest(b - a - 1, F.lit(0))))).otherwise("")
+    return F.when(a == b, front).otherwise(F.concat(front, middle, F.substring(chunk(b), F.lit(1), high % CHUNK)))
 
-    def step(acc: Column, s: Column) -> Column:
-        # A span that begins inside what is already masked only moves the end.
-        fresh = (s["start"] > acc["at"]) | (F.size(acc["out"]) == 0)
-        kept = F.concat(acc["out"], F.array(F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, kept).otherwise(acc["out"]).alias("out"))
 
-    rest = lambda acc: F.concat_ws("", acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(F.col(text))))
-    return F.when(F.size(spans) > 0, F.aggregate(F.col(spans), state, step, rest)).otherwise(F.col(text))
+def masked(text: str, spans: str, mask: str = MASK) -> Column:
+    """The text with each run of overlapping or touching spans replaced by the mask; spans in order of start.
+
+    A null text with spans doesn't occur; without spans the text stays as it is.
+    """
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    # What is masked up to each span; a span that begins in it is part of the run before.
+    reach = running(F.transform(spans, lambda s: s["end"]), F.greatest)
+    runs = F.transform(F.arrays_zip(F.col(spans).alias("s"), reach.alias("r")), lambda x, i: F.struct(x["s"]["start"].alias("start"), x["r"].alias("end"), i.alias("i")))
+
+    def rendered(state: Column) -> Column:
+        every, cut = state["runs"], state["chunks"]
+        before = lambda i: F.coalesce(F.get(every, i - 1)["end"], F.lit(0))
+        heads = F.filter(every, lambda x: (x["i"] == 0) | (x["start"] > before(x["i"])))
+        parts = F.transform(heads, lambda x: F.concat(_between(cut, before(x["i"]), x["start"]), F.lit(mask)))
+        return F.concat_ws("", parts, _between(cut, F.element_at(every, -1)["end"], F.length(F.col(text))))
+
+    whole = F.get(F.transform(F.array(F.struct(runs.alias("runs"), chunks.alias("chunks"))), rendered), F.lit(0))
+    return F.when(F.size(spans) > 0, whole).otherwise(F.col(text))
 
 
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:
