@@ -182,13 +182,14 @@ def remove_repeats(docs: DataFrame, length: int = 35, k: int = 8, id_col: str =
     shared = wide.groupBy("seed", "hash").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("seed", "hash")
     partial = cold.unionByName(masks(wide.join(shared, ["seed", "hash"])))
     verdicts = contexts.select("seed", "context", "n").join(partial, ["seed", "context"], "left").where("n > 1 or mask is not null")
-    verdicts = verdicts.select("seed", "context", F.col("n").alias("m"), F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))
+    # Stored like the seeds, so that a hot seed's rows can be split.
+    verdicts = scratch.store(verdicts.select("seed", "context", F.col("n").alias("m"), F.coalesce("mask", F.lit(0).cast("long")).alias("mask")), "verdicts")
     covered = several.join(verdicts, ["seed", "context"]).select(*KEY, "low", F.when(F.col("m") > 1, full).otherwise(F.col("mask")).alias("mask"))
     covered = covered.unionByName(found.where("not several").select(*KEY, "low", full.alias("mask")))
     # Equal rows name the same places; copies of a row do not lengthen its list.
     covered = covered.groupBy(*KEY, "low").agg(F.bit_or("mask").alias("mask"))
     covered = scratch.store(covered.groupBy(*KEY).agg(F.collect_list(F.struct("low", "mask")).alias("at")), "covered")
-    for name in ("repeated", "contexts", "windows"):
+    for name in ("repeated", "contexts", "windows", "verdicts"):
         scratch.drop(name)
     joined = join_keyed(rows, covered, KEY, "left")
     joined = joined.select(
