@@ -258,6 +258,45 @@ def test_neighbours_odd_vectors(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+def test_neighbours_of_repeated_ids_and_hot_vectors(spark):
+    """Against brute force over rows: repeated ids, a third of all rows with one vector, clashing names, two lengths of vectors."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(24).tolist()) for i in range(300)] + [(1000 + i, [1.0] * 24) for i in range(150)]
+    rows += [(40, rng.standard_normal(24).tolist()), (40, rows[60][1]), (60, rows[60][1]), (60, rows[60][1])]
+    rows += [(2000 + i, (rng.standard_normal(3) * 1e30).tolist()) for i in range(30)]
+    df = spark.createDataFrame([(*r, 0, "x", 1.0) for r in rows], "vec_id long, embedding array<double>, row int, dim string, score double")
+    got = collections.Counter()
+    for q in df.transform(ann.nearest).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("r")).collect():
+        got[q.query_id] = q.r
+    for i in {i for i, _ in rows if i % 20 == 0}:
+        own = [n for n, (j, _) in enumerate(rows) if j == i]
+        want = []
+        for n in own:
+            there = [m for m in range(len(rows)) if m != n and len(rows[m][1]) == len(rows[n][1])]
+            scored = sorted((-float(np.dot(rows[n][1], rows[m][1])), rows[m][0]) for m in there)[:20]
+            want += [(rank + 1, j, -x) for rank, (x, j) in enumerate(scored)]
+        want.sort(key=lambda x: (x[0], x[1]))
+        have = sorted(((r.rank, r.vec_id, r.score) for r in got[i]), key=lambda x: (x[0], x[1]))
+        assert [x[0] for x in have] == [x[0] for x in want]
+        # Bounds fail rarely; the products are exact.
+        assert sum(a[1] == b[1] for a, b in zip(have, want, strict=True)) >= 0.9 * len(want)
+        assert all(a[2] == pytest.approx(b[2], rel=1e-9) for a, b in zip(have, want, strict=True) if a[1] == b[1])
+
+
+def test_codes_bound_products():
+    rng = np.random.default_rng(9)
+    vectors = rng.standard_normal((500, 70)) * rng.lognormal(0, 2, (500, 1))
+    codes, norms, f = ann.encode(vectors)
+    rows = np.arange(500)
+    block = ann.Block({"dim": 70, "rows": rows.tobytes(), "ids": rows.tobytes(), "codes": codes.tobytes(), "norms": norms.tobytes(), "f": f.tobytes()})
+    queries, inside = ann.Queries(rows[:40], vectors[:40]), 0
+    for a, low, high in queries.bounds(block):
+        exact = vectors[a : a + ann.TILE] @ vectors.T
+        assert all(low[i, a + i] == high[i, a + i] == -np.inf for i in range(len(low)))
+        inside += ((low <= exact) & (exact <= high)).sum()
+    assert inside >= 0.99 * 40 * 499
+
+
 def test_packing(docs, texts):
     from tokenizers import Tokenizer
 
@@ -298,6 +337,40 @@ def test_local_search_empties_bins():
     assert all(sum(p) <= 10 for p in out)
 
 
+def test_local_search_against_best_fit(docs):
+    """The search alone, from one piece a bin, needs as few bins as any packing on documents, and fewer than best fit on lengths near a third."""
+    rng = np.random.default_rng(6)
+    documents = collections.Counter(r.length for r in packing.cut(docs).select("length").collect())
+    cases = [documents, collections.Counter(rng.integers(600, 760, 600).tolist()), collections.Counter(rng.integers(1025, 2049, 300).tolist()), collections.Counter(rng.integers(1, 2049, 400).tolist()), collections.Counter({2048: 3, 1024: 5, 1: 2})]
+    for histogram in cases:
+        alone = collections.Counter({(x,): n for x, n in histogram.items()})
+        found, greedy = packing.local_search(alone, 2048), packing.best_fit(histogram, 2048)
+        assert collections.Counter(x for p, n in found.items() for x in p * n) == histogram
+        assert all(sum(p) <= 2048 for p in found)
+        assert packing.lower_bound(histogram, 2048) <= sum(found.values()) <= sum(greedy.values())
+    assert sum(packing.packed_bins(documents, 2048).values()) == packing.lower_bound(documents, 2048)
+    assert sum(packing.packed_bins(cases[1], 2048).values()) < sum(packing.best_fit(cases[1], 2048).values())
+
+
+def test_lower_bound_holds():
+    """Against the fewest bins of small cases, by trying all."""
+
+    def fewest(rest, rooms):
+        if not rest:
+            return len(rooms)
+        best = fewest(rest[1:], [*rooms, 10 - rest[0]])
+        for i, room in enumerate(rooms):
+            if room >= rest[0]:
+                best = min(best, fewest(rest[1:], [*rooms[:i], room - rest[0], *rooms[i + 1 :]]))
+        return best
+
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        lengths = rng.integers(1, 11, 6).tolist()
+        histogram, least = collections.Counter(lengths), fewest(sorted(lengths, reverse=True), [])
+        assert packing.lower_bound(histogram, 10) <= least <= sum(packing.packed_bins(histogram, 10).values()) <= least + 1
+
+
 def test_sentencepiece_ids(spark, docs, texts):
     import public_tokenizers
     import sentencepiece

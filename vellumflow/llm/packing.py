@@ -1,15 +1,16 @@
 """Best-fit packing of token pieces into sequences, with a swap-based local search.
 
 Pieces of equal length are interchangeable, so the search runs on the histogram of lengths (at most `capacity`
-numbers, whatever the input's size): a bin pattern is a multiset of lengths and stands for many equal bins. Best-fit
-decreasing gives the first patterns; the search then moves pieces, or exchanges one for one or two for one,
-between underfull bins so that the sum of squared fills grows, until bins are empty. Pieces then
-take the places of their length by rank.
+numbers, whatever the input's size): a bin pattern is a multiset of lengths and stands for many equal bins. At first
+each piece has a bin to itself. The search then moves pieces, or exchanges one for one or two for one, between underfull
+bins so that the sum of squared fills grows, until bins are empty and no exchange is left. Best-fit decreasing is what
+it is held against. Pieces then take the places of their length by rank.
 """
 
 from __future__ import annotations
 
 import bisect
+import heapq
 import json
 import zlib
 from collections import Counter
@@ -27,7 +28,7 @@ from vellumflow.llm.kernel import slices
 
 CAPACITY = 2048
 #: Pieces in a bucket in which ranks are dealt.
-BUCKET = 100_000
+BUCKET = 10_000
 # How byte-level vocabularies split text, and the one string they read as a token of its own.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END_OF_TEXT = "<|endoftext|>"
@@ -137,23 +138,44 @@ def best_fit(histogram: dict[int, int], capacity: int) -> Counter[Pattern]:
     return done
 
 
+def lower_bound(histogram: dict[int, int], capacity: int) -> int:
+    """Bins that any packing needs: for each t, what is longer than capacity - t shares its bin with nothing of length t or more,
+    what is longer than half has a bin of its own, and the rest, from t on, has the room that these leave."""
+    total = sum(x * n for x, n in histogram.items())
+    best = -(-total // capacity)
+    count, size = np.zeros(capacity + 2, np.int64), np.zeros(capacity + 2, np.int64)
+    for x, n in histogram.items():
+        count[x], size[x] = n, x * n
+    above, weight = np.cumsum(count[::-1])[::-1], np.cumsum(size[::-1])[::-1]
+    half = capacity // 2
+    for t in range(1, half + 1):
+        alone, large = above[capacity - t + 1], above[half + 1] - above[capacity - t + 1]
+        room = large * capacity - (weight[half + 1] - weight[capacity - t + 1])
+        rest = weight[t] - weight[half + 1]
+        best = max(best, int(alone + large + max(0, -(-(rest - room) // capacity))))
+    return best
+
+
+def _pairs(pattern: Pattern) -> set[Pattern]:
+    counts = Counter(pattern)
+    lengths = sorted(counts)
+    return {(x, y) for i, x in enumerate(lengths) for y in lengths[i:] if x != y or counts[x] > 1}
+
+
 def _transfer(fuller: Pattern, other: Pattern, room: int) -> tuple[Pattern, Pattern] | None:
     """The exchange that brings most, at most `room`, from other into fuller: a move, one for one, or two for one."""
     best, choice = 0, None
-    ins = {(y,) for y in other} | {tuple(sorted(p)) for i, y in enumerate(other) for p in [(y, z) for z in other[i + 1 :]]}
-    outs = {()} | {(x,) for x in fuller} | {tuple(sorted(p)) for i, x in enumerate(fuller) for p in [(x, z) for z in fuller[i + 1 :]]}
-    by_size = sorted((sum(o), o) for o in outs)
-    sizes = [s for s, _ in by_size]
-    for i in sorted(ins):
-        gain_from = sum(i) - room
-        at = bisect.bisect_left(sizes, gain_from)
-        for s, o in by_size[at:]:
-            gain = sum(i) - s
-            if gain <= best:
+    ins = sorted({(y,) for y in other} | _pairs(other))
+    outs = sorted((sum(o), o) for o in {()} | {(x,) for x in fuller} | _pairs(fuller))
+    sizes = [s for s, _ in outs]
+    for i in ins:
+        size = sum(i)
+        for s, o in outs[bisect.bisect_left(sizes, size - room) :]:
+            if size - s <= best:
                 break
             if len(i) == 2 and len(o) == 2:
                 continue
-            best, choice = gain, (i, o)
+            best, choice = size - s, (i, o)
             break
         if best == room:
             break
@@ -165,42 +187,115 @@ def _transfer(fuller: Pattern, other: Pattern, room: int) -> tuple[Pattern, Patt
     return tuple(sorted(a.elements(), reverse=True)), tuple(sorted(b.elements(), reverse=True))
 
 
-def local_search(bins: Counter[Pattern], capacity: int, steps: int = 4000, reach: int = 24) -> Counter[Pattern]:
-    """Fills the fuller of the underfull bins from the emptier ones; equal bins exchange all at once.
+class _Search:
+    """Bins by pattern, and what exchanges look up: lengths that have a bin to themselves, and other underfull patterns by fill."""
+
+    def __init__(self, bins: Counter[Pattern], capacity: int):
+        self.capacity, self.bins = capacity, Counter()
+        self.alone: list[int] = []
+        self.others: list[tuple[int, Pattern]] = []
+        self.made: dict[Pattern, int] = {}
+        self.turn = 0
+        self.total = sum(bins.values())
+        for p, n in bins.items():
+            self.add(p, n)
+
+    def add(self, p: Pattern, n: int) -> None:
+        if not p:
+            self.total -= n
+        elif n:
+            if not self.bins[p] and sum(p) < self.capacity:
+                bisect.insort(*((self.alone, p[0]) if len(p) == 1 else (self.others, (sum(p), p))))
+                self.made[p] = self.turn
+            self.bins[p] += n
+
+    def take(self, p: Pattern, n: int) -> None:
+        self.bins[p] -= n
+        if not self.bins[p]:
+            del self.bins[p]
+            if sum(p) < self.capacity:
+                index, key = (self.alone, p[0]) if len(p) == 1 else (self.others, (sum(p), p))
+                index.pop(bisect.bisect_left(index, key))
+
+    def with_alone(self, fuller: Pattern) -> tuple[Pattern, Pattern, Pattern] | None:
+        """The move or exchange of one for one with a piece that has its bin to itself which brings most into fuller."""
+        fill = sum(fuller)
+        best, choice = 0, None
+        for x in (0, *sorted(set(fuller))):
+            at = bisect.bisect_right(self.alone, min(self.capacity - fill + x, fill)) - 1
+            if at >= 0 and (self.alone[at],) == fuller and self.bins[fuller] < 2:
+                at -= 1
+            if at >= 0 and self.alone[at] - x > best:
+                best, choice = self.alone[at] - x, (x, self.alone[at])
+        if not choice:
+            return None
+        x, y = choice
+        filled = Counter(fuller)
+        filled[y] += 1
+        if x:
+            filled[x] -= 1
+        return (y,), tuple(sorted(filled.elements(), reverse=True)), (x,) if x else ()
+
+    def with_others(self, fuller: Pattern, since: int) -> tuple[Pattern, Pattern, Pattern] | None:
+        """An exchange with the emptiest other bin that has one, made at the turn `since` or later."""
+        fill = sum(fuller)
+        for size, other in self.others:
+            if size > fill:
+                break
+            if self.made[other] >= since and (other != fuller or self.bins[other] > 1):
+                if changed := _transfer(fuller, other, self.capacity - fill):
+                    return other, *changed
+        return None
 
-    Each step raises the sum of squared fills, so it ends; `steps` bounds the time on the driver. The result never
-    has more bins than before.
-    """
-    bins = Counter({p: n for p, n in bins.items() if n})
-    least = -(-sum(sum(p) * n for p, n in bins.items()) // capacity)
-    total = sum(bins.values())
-    stuck: set[Pattern] = set()
-    for _ in range(steps):
-        if total <= least:
-            break
-        under = sorted((p for p in bins if sum(p) < capacity), key=lambda p: (-sum(p), p))
-        fuller = next((p for p in under if p not in stuck), None)
-        if fuller is None:
-            break
-        for other in reversed(under[-reach:]):
-            if sum(other) > sum(fuller) or (other == fuller and bins[other] < 2):
-                continue
-            changed = _transfer(fuller, other, capacity - sum(fuller))
-            if changed:
-                n = bins[fuller] // 2 if other == fuller else min(bins[fuller], bins[other])
+    def run(self, least: int) -> None:
+        met: dict[Pattern, int] = {}
+        while self.total > least:
+            before = self.turn
+            waiting = [(-sum(p), p) for p in self.bins if sum(p) < self.capacity]
+            heapq.heapify(waiting)
+            while waiting and self.total > least:
+                _, fuller = heapq.heappop(waiting)
+                if fuller not in self.bins:
+                    continue
+                found = self.with_alone(fuller) or self.with_others(fuller, met.get(fuller, -1))
+                if not found:
+                    met[fuller] = self.turn
+                    continue
+                other, filled, left = found
+                n = self.bins[fuller] // 2 if other == fuller else min(self.bins[fuller], self.bins[other])
+                self.turn += 1
                 for p in (fuller, other):
-                    bins[p] -= n
-                    if not bins[p]:
-                        del bins[p]
-                for p in changed:
-                    if p:
-                        bins[p] += n
-                    else:
-                        total -= n
+                    self.take(p, n)
+                for p in (filled, left):
+                    self.add(p, n)
+                for p in {fuller, filled, left}:
+                    if p in self.bins and sum(p) < self.capacity:
+                        heapq.heappush(waiting, (-sum(p), p))
+            if self.turn == before:
                 break
-        else:
-            stuck.add(fuller)
-    return bins
+
+
+def local_search(bins: Counter[Pattern], capacity: int) -> Counter[Pattern]:
+    """Fills the fuller of the underfull bins from the emptier ones until no exchange is left; equal bins exchange all at once.
+
+    Each step moves some length from a bin to one that is at least as full, so the sum of squared fills grows and the
+    search ends: when a whole round finds no exchange between any two underfull bins, or with as few bins as any packing
+    needs. Bins of several pieces between which none was found are compared again only when one of them is new. The
+    result never has more bins than before.
+    """
+    histogram: Counter[int] = Counter()
+    for p, n in bins.items():
+        for x in p:
+            histogram[x] += n
+    search = _Search(Counter({p: n for p, n in bins.items() if n}), capacity)
+    search.run(lower_bound(histogram, capacity))
+    return search.bins
+
+
+def packed_bins(histogram: dict[int, int], capacity: int) -> Counter[Pattern]:
+    """The patterns that the search makes when each piece has a bin to itself at first, or best-fit decreasing where that has fewer bins."""
+    found = local_search(Counter({(x,): n for x, n in histogram.items()}), capacity)
+    return min(found, best_fit(histogram, capacity), key=lambda bins: sum(bins.values()))
 
 
 def _places(bins: Counter[Pattern]) -> tuple[np.ndarray, ...]:
@@ -238,7 +333,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not histogram:
         return pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
-    table = _places(local_search(best_fit(histogram, capacity), capacity))
+    table = _places(packed_bins(histogram, capacity))
     buckets = -(-sum(histogram.values()) // BUCKET)
     pieces = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(buckets)).cast("int"))
     before = pieces.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("n"))
