@@ -203,6 +203,49 @@ def test_quality_judges_small_groups(spark):
     assert [r.kept for r in few.where("not base_failed").collect()].count(False) == 0
 
 
+def brute_mcd(x, rng):
+    """Least determinant of the scatter of a core (three quarters of the rows), over random starts and steps until nothing changes."""
+    floors = np.array([(quality.SCALE * v) ** 2 for v in quality.FLOORS.values()])
+    fit = lambda rows: (rows.mean(axis=0), quality.CONSISTENCY * np.cov(rows.T, bias=True) + np.diag(floors))
+    best = None
+    for _ in range(60):
+        centre, scatter = fit(x[rng.choice(len(x), 8, replace=False)])
+        last = np.inf
+        while True:
+            d = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(scatter), x - centre)
+            centre, scatter = fit(x[np.argsort(d)[: int(len(x) * quality.CORE) + 1]])
+            log_det = np.linalg.slogdet(scatter)[1]
+            if log_det >= last - 1e-9:
+                break
+            last = log_det
+        if best is None or log_det < best[0]:
+            best = log_det, centre, scatter
+    return best
+
+
+def test_quality_is_least_determinant(spark):
+    """The verdicts against numpy's over many random starts, with a fifth of the rows in a cluster of its own."""
+    rng = np.random.default_rng(12)
+    words = ["river", "stone", "under", "light", "green", "table", "often", "seven"]
+    words += [a + b for a in words for b in ("s", "ed", "ing", "ly")]
+    texts = [" ".join(rng.choice(words, rng.integers(60, 300))) for _ in range(240)]
+    texts += [" ".join(w + "#&" for w in rng.choice(words[:6], rng.integers(60, 90))) for _ in range(60)]
+    texts += [" ".join(f"{w}{rng.integers(0, 10**6)}" for w in rng.choice(words, 100)) for _ in range(6)]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    got = by_id(quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))
+    import pyarrow as pa
+
+    counts = quality.text_counts(pa.array(texts))
+    x = np.stack(quality._features(counts), axis=1).astype(float)
+    passing = np.array([not got[i].base_failed for i in range(len(texts))])
+    log_det, centre, scatter = brute_mcd(x[passing], rng)
+    d = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(scatter), x - centre)
+    sure = passing & (np.abs(d / quality.CUTOFF - 1) > 0.2)
+    assert sure.sum() > 250
+    assert all(got[i].kept == (d[i] <= quality.CUTOFF) for i in np.flatnonzero(sure))
+    assert not any(got[i].kept for i in range(240, 306))
+
+
 def removed(all_texts, n=35):
     words = {i: re.findall(SPACED, t) for i, t in all_texts.items()}
     count = collections.Counter(tuple(w[i : i + n]) for w in words.values() for i in range(len(w) - n + 1))

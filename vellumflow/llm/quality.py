@@ -1,8 +1,9 @@
 """Quality rules with robust multivariate outlier rejection.
 
 Per text statistics come from one vectorised pass. Within each language and source, a minimum-covariance-determinant
-estimate (concentration steps over all rows, started from medians and spreads) gives centre and scatter of the
-transformed statistics; a row far from the centre by Mahalanobis distance is rejected. The same is estimated for each
+estimate gives centre and scatter of the transformed statistics; a row far from the centre by Mahalanobis distance is
+rejected. Concentration steps over all rows go from two starts (medians with the spreads, and with the least spreads) until
+the determinant of the core's scatter falls no more, and the least determinant met counts. The same is estimated for each
 language and for all rows, and the fewer rows a group has, the more its model is drawn to that of the level above.
 """
 
@@ -77,7 +78,8 @@ FLOORS = {"length": 0.3, "word_size": 0.06, "symbols": 0.25, "variety": 0.03, "u
 FEATURES = list(FLOORS)
 #: Share of a group's rows that a concentration step keeps, and the factor that makes their scatter consistent for it with six features.
 CORE, CONSISTENCY = 0.75, 1.36
-STEPS = 4
+#: A start ends when a step lowers the logarithm of the determinant by less.
+LEAST_GAIN = 0.01
 #: Squared distance beyond which a row goes: exceeded by one in 10^9 under a normal law with six features.
 CUTOFF = 53.0
 #: Groups with fewer rows share in the model of their language, and languages in that of all rows, the more the fewer they have.
@@ -87,6 +89,7 @@ DISTANCE_STEPS = 16
 GROUP = ["lang", "source"]
 #: Groups of level 0 are all rows, of level 1 a language, of level 2 a language and source.
 LEVELED = ["level", *GROUP]
+STARTED = [*LEVELED, "start"]
 
 
 def _features(counts: list[np.ndarray]) -> list[np.ndarray]:
@@ -117,9 +120,9 @@ def _moments() -> list:
 
 
 def _models(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Centre, scatter and inverse scatter of each group from its sums."""
+    """Centre, scatter and inverse scatter of each group from its sums, and the logarithm of the determinant."""
     p = len(FEATURES)
-    centres, scatters, inverses = [], [], []
+    centres, scatters, inverses, logs = [], [], [], []
     for n, sums in zip(batch["n"].to_pylist(), batch["sums"].to_pylist(), strict=True):
         mean = [float(s) / n for s in sums[:p]]
         scatter = np.zeros((p, p))
@@ -130,11 +133,12 @@ def _models(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         centres.append(mean)
         scatters.append(scatter.ravel().tolist())
         inverses.append(np.linalg.inv(scatter).ravel().tolist())
-    arrays = [pa.array(x, pa.list_(pa.float64())) for x in (centres, scatters, inverses)]
-    yield pa.record_batch([*(batch[c] for c in LEVELED), *arrays], [*LEVELED, "centre", "scatter", "inverse"])
+        logs.append(float(np.linalg.slogdet(scatter)[1]))
+    arrays = [*(pa.array(x, pa.list_(pa.float64())) for x in (centres, scatters, inverses)), pa.array(logs)]
+    yield pa.record_batch([*(batch[c] for c in STARTED), *arrays], [*STARTED, "centre", "scatter", "inverse", "log_det"])
 
 
-MODELS = "level int, lang string, source string, centre array<double>, scatter array<double>, inverse array<double>"
+MODELS = "level int, lang string, source string, start int, centre array<double>, scatter array<double>, inverse array<double>, log_det double"
 
 
 def _blend(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -176,27 +180,41 @@ def _leveled(stats: DataFrame) -> DataFrame:
 def robust_models(stats: DataFrame, scratch: Scratch) -> DataFrame:
     """lang, source, centre, inverse for each language and source of stats (stored).
 
-    Every step aggregates over all rows, combined before the shuffle; only a row for each group comes out.
+    Every step aggregates over all rows of the groups that it still changes, combined before the shuffle; only a row for
+    each group and start comes out. A step that counts lowers a determinant that the least spreads bound from below, so
+    the steps end.
     """
     stats = _leveled(stats)
     middle = scratch.store(stats.groupBy(*LEVELED).agg(F.count(F.lit(1)).alias("rows"), *(F.percentile(x, 0.5).alias(f"m_{x}") for x in FEATURES)), "middle")
     spread = _with(stats, middle).groupBy(*LEVELED).agg(*(F.percentile(F.abs(F.col(x) - F.col(f"m_{x}")), 0.5).alias(f"s_{x}") for x in FEATURES))
-    start = spread.join(middle, LEVELED)
     p = len(FEATURES)
-    variance = [F.pow(1.4826 * F.col(f"s_{x}"), F.lit(2)) + (SCALE * FLOORS[x]) ** 2 for x in FEATURES]
-    inverse = [F.lit(1.0) / variance[i] if i == j else F.lit(0.0) for i in range(p) for j in range(p)]
-    models = scratch.store(start.select(*LEVELED, F.array(*(F.col(f"m_{x}") for x in FEATURES)).alias("centre"), F.array(*inverse).alias("inverse")), "models_0")
-    for step in range(1, STEPS + 1):
-        placed = _with(stats, models.drop("scatter")).withColumn("d", F.least(F.floor(_distance() * DISTANCE_STEPS), F.lit(1 << 14)).cast("int"))
-        radius = placed.groupBy(*LEVELED).agg(F.percentile("d", CORE).alias("radius"))
-        core = _with(placed, scratch.store(radius, f"radius_{step}")).where("d <= radius")
-        sums = core.groupBy(*LEVELED).agg(F.count(F.lit(1)).alias("n"), F.array(*_moments()).alias("sums"))
-        models = scratch.store(arrow_map(sums, _models, MODELS), f"models_{step}")
-    counted = scratch.store(models.join(middle.select(*LEVELED, "rows"), LEVELED).drop("inverse"), "counted")
+    floors = [F.lit((SCALE * FLOORS[x]) ** 2) for x in FEATURES]
+    wide = [F.pow(1.4826 * F.col(f"s_{x}"), F.lit(2)) + floor for x, floor in zip(FEATURES, floors, strict=True)]
+    inverse = lambda variance: F.array(*(F.lit(1.0) / variance[i] if i == j else F.lit(0.0) for i in range(p) for j in range(p)))
+    starts = F.explode(F.array(*(F.struct(F.lit(i).alias("start"), inverse(v).alias("inverse")) for i, v in enumerate((wide, floors)))))
+    centre = F.array(*(F.col(f"m_{x}") for x in FEATURES))
+    first = spread.join(middle, LEVELED).select(*LEVELED, centre.alias("centre"), starts.alias("s"))
+    moving = scratch.store(first.select(*LEVELED, "s.start", "centre", "s.inverse", F.lit(float("inf")).alias("log_det")), "models/0")
+    step = 0
+    while moving.limit(1).count():
+        step += 1
+        placed = _with(stats, moving.select(*STARTED, "centre", "inverse"))
+        placed = placed.select(*STARTED, *FEATURES, F.least(F.floor(_distance() * DISTANCE_STEPS), F.lit(1 << 14)).cast("int").alias("d"))
+        radius = scratch.store(placed.groupBy(*STARTED).agg(F.percentile("d", CORE).alias("radius")), f"radius_{step}")
+        core = join_small(placed, radius, STARTED, "inner", 100).where("d <= radius")
+        sums = core.groupBy(*STARTED).agg(F.count(F.lit(1)).alias("n"), F.array(*_moments()).alias("sums"))
+        models = scratch.store(arrow_map(sums, _models, MODELS), f"models/{step}")
+        moving = models.join(moving.select(*STARTED, F.col("log_det").alias("before")), STARTED).where(F.col("log_det") < F.col("before") - LEAST_GAIN)
+        moving = scratch.store(moving.drop("before", "scatter"), f"moving_{step}")
+    if not step:
+        return scratch.store(scratch.spark.createDataFrame([], "lang string, source string, centre array<double>, inverse array<double>"), "models_of_groups")
+    every = scratch.spark.read.schema(MODELS).parquet(*(f"{scratch.path}/models/{i}" for i in range(1, step + 1)))
+    least = every.groupBy(*LEVELED).agg(F.min_by(F.struct("centre", "scatter"), F.struct("log_det", "start", "centre")).alias("m"))
+    counted = scratch.store(least.select(*LEVELED, "m.*").join(middle.select(*LEVELED, "rows"), LEVELED), "counted")
     above = lambda i: counted.where(F.col("level") == i).select(*GROUP[:i], *(F.col(c).alias(f"{c}_{i}") for c in ("rows", "centre", "scatter")))
     levels = join_small(above(2), above(1), ["lang"], "inner", 600).crossJoin(F.broadcast(above(0)))
     blended = arrow_map(levels, _blend, "lang string, source string, centre array<double>, inverse array<double>")
-    return scratch.store(blended, "models")
+    return scratch.store(blended, "models_of_groups")
 
 
 def _with(stats: DataFrame, models: DataFrame) -> DataFrame:
