@@ -189,7 +189,8 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, id_col: s
     # The first document of a band leads it: copies resemble what they were made from more than each other.
     banded = classes.select(F.explode(band).alias("g"), "c", "label", "n")
     crowded = banded.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("label", "c")).alias("lead")).where("m > 1")
-    crowded = crowded.select("g", F.col("lead.c").alias("rep"))
+    # Stored, so that nothing but the join reads the shuffled bands and a hot one can be split.
+    crowded = scratch.store(crowded.select("g", F.col("lead.c").alias("rep")), "crowded")
     members = scratch.store(banded.select("g", "c", "n").join(crowded, "g"), "members")
 
     sizes = classes.select("c", "n", "sketch")
@@ -211,7 +212,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, id_col: s
         out, as no pair meets there. Only places from which the threshold can still be reached are kept.
         """
         placed = scratch.store(with_roots(members, roots), "placed_0")
-        mixed = placed.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("g")
+        mixed = scratch.store(placed.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("g"), "bands")
         there = scratch.store(placed.join(mixed, "g").select("c", "n").distinct(), "mixed")
         shingles = arrow_map(texts_of(there.select("c"), "mixed"), lambda b: _emit_shingles(b, size), "c long, x long")
         shingles = scratch.store(shingles, "shingles")
@@ -253,7 +254,8 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, id_col: s
         scratch.drop(f"placed_{turn - 1}")
         main = placed.groupBy("g", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("g")
         main = main.agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.sum("m").alias("all"), F.max("m").alias("most"), F.count(F.lit(1)).alias("roots"))
-        mixed = placed.join(main.where("roots > 1"), "g")
+        main = scratch.store(main.where("roots > 1"), f"main_{turn}")
+        mixed = placed.join(main, "g")
         left = F.col("all") - F.col("most")
         # All outsiders of a shingle where they are few; else as many as `reps`, more each turn.
         chosen = mixed.where("root <> main").where((left <= reps) | (F.pmod(F.xxhash64("c", F.lit(turn)), left) < reps))
@@ -266,7 +268,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, id_col: s
         across = across.select(F.least("a", "c").alias("c1"), F.greatest("a", "c").alias("c2")).distinct()
         ordered = tested.select(F.least("c1", "c2").alias("c1"), F.greatest("c1", "c2").alias("c2"))
         fresh = scratch.store(across.join(ordered, ["c1", "c2"], "left_anti"), f"across_{turn}")
-        waiting = main.where((F.col("roots") > 1) & (left > reps)).limit(1).count()
+        waiting = main.where(left > reps).limit(1).count()
         if not fresh.limit(1).count():
             if not waiting:
                 break
