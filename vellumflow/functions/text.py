@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,6 +47,22 @@ def fold(c: Column | str) -> Column:
     return F.lower(col(c))
 
 
+@lru_cache(maxsize=1)
+def _accented() -> tuple[str, str]:
+    """Letters below U+2000 that are one plain letter and marks, and these plain letters."""
+    plain = {}
+    for i in range(0x80, 0x2000):
+        left = "".join(c for c in unicodedata.normalize("NFKD", chr(i)) if not unicodedata.combining(c))
+        if len(left) == 1 and left != chr(i):
+            plain[chr(i)] = left
+    return "".join(plain), "".join(plain.values())
+
+
+def without_accents(c: Column | str) -> Column:
+    """Letters without their marks, where one letter is left."""
+    return F.translate(F.regexp_replace(col(c), r"\p{Mn}+", ""), *_accented())
+
+
 def distinct_folded(values: Column) -> Column:
     """The first spelling of each value, compared without case."""
     state = F.struct(empty_strings().alias("out"), empty_strings().alias("keys"))

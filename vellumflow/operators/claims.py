@@ -13,6 +13,7 @@ from vellumflow.functions.text import claim_clauses, fold, once, squeeze, tidy,
 from vellumflow.schemas import ENVELOPE
 
 MOST_ENVELOPES, MOST_BOUNDARIES, LONGEST_CLAIM = 5, 3, 1000
+DETAILS = ["comparators", "evaluation_contexts", "metrics", "reported_values", "effect_sizes", "uncertainty", "conditions"]
 
 # What makes a claim, and what excludes one.
 CLAIM = (
@@ -137,35 +138,49 @@ def claims(clean: Column) -> Column:
 
 def _envelope(c: Column, limits: Column) -> Column:
     text = c["claim"]
-    details = {
-        "comparators": comparators(text),
-        "evaluation_contexts": _all(text, CONTEXTS, 1),
-        "metrics": _all(text, METRIC_NAMES, 0),
-        "reported_values": _all(text, VALUES, 1),
-        "effect_sizes": _all(text, EFFECTS, 0),
-        "uncertainty": _all(text, UNCERTAINTY, 0),
-        "conditions": conditions(text),
-    }
-    some = {k: F.size(v) > 0 for k, v in details.items()}
-    groups = [some["comparators"], some["evaluation_contexts"], some["metrics"], some["reported_values"] | some["effect_sizes"], some["uncertainty"], some["conditions"]]
-    supported = sum((g.cast("int") for g in groups[1:]), groups[0].cast("int"))
-    return F.struct(
-        text.alias("claim"),
-        claim_type(text).alias("claim_type"),
-        direction(text).alias("direction"),
-        *(v.alias(k) for k, v in details.items()),
-        limits.alias("paper_level_boundaries"),
-        F.struct(F.lit("abstract").alias("source"), c["sentence_index"].alias("sentence_index"), text.alias("statement")).alias("evidence"),
-        F.least(F.lit(0.55) + supported * F.lit(0.05), F.lit(0.9)).alias("confidence"),
-    ).cast(ENVELOPE)
+    details = F.struct(
+        comparators(text).alias("comparators"),
+        _all(text, CONTEXTS, 1).alias("evaluation_contexts"),
+        _all(text, METRIC_NAMES, 0).alias("metrics"),
+        _all(text, VALUES, 1).alias("reported_values"),
+        _all(text, EFFECTS, 0).alias("effect_sizes"),
+        _all(text, UNCERTAINTY, 0).alias("uncertainty"),
+        conditions(text).alias("conditions"),
+    )
+
+    def record(d: Column) -> Column:
+        some = {k: F.size(d[k]) > 0 for k in DETAILS}
+        groups = [some["comparators"], some["evaluation_contexts"], some["metrics"], some["reported_values"] | some["effect_sizes"], some["uncertainty"], some["conditions"]]
+        supported = sum((g.cast("int") for g in groups[1:]), groups[0].cast("int"))
+        return F.struct(
+            text.alias("claim"),
+            claim_type(text).alias("claim_type"),
+            direction(text).alias("direction"),
+            *(d[k].alias(k) for k in DETAILS),
+            limits.alias("paper_level_boundaries"),
+            F.struct(F.lit("abstract").alias("source"), c["sentence_index"].alias("sentence_index"), text.alias("statement")).alias("evidence"),
+            F.least(F.lit(0.55) + supported * F.lit(0.05), F.lit(0.9)).alias("confidence"),
+        ).cast(ENVELOPE)
+
+    return once(details, record)
 
 
 def envelopes(abstract: Column) -> Column:
-    """The claims of an abstract with their details; a claim over LONGEST_CLAIM characters is an error."""
-    clean = squeeze(F.coalesce(abstract, F.lit("")))
+    """The claims of an abstract with their details; a claim over LONGEST_CLAIM characters is an error.
+
+    Text, claims and the paper's limits are bound, so that each is found once, and limits only where there are claims.
+    """
     too_long = F.raise_error(F.lit("a claim is too long")).cast("array<struct<sentence_index:int,claim:string>>")
-    checked = once(claims(clean), lambda found: F.when(F.exists(found, lambda c: F.length(c["claim"]) > LONGEST_CLAIM), too_long).otherwise(found))
-    return F.transform(checked, lambda c: _envelope(c, boundaries(clean)))
+    none = F.array().cast(f"array<{ENVELOPE}>")
+
+    def of_claims(found: Column, clean: Column) -> Column:
+        checked = F.when(F.exists(found, lambda c: F.length(c["claim"]) > LONGEST_CLAIM), too_long).otherwise(found)
+        return F.when(F.size(found) > 0, once(boundaries(clean), lambda limits: F.transform(checked, lambda c: _envelope(c, limits)))).otherwise(none)
+
+    def of_text(clean: Column) -> Column:
+        return F.when(clean.rlike(CLAIM), once(claims(clean), lambda found: of_claims(found, clean))).otherwise(none)
+
+    return once(squeeze(F.coalesce(abstract, F.lit(""))), of_text)
 
 
 def with_claims(papers: DataFrame, abstract: str = "abstract") -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumflow.operators.metrics import calibration_error, class_report, class_weights, confusion, ranked_labels, selective, summary, top_k_accuracy, worst_mistakes
+from vellumflow.functions.text import without_accents
+from vellumflow.operators.metrics import calibration_error, class_report, class_weights, confusion, ranked_labels, ratio, selective, summary, top_k_accuracy, worst_mistakes
 from vellumflow.operators.split import stratified, without_rare
 from vellumflow.operators.terms import char_grams, fit_vocabulary, grams, term_counts, tfidf, tokens
 from vellumflow.sources.swap import replace_directory
@@ -33,7 +34,7 @@ def examples(papers: DataFrame, label: str = "primary_category", least: int = 5)
 
 def _blocks() -> dict[str, Column]:
     text = F.col("text")
-    return {"w": grams(tokens(text), 1, 2), "c": char_grams(text, 3, 5)}
+    return {"w": grams(tokens(without_accents(F.lower(text))), 1, 2), "c": char_grams(text, 3, 5)}
 
 
 @F.udf(VectorUDT())
@@ -76,8 +77,9 @@ class Classifier:
     labels: list[str]
 
     def predict(self, docs: DataFrame, k: int = 3) -> DataFrame:
-        """arxiv_id, text columns, predicted, confidence and the k most probable labels."""
-        scored = self.model.transform(self.vocabulary.transform(docs)).withColumn("_p", vector_to_array("probability"))
+        """arxiv_id, text columns, predicted, confidence and the k most probable labels. docs may have their vectors already."""
+        vectors = docs if "features" in docs.columns else self.vocabulary.transform(docs)
+        scored = self.model.transform(vectors).withColumn("_p", vector_to_array("probability"))
         ranked = scored.withColumn("ranked", ranked_labels(F.col("_p"), self.labels, k))
         first = F.get(F.col("ranked"), F.lit(0))
         return ranked.withColumns({"predicted": first["label"], "confidence": first["probability"]}).drop("_p", "features", "rawPrediction", "probability", "prediction")
@@ -94,16 +96,22 @@ class Run:
     selective: DataFrame
     split: DataFrame
 
+    def curve(self, spark: SparkSession) -> DataFrame:
+        """The learning curve: a row for each number of iterations that was tried."""
+        return spark.createDataFrame([tuple(h.values()) for h in self.history], "epoch int, validation_accuracy double, validation_macro_f1 double")
+
 
 def train_and_evaluate(papers: DataFrame, label: str = "primary_category", least: int = 5, features: int = 8000, validation: float = 0.15, test: float = 0.15, seed: int = 42, epochs: Iterable[int] = EPOCHS) -> Run:
     """Fits on the training part only, picks the number of iterations on the validation part, reports on the test part."""
     split = stratified(examples(papers, label, least), "arxiv_id", "label", validation, test, seed).persist()
     labels = [r.label for r in split.select("label").distinct().orderBy("label").collect()]
     index = F.create_map(*(x for i, name in enumerate(labels) for x in (F.lit(name), F.lit(float(i)))))
-    part = lambda name: split.where(F.col("split") == name)
-    vocabulary = Vocabulary.fit(part("train"), features)
+    vocabulary = Vocabulary.fit(split.where("split = 'train'"), features)
+    # The vectors of all parts in one pass.
+    vectors = vocabulary.transform(split).persist()
+    part = lambda name: vectors.where(F.col("split") == name)
     weights = class_weights(part("train"), "label").select("label", "weight")
-    train = vocabulary.transform(part("train")).join(F.broadcast(weights), "label").withColumn("y", F.element_at(index, F.col("label"))).persist()
+    train = part("train").join(F.broadcast(weights), "label").withColumn("y", F.element_at(index, F.col("label"))).persist()
     best, best_score, waited, history = None, float("-inf"), 0, []
     for n in epochs:
         model = LogisticRegression(labelCol="y", weightCol="weight", maxIter=n, regParam=1e-4).fit(train)
@@ -116,6 +124,8 @@ def train_and_evaluate(papers: DataFrame, label: str = "primary_category", least
             break
     told = best.predict(part("test")).withColumn("correct", F.col("label") == F.col("predicted")).persist()
     metrics = summary(told, "label", "predicted").head().asDict() | top_k_accuracy(told, "label", "ranked", min(3, len(labels))).head().asDict()
+    # Without training all labels are equally probable and the first one is guessed.
+    metrics["untrained_accuracy"] = told.agg(ratio(F.count_if(F.col("label") == labels[0]), F.count(F.lit(1)), 0.0)).head()[0]
     metrics |= calibration_error(told, "confidence", "correct").head().asDict()
     return Run(best, history, metrics, class_report(told, "label", "predicted"), confusion(told, "label", "predicted"), worst_mistakes(told, "label", "predicted", "confidence", "arxiv_id"), selective(told, "confidence", "correct"), split)
 

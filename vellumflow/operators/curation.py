@@ -48,16 +48,22 @@ def quotas(sizes: DataFrame, target: int, group: str = "category", size: str = "
     return shared.withColumn("quota", 1 + F.col("whole") + F.when(place <= left - given, 1).otherwise(0)).drop("share", "whole")
 
 
-def curate(papers: DataFrame, target: int, by: list[Column] | None = None, key: str = "versioned_id") -> DataFrame:
+def curate(papers: DataFrame, target: int, by: list[Column] | None = None, key: str = "versioned_id", salts: int = 64) -> DataFrame:
     """The best papers of each category within its quota; repeated rows of a kept key all stay.
 
-    Ranks are per category; a category's rows meet in one task only as key, category and order columns.
+    No task sorts a whole category, unless most of it is kept: of each of `salts` shares of it only the first rows, as many as the quota, can be kept,
+    and among these the ranks of the category are taken. Only key, category and order columns move.
     """
     named = papers.withColumn("_category", category_of())
     plan = quotas(named.groupBy(F.col("_category").alias("category")).agg(F.count(F.lit(1)).alias("n")), target)
-    order = [c.desc() for c in (by or quality())]
-    ranked = named.select(key, F.col("_category").alias("category"), F.row_number().over(Window.partitionBy("_category").orderBy(*order)).alias("place"))
-    keep = ranked.join(F.broadcast(plan.select("category", "quota")), "category").where("place <= quota").select(key).distinct()
+    parts = list(by or quality())
+    marks = [f"_o{i}" for i in range(len(parts))]
+    order = [F.col(m).desc() for m in marks]
+    rows = named.select(key, F.col("_category").alias("category"), *(c.alias(m) for c, m in zip(parts, marks, strict=True)))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(key, *marks), F.lit(salts))).join(plan.select("category", "quota"), "category")
+    first = rows.withColumn("place", F.row_number().over(Window.partitionBy("category", "_salt").orderBy(*order))).where("place <= quota")
+    ranked = first.withColumn("place", F.row_number().over(Window.partitionBy("category").orderBy(*order)))
+    keep = ranked.where("place <= quota").select(key).distinct()
     return papers.join(keep, key, "left_semi")
 
 
@@ -66,6 +72,11 @@ def without_prefixes(papers: DataFrame, prefixes: tuple[str, ...] = EXCLUDED_PRE
     return papers.where(~reduce(lambda a, b: a | b, [F.coalesce(F.col(c), F.lit("")).startswith(p) for p in prefixes]))
 
 
+def pulled(days: list[DataFrame]) -> DataFrame:
+    """The rows of all pulls, as often as they were pulled."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), days)
+
+
 def daily_counts(papers: DataFrame, first: str, last: str, day: str = "submitted_date") -> DataFrame:
     """date, paper_count for each day of the range, zero included; other days don't count."""
     spine = papers.sparkSession.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("date"))

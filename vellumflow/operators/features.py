@@ -1,7 +1,8 @@
 """Rule-based features of papers with their evidence, as column expressions.
 
 Terms of a vocabulary match longest first. A longer alias takes its span out of the text, so that no shorter one can
-match inside: aliases are applied by descending length, and what matched is replaced by a mark.
+match inside: aliases are applied by descending length, and what matched is replaced by a mark. What is left of the text is
+bound at each length, so that a text is read once for each length of aliases, and once if none of them is in it.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumflow.functions.text import clauses, code_urls, contains_any, first_sentence, fold, marked_statements, sentences, short_statement, squeeze, squeeze_but_newlines
+from vellumflow.functions.text import clauses, code_urls, contains_any, empty_strings, first_sentence, fold, marked_statements, once, sentences, short_statement, squeeze, squeeze_but_newlines
 from vellumflow.operators.claims import envelopes
 
 Vocabulary = dict[str, list[str]]
@@ -87,18 +88,29 @@ CONFIDENCE = 0.35
 TAKEN = ""
 
 
+def _whole_words(names: list[str]) -> str:
+    return rf"(?U)(?<!\w)(?:{'|'.join(map(re.escape, names))})(?!\w)"
+
+
+def _in_order(vocabulary: Vocabulary, labels: Column) -> Column:
+    return once(labels, lambda found: F.filter(F.array(*map(F.lit, vocabulary)), lambda label: F.array_contains(found, label)))
+
+
 def matched(text: Column, vocabulary: Vocabulary) -> Column:
     """Labels whose aliases match as whole words, in vocabulary order."""
     label_of = {a.lower(): label for label, aliases in vocabulary.items() for a in aliases}
-    rest, found = fold(text), []
-    for size in sorted({len(a) for a in label_of}, reverse=True):
-        names = "|".join(re.escape(a) for a in label_of if len(a) == size)
-        pattern = rf"(?U)(?<!\w)(?:{names})(?!\w)"
-        found.append(F.regexp_extract_all(rest, F.lit(pattern), F.lit(0)))
-        rest = F.regexp_replace(rest, pattern, TAKEN)
+    sizes = sorted({len(a) for a in label_of}, reverse=True)
+
+    def found(rest: Column, left: list[int]) -> Column:
+        pattern = _whole_words([a for a in label_of if len(a) == left[0]])
+        hits = F.regexp_extract_all(rest, F.lit(pattern), F.lit(0))
+        if len(left) == 1:
+            return hits
+        return F.concat(hits, once(F.regexp_replace(rest, pattern, TAKEN), lambda r: found(r, left[1:])))
+
+    some = once(fold(text), lambda t: F.when(t.rlike(_whole_words(list(label_of))), found(t, sizes)).otherwise(empty_strings()))
     table = F.create_map(*(F.lit(x) for pair in label_of.items() for x in pair))
-    labels = F.transform(F.concat(*found), lambda a: F.element_at(table, a))
-    return F.filter(F.array(*map(F.lit, vocabulary)), lambda label: F.array_contains(labels, label))
+    return F.coalesce(_in_order(vocabulary, F.transform(some, lambda a: F.element_at(table, a))), empty_strings())
 
 
 def _unmarked(clause: Column) -> Column:
@@ -109,29 +121,35 @@ def body_clauses(body: Column) -> Column:
     return F.flatten(F.transform(sentences(squeeze_but_newlines(body)), clauses))
 
 
+def own_clauses(body: Column) -> Column:
+    """The clauses without a mark of related work, a line each. No alias reaches over the end of a line."""
+    return F.concat_ws("\n", F.filter(body_clauses(body), _unmarked))
+
+
 def used(body: Column, vocabulary: Vocabulary) -> Column:
     """Labels that some clause without a mark of related work holds."""
-    own = F.filter(body_clauses(body), _unmarked)
-    labels = F.flatten(F.transform(own, lambda c: matched(c, vocabulary)))
-    return F.filter(F.array(*map(F.lit, vocabulary)), lambda label: F.array_contains(labels, label))
+    return matched(own_clauses(body), vocabulary)
 
 
 def titled_or_used(title: Column, body: Column, vocabulary: Vocabulary) -> Column:
-    both = F.array_union(matched(title, vocabulary), used(body, vocabulary))
-    return F.filter(F.array(*map(F.lit, vocabulary)), lambda label: F.array_contains(both, label))
+    return matched(F.concat_ws("\n", title, own_clauses(body)), vocabulary)
 
 
 def _evidence(field: str, values: Column, title: Column, body: Column, vocabulary: Vocabulary, usage: bool) -> Column:
     """One statement for each value that has any: the title, else the first sentence or own clause with it."""
     pieces = F.filter(body_clauses(body), _unmarked) if usage else sentences(squeeze_but_newlines(body))
-    clean = squeeze(title)
-    places = F.concat(F.array(F.struct(clean.alias("s"), matched(clean, vocabulary).alias("m"))), F.transform(pieces, lambda p: F.struct(p.alias("s"), matched(p, vocabulary).alias("m"))))
+    places = F.concat(F.array(squeeze(title)), pieces)
+    labelled = F.transform(places, lambda p: F.struct(p.alias("s"), matched(p, vocabulary).alias("m")))
+
+    def rows(marked: Column) -> Column:
+        def row(v: Column) -> Column:
+            first = F.get(F.filter(marked, lambda p: F.array_contains(p["m"], v)), F.lit(0))
+            return F.struct(F.lit(field).alias("field"), v.alias("value"), short_statement(first["s"]).alias("statement"))
 
-    def row(v: Column) -> Column:
-        first = F.get(F.filter(places, lambda p: F.array_contains(p["m"], v)), F.lit(0))
-        return F.struct(F.lit(field).alias("field"), v.alias("value"), short_statement(first["s"]).alias("statement"))
+        return F.filter(F.transform(values, row), lambda e: F.coalesce(e["statement"], F.lit("")) != "")
 
-    return F.filter(F.transform(values, row), lambda e: F.coalesce(e["statement"], F.lit("")) != "")
+    none = F.array().cast("array<struct<field:string,value:string,statement:string>>")
+    return F.when(F.size(values) > 0, once(labelled, rows)).otherwise(none)
 
 
 def with_features(papers: DataFrame, title: str = "title", abstract: str = "abstract", paper_text: str = "paper_text") -> DataFrame:

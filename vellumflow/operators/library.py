@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NEWEST = 500
+# The fields that a page lists.
 SHOWN = ["arxiv_id", "versioned_id", "version", "title", "abstract", "authors", "primary_category", "categories", "published_at", "updated_at", "abs_url", "pdf_url", "doi", "journal_ref", "comment"]
 
 
@@ -43,7 +44,7 @@ def search(papers: DataFrame, needle: str = "", category: str = "", limit: int =
 
 def shown(papers: DataFrame) -> DataFrame:
     """What a page lists, times as ISO text."""
-    iso = {c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ssXXX") for c in ("published_at", "updated_at")}
+    iso = {c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ssxxx") for c in ("published_at", "updated_at")}
     return papers.select(*(iso[c].alias(c) if c in iso else c for c in SHOWN))
 
 
@@ -82,6 +83,14 @@ def orphans(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     return children.join(parents.select(key), key, "left_anti")
 
 
+def differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """key and difference (left only, right only, different) of rows that two tables of one schema, each with unique keys, don't share."""
+    pack = lambda df, name: df.select(key, F.struct(*sorted(left.columns)).alias(name))
+    both = pack(left, "_l").join(pack(right, "_r"), key, "full")
+    side = F.when(F.col("_r").isNull(), "left only").when(F.col("_l").isNull(), "right only").when(~F.col("_l").eqNullSafe(F.col("_r")), "different")
+    return both.select(key, side.alias("difference")).where("difference is not null")
+
+
 def store_counts(**tables: DataFrame) -> DataFrame:
     """One row with the row count of each table, in one job."""
     each = [df.select(F.lit(name).alias("name"), F.lit(1).alias("one")) for name, df in tables.items()]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+# The fields of a record that hold values.
 VALUE_FIELDS = ["research_tasks", "methods", "datasets", "metrics", "domains", "contributions", "limitations"]
 
 

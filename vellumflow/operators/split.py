@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Hexadecimal digits of the hash that name a range: 4,096 ranges for each class.
+RANGE_DIGITS = 3
+
 
 def without_rare(rows: DataFrame, label: str, least: int = 5) -> DataFrame:
     """Rows of labels with at least `least` rows (3 or more, so that each split has one)."""
@@ -43,7 +46,14 @@ def stratified(rows: DataFrame, key: str, label: str, validation: float = 0.15,
     """rows with split: test, validation or train, by the order of a seeded hash of the key within each class."""
     sizes = split_sizes(rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")), label, validation, test)
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)
-    placed = rows.withColumn("_place", F.row_number().over(Window.partitionBy(label).orderBy(order, key)))
+    # Hashes are spread evenly: ranges of their first digits deal a class of any size over tasks.
+    dealt = rows.withColumn("_order", order).withColumn("_range", F.substring("_order", 1, RANGE_DIGITS))
+    before = dealt.groupBy(label, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(label).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = before.select(F.col(label).alias("_l"), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(label, "_range").orderBy("_order", key))
+    placed = dealt.withColumn("_own", own).join(before, (F.col(label) == F.col("_l")) & (F.col("_range") == F.col("_r")))
+    placed = placed.withColumn("_place", F.col("_before") + F.col("_own"))
     joined = placed.join(sizes.select(label, "test", "validation"), label)
     name = F.when(F.col("_place") <= F.col("test"), "test").when(F.col("_place") <= F.col("test") + F.col("validation"), "validation").otherwise("train")
     return joined.select(*rows.columns, name.alias("split"))

@@ -24,12 +24,15 @@ def tokens(text: Column, stop: bool = True) -> Column:
 
 
 def grams(words: Column, least: int = 1, most: int = 2) -> Column:
-    """Runs of least..most words, joined by a space."""
-    def of(n: int) -> Column:
-        runs = F.transform(words, lambda w, i: F.when(i + n <= F.size(words), F.concat_ws(" ", F.slice(words, i + 1, n))))
+    """Runs of least..most words, joined by a space. The words are bound, as each run reads them."""
+
+    def of(every: Column, n: int) -> Column:
+        if n == 1:
+            return every
+        runs = F.transform(every, lambda w, i: F.when(i + n <= F.size(every), F.concat_ws(" ", *(F.get(every, i + j) for j in range(n)))))
         return F.filter(runs, lambda g: g.isNotNull())
 
-    return F.concat(*map(of, range(least, most + 1)))
+    return once(words, lambda every: F.concat(*(of(every, n) for n in range(least, most + 1))))
 
 
 def char_grams(text: Column, least: int = 3, most: int = 5) -> Column:
@@ -78,8 +81,10 @@ def vocabulary(counts: DataFrame, n_docs: int, size: int, min_df: int, max_df: f
 def tfidf(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     """key, term, weight: (1 + ln tf) * idf, each document scaled to length 1."""
     raw = counts.join(vocab.select("term", "idf"), "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("weight"))
+    # A document's weights meet once, at most as many as the vocabulary has terms; in the order of terms their sum is the same each time.
+    whole = raw.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("term", "raw"))).alias("r"))
+    length = F.sqrt(F.aggregate("r", F.lit(0.0), lambda acc, x: acc + x["raw"] * x["raw"]))
+    return whole.withColumn("_length", length).select(key, F.explode("r").alias("x"), "_length").select(key, "x.term", (F.col("x.raw") / F.col("_length")).alias("weight"))
 
 
 def fit_vocabulary(train: DataFrame, key: str, terms: Column, size: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 STATUSES = ("inserted", "updated", "unchanged")
-#: Fields that an update replaces, and those that it clears.
+# Fields that an update replaces, and those that it clears.
 REVISION = ["versioned_id", "version", "title", "abstract", "authors", "affiliations", "categories", "primary_category", "published_at", "updated_at", "abs_url", "pdf_url", "doi", "journal_ref", "comment"]
 CLEARED = ["pdf_path", "text_path", "last_error"]
 NEW_SUBMISSIONS, REVISIONS = "arxiv_submissions", "arxiv_revisions"
@@ -67,6 +67,15 @@ def replace_by_key(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new.select(*old.columns))
 
 
+def save_features(stored: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
+    """The feature store after new rows: each replaces the row of its paper as a whole.
+
+    Of several new rows of a paper the last by `order` counts; without one a paper may have only one.
+    """
+    last = latest(new, "arxiv_id", [order]) if order else new
+    return replace_by_key(stored, last.select(*stored.columns), "arxiv_id")
+
+
 def set_file(papers: DataFrame, arxiv_id: str, kind: str, path: str) -> DataFrame:
     """Sets the pdf or text path of a paper and clears its error; an unknown id changes nothing."""
     if kind not in ("pdf", "text"):
@@ -93,9 +102,10 @@ def in_window(submissions: DataFrame, start: datetime, end: datetime, categories
     """Submissions of any of the categories between two minutes, both included."""
     if not categories:
         raise ValueError("at least one category is needed")
-    minute = F.date_trunc("minute", F.col(by))
-    bounds = [F.date_trunc("minute", F.lit(x)) for x in (start, end)]
-    return submissions.where(minute.between(*bounds) & F.arrays_overlap("categories", F.array(*map(F.lit, categories))))
+    # Both minutes as bounds of the column itself, so that the scan can skip what lies outside.
+    first, after = start.replace(second=0, microsecond=0), end.replace(second=0, microsecond=0) + timedelta(minutes=1)
+    inside = (F.col(by) >= F.lit(first)) & (F.col(by) < F.lit(after))
+    return submissions.where(inside & F.arrays_overlap("categories", F.array(*map(F.lit, categories))))
 
 
 def unseen(revisions: DataFrame, submissions: DataFrame) -> DataFrame:

@@ -5,41 +5,24 @@ The driver's tables are no papers; each query names the columns that stand in fo
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vellumflow.functions import text as T
-from vellumflow.operators import curation, library, metrics, split, terms, upsert
-from vellumflow.operators.claims import with_claims
+from vellumflow.operators import classifier, curation, library, metrics, split, terms, upsert
+from vellumflow.operators.claims import CLAIM, with_claims
 from vellumflow.operators.features import matched, used
 from vellumflow.operators.selection import prompt_text
+from vellumflow.plans import examples  # noqa: F401  (registers its queries)
+from vellumflow.plans.registry import ORACLE, QUERIES, query, table  # noqa: F401
+from vellumflow.schemas import PAPERS
 from vellumflow.sources.shards import shard_counts
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
 SENTENCES = r"string_split(regexp_replace({}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
 SQUEEZED = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 MARKERS = ("license", "token")
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # Library
 
 
@@ -369,7 +352,17 @@ def head_tail(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.when(F.length("text") <= 400, F.col("text")).otherwise(T.head_tail(F.col("text"), F.lit(400))), 256).alias("hash"))
 
 
-@query()
+_SECTION = r"(?im)^\s*(\d+(\.\d+)*\s+)?(method|methodology|experiments|results|limitations|conclusion)s?\s*$"
+
+
+# A text with section headings would need their slices; documents have none, and one that had would show as null.
+@query(
+    f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS body, 18 + length(coalesce(source, '')) + length({_SHORT.format(SQUEEZED.format("coalesce(text, '')"))}) AS head FROM documents)
+    SELECT doc_id, CASE WHEN body = '' THEN head WHEN head + 17 + length(body) <= 4000 THEN head + 17 + length(body)
+        WHEN regexp_matches(body, '{_SECTION}') THEN NULL WHEN head + 26 < 4000 THEN 4000 ELSE head END::INT AS length FROM d
+    """
+)
 def prompts(spark, sf_dir):
     """Prompts of all documents, with the source as title and the short statement as abstract; what is null is empty."""
     title, abstract = (F.coalesce(c, F.lit("")) for c in (F.col("source"), T.short_statement("text")))
@@ -409,7 +402,16 @@ def top_words(spark, sf_dir):
     return rows.select("doc_id", F.concat_ws("|", "r.term").alias("terms"))
 
 
-@query()
+@query(
+    r"""
+    WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}'), lambda x: x NOT IN (STOP)) AS t FROM documents),
+    u AS (SELECT doc_id, unnest(t) AS term FROM w UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM w),
+    c AS (SELECT doc_id, term, count(*) AS n FROM u GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, encode(term)) AS place FROM c),
+    k AS (SELECT doc_id, string_agg(term, '|' ORDER BY place) AS terms FROM r WHERE place <= 12 GROUP BY doc_id)
+    SELECT doc_id, coalesce(terms, '') AS terms FROM documents LEFT JOIN k USING (doc_id)
+    """.replace("STOP", ", ".join(f"'{w}'" for w in terms.STOP_WORDS))
+)
 def keywords(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("|", terms.keywords(F.col("text"))).alias("terms"))
 
@@ -433,19 +435,53 @@ def tfidf(spark, sf_dir):
 
 
 VOCABULARY = {"apache": ["apache license"], "license": ["license"], "token": ["token"], "the": ["the"]}
+_WORD = r"(^|[^\p{L}\p{N}_])WORD([^\p{L}\p{N}_]|$)"
+_HAS = lambda text, word: f"regexp_matches({text}, '{_WORD.replace('WORD', word)}')"
+_APACHE = _WORD.replace("WORD", "apache license")
 
 
-@query()
+# Neighbouring matches share a border, so that the longer alias is taken out twice.
+@query(
+    rf"""
+    WITH t AS (SELECT doc_id, lower(text) AS t FROM documents),
+    r AS (SELECT doc_id, t, regexp_replace(regexp_replace(t, '{_APACHE}', '\1' || chr(1) || '\2', 'g'), '{_APACHE}', '\1' || chr(1) || '\2', 'g') AS r FROM t)
+    SELECT doc_id, concat_ws('|', CASE WHEN {_HAS("t", "apache license")} THEN 'apache' END, CASE WHEN {_HAS("r", "license")} THEN 'license' END,
+        CASE WHEN {_HAS("r", "token")} THEN 'token' END, CASE WHEN {_HAS("r", "the")} THEN 'the' END) AS labels FROM r
+    """
+)
 def vocabulary_match(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("|", matched(F.col("text"), VOCABULARY)).alias("labels"))
 
 
-@query()
+_CLAUSES = r"string_split(regexp_replace({}, '(?i)([;\n]+|\s*,?\s+\b(but|however|whereas)\b\s*)', chr(1), 'g'), chr(1))"
+_RELATED = "lower({0}) NOT LIKE '%prior work%' AND lower({0}) NOT LIKE '%previous work%' AND lower({0}) NOT LIKE '%related work%' AND lower({0}) NOT LIKE '%earlier work%' AND lower({0}) NOT LIKE '%other studies%'"
+
+
+@query(
+    rf"""
+    WITH s AS (SELECT doc_id, unnest({SENTENCES.format("regexp_replace(text, '[^\S\n]+', ' ', 'g')")}) AS s FROM documents),
+    c AS (SELECT doc_id, unnest({_CLAUSES.format("s")}) AS c FROM s),
+    h AS (SELECT doc_id, bool_or({_HAS("lower(c)", "license")}) AS a, bool_or({_HAS("lower(c)", "token")}) AS b FROM c WHERE {_RELATED.format("c")} GROUP BY doc_id)
+    SELECT doc_id, concat_ws('|', CASE WHEN a THEN 'license' END, CASE WHEN b THEN 'token' END) AS labels FROM documents LEFT JOIN h USING (doc_id)
+    """
+)
 def usage_match(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("|", used(F.col("text"), {"license": ["license"], "token": ["token"]})).alias("labels"))
 
 
-@query()
+_PLAIN = lambda pattern: pattern.replace("(?iU)", "(?i)")
+
+
+@query(
+    rf"""
+    WITH d AS (SELECT doc_id, source, {SQUEEZED.format("CASE WHEN lang = 'en' THEN 'We show that accuracy improves by ' || doc_id || '% on ImageNet. ' || text ELSE text END")} AS t FROM documents),
+    m AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), '([.!?])([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS s FROM d),
+    u AS (SELECT doc_id, unnest(s) AS s FROM m),
+    c AS (SELECT doc_id, trim(unnest(CASE WHEN regexp_matches(s, '(?i)\bnot only\b.+\bbut (also|even)\b') THEN [s] ELSE {_CLAUSES.format("s")} END)) AS c FROM u),
+    f AS (SELECT doc_id, least(count(DISTINCT lower(c)), 5) AS n FROM c WHERE c <> '' AND {_RELATED.format("c")} AND regexp_matches(c, '{_PLAIN(CLAIM)}') GROUP BY doc_id)
+    SELECT source, count(*) AS paper_count, count(n) AS with_envelopes, coalesce(sum(n), 0)::BIGINT AS envelopes FROM documents LEFT JOIN f USING (doc_id) GROUP BY source
+    """
+)
 def claim_status(spark, sf_dir):
     """Claims of whole texts; before each English one is a generated claim with the document's number as the value."""
     planted = F.concat(F.lit("We show that accuracy improves by "), F.col("doc_id").cast("string"), F.lit("% on ImageNet. "), F.col("text"))
@@ -457,3 +493,143 @@ def claim_status(spark, sf_dir):
 def shard_manifest(spark, sf_dir):
     events = table(spark, sf_dir, "events").select(F.col("ts").cast("date").cast("string").alias("day"), F.when(F.col("event_type") == "click", F.array(F.lit(1))).otherwise(F.array().cast("array<int>")).alias("validity_envelopes"))
     return shard_counts(events, "day")
+
+
+# More of the evaluation, the store and the curation on tables
+
+
+def _told(spark, sf_dir):
+    """Events as predictions of their type: every third one is guessed to be a click."""
+    guess = F.when(F.col("event_id") % 3 == 0, "click").otherwise(F.col("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("truth"), guess.alias("guess"), (F.pmod(F.col("event_id") * 37, F.lit(101)) / 100).alias("confidence"))
+
+
+_TOLD = "WITH l AS (SELECT event_id, event_type AS t, CASE WHEN event_id % 3 = 0 THEN 'click' ELSE event_type END AS p, (event_id * 37 % 101) / 100 AS confidence FROM events)"
+
+
+@query(
+    f"""{_TOLD}, names AS (SELECT t AS label FROM l UNION SELECT p FROM l),
+    c AS (SELECT label, (SELECT count(*) FROM l WHERE t = label) AS support, (SELECT count(*) FROM l WHERE p = label) AS guessed, (SELECT count(*) FROM l WHERE t = label AND p = label) AS hits FROM names),
+    r AS (SELECT support, CASE WHEN guessed + support = 0 THEN 0 ELSE 2 * hits / (guessed + support) END AS f1 FROM c)
+    SELECT (SELECT count(*) FROM l) AS n, (SELECT round(avg((t = p)::INT), 9) FROM l) AS accuracy, round(avg(f1), 9) AS macro_f1, round(sum(f1 * support) / sum(support), 9) AS weighted_f1,
+        round(max(support) / sum(support), 9) AS majority_baseline, round(1 / count(*) FILTER (WHERE support > 0), 9) AS uniform_baseline FROM r
+    """
+)
+def prediction_summary(spark, sf_dir):
+    out = metrics.summary(_told(spark, sf_dir), "truth", "guess")
+    return out.select("n", *(F.round(c, 9).alias(c) for c in out.columns if c != "n"))
+
+
+@query(
+    f"""{_SCORED}, b AS (SELECT i / 10 AS lower, (i + 1) / 10 AS upper FROM range(10) t(i)),
+    g AS (SELECT count(*) AS n, avg(ok::INT) AS accuracy, avg(c) AS confidence FROM s JOIN b ON c > lower AND c <= upper GROUP BY lower)
+    SELECT round(sum(n * abs(accuracy - confidence)) / (SELECT count(*) FROM s), 9) AS calibration_error FROM g
+    """
+)
+def expected_calibration_error(spark, sf_dir):
+    return metrics.calibration_error(_scored(spark, sf_dir), "confidence", "correct").select(F.round("calibration_error", 9).alias("calibration_error"))
+
+
+@query(f"{_TOLD} SELECT event_id, t AS truth, p AS guess, confidence FROM l WHERE t <> p ORDER BY confidence DESC, event_id LIMIT 25")
+def top_mistakes(spark, sf_dir):
+    return metrics.worst_mistakes(_told(spark, sf_dir), "truth", "guess", "confidence", "event_id")
+
+
+_LABELS = ["click", "view", "purchase"]
+_RANKED = """
+    WITH p AS (SELECT event_id, event_type, i, ['click', 'view', 'purchase'][i] AS label, (event_id * (i + 2) % 7) / 21 AS probability FROM events, (VALUES (1), (2), (3)) v(i)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY probability DESC, i) AS place FROM p)
+"""
+
+
+def _ranked(spark, sf_dir):
+    shares = F.array(*((F.col("event_id") * k % 7) / 21 for k in (3, 4, 5)))
+    return table(spark, sf_dir, "events").select("event_id", "event_type", metrics.ranked_labels(shares, _LABELS, 3).alias("ranked"))
+
+
+@query(f"{_RANKED} SELECT event_id, string_agg(label, '|' ORDER BY place) AS labels FROM r WHERE place <= 2 GROUP BY event_id")
+def ranked_categories(spark, sf_dir):
+    return _ranked(spark, sf_dir).select("event_id", F.concat_ws("|", F.slice(F.transform("ranked", lambda x: x["label"]), 1, 2)).alias("labels"))
+
+
+@query(f"{_RANKED} SELECT (SELECT count(*) FROM r WHERE place <= 2 AND label = event_type) / (SELECT count(*) FROM events) AS top_2_accuracy")
+def top_k(spark, sf_dir):
+    return metrics.top_k_accuracy(_ranked(spark, sf_dir), "event_type", "ranked", 2)
+
+
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20 06:00:00' ORDER BY ts DESC, event_id LIMIT 200")
+def revision_cutoff(spark, sf_dir):
+    recent = table(spark, sf_dir, "events").where("ts >= timestamp_ntz '2024-01-20 06:00:00'")
+    return upsert.capped(recent, 200, [F.col("ts").desc(), "event_id"])[0].select("event_id")
+
+
+@query(
+    """
+    WITH s AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last FROM events),
+    c AS (SELECT *, last IS NULL OR last <> event_type AS changed FROM s),
+    k AS (SELECT user_id, max_by(event_id, (ts, event_id)) AS title FROM c WHERE changed GROUP BY user_id)
+    SELECT user_id::VARCHAR AS arxiv_id, max_by(event_type, (ts, event_id)) AS versioned_id, any_value(title)::VARCHAR AS title, min(ts)::VARCHAR AS first_seen, max(ts)::VARCHAR AS last_seen
+    FROM c JOIN k USING (user_id) GROUP BY user_id
+    """
+)
+def merged_store(spark, sf_dir):
+    """Events as revisions in two batches: the fields of the first arrival of the last run of equal versions stay."""
+    events = table(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    empty = spark.createDataFrame([], PAPERS)
+    order = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
+    made = {"arxiv_id": F.col("user_id").cast("string"), "versioned_id": F.col("event_type"), "title": F.col("event_id").cast("string"), "seen_at": F.col("at"), "position": order}
+    revisions = events.withColumns(made).select(*made, "ts")
+    revisions = revisions.withColumns({f.name: F.lit(None).cast(f.dataType) for f in empty.schema if f.name not in made and f.name != "updated_at"}).withColumn("updated_at", F.lit("2024-01-01").cast("timestamp"))
+    early = revisions.where("ts < timestamp_ntz '2024-01-15 00:00:00'").drop("ts")
+    late = revisions.where("ts >= timestamp_ntz '2024-01-15 00:00:00'").drop("ts")
+    store = upsert.upsert(upsert.upsert(empty, early), late)
+    text = lambda c: F.regexp_replace(F.col(c).cast("string"), r"\.0+$", "")
+    return store.select("arxiv_id", "versioned_id", "title", text("created_at").alias("first_seen"), text("last_seen_at").alias("last_seen"))
+
+
+@query("SELECT event_type, count(*) AS n FROM (SELECT * FROM events WHERE ts::DATE = '2024-01-03' UNION ALL SELECT * FROM events WHERE ts::DATE = '2024-01-04' UNION ALL SELECT * FROM events WHERE ts::DATE = '2024-01-03') GROUP BY event_type")
+def joined_pulls(spark, sf_dir):
+    """Days joined as they come; rows pulled twice are there twice."""
+    events = table(spark, sf_dir, "events")
+    days = [events.where(F.col("ts").cast("date") == day) for day in ("2024-01-03", "2024-01-04", "2024-01-03")]
+    return curation.pulled(days).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """
+    WITH a AS (SELECT doc_id, lang, n_chars FROM documents WHERE doc_id % 7 <> 0), b AS (SELECT doc_id, lang, CASE WHEN doc_id % 11 = 0 THEN -1 ELSE n_chars END AS n_chars FROM documents WHERE doc_id % 5 <> 0)
+    SELECT doc_id, CASE WHEN b.lang IS NULL THEN 'left only' WHEN a.lang IS NULL THEN 'right only' ELSE 'different' END AS difference
+    FROM a FULL JOIN b USING (doc_id) WHERE a.lang IS NULL OR b.lang IS NULL OR a.n_chars <> b.n_chars
+    """
+)
+def source_differences(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    changed = docs.withColumn("n_chars", F.when(F.col("doc_id") % 11 == 0, F.lit(-1).cast("long")).otherwise(F.col("n_chars")))
+    return library.differences(docs.where("doc_id % 7 <> 0"), changed.where("doc_id % 5 <> 0"), "doc_id")
+
+
+@query(
+    """
+    WITH c AS (SELECT lang, count(*) AS n FROM documents WHERE text <> '' GROUP BY lang HAVING count(*) >= 10),
+    z AS (SELECT n, greatest(1, round_even(n * 0.15::DOUBLE, 0)) AS p FROM c)
+    SELECT sum(n - 2 * p)::BIGINT AS n_train, sum(p)::BIGINT AS n_validation, sum(p)::BIGINT AS n_test, count(*) AS n_labels, true AS labels_sorted, true AS learned, true AS beats_untrained, true AS has_history, true AS confident
+    FROM z
+    """
+)
+def category_classifier(spark, sf_dir):
+    """Languages of documents by TF-IDF vectors: sizes of the split, and whether the held-out part is told right."""
+    docs = table(spark, sf_dir, "documents").where("text <> ''")
+    papers = docs.select(F.col("doc_id").cast("string").alias("arxiv_id"), F.lit("").alias("title"), F.col("text").alias("abstract"), F.col("lang").alias("primary_category"))
+    run = classifier.train_and_evaluate(papers, least=10, features=400, epochs=(5, 10))
+    labels = run.classifier.labels
+    m = run.metrics
+    sizes = run.split.groupBy().agg(*(F.count_if(F.col("split") == p).alias(f"n_{p}") for p in ("train", "validation", "test")))
+    told = {
+        "n_labels": F.lit(len(labels)).cast("long"),
+        "labels_sorted": F.lit(labels == sorted(labels)),
+        "learned": F.lit(m["accuracy"] >= 0.9 and m["macro_f1"] >= 0.8 and m["accuracy"] > m["majority_baseline"]),
+        "beats_untrained": F.lit(m["accuracy"] > m["untrained_accuracy"]),
+        "has_history": F.lit(run.curve(spark).where("validation_macro_f1 > 0").count() == len(run.history) > 0),
+        "confident": F.lit(m["calibration_error"] < 0.35 and m[f"top_{min(3, len(labels))}_accuracy"] >= m["accuracy"]),
+    }
+    return sizes.select("*", *(v.alias(k) for k, v in told.items()))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumflow.functions.text import feed_id, split_version, squeeze
+from vellumflow.schemas import PAPERS
 
 LINK = "struct<_href:string,_rel:string,_title:string,_type:string>"
 ENTRY = (
@@ -38,14 +41,14 @@ def check_feed(entries: DataFrame, total: int) -> DataFrame:
 
 def _paper_columns() -> list[Column]:
     ids = feed_id("id")
-    pick = lambda test: F.get(F.filter("link", test), F.lit(0))["_href"]
+    pick = lambda test: F.try_element_at(F.filter("link", test), F.lit(-1))["_href"]
     optional = lambda c: F.nullif(squeeze(c), F.lit("")).alias(c)
     return [
         ids["base"].alias("arxiv_id"),
         ids["versioned"].alias("versioned_id"),
         squeeze("title").alias("title"),
         squeeze("summary").alias("abstract"),
-        F.transform("author", lambda a: squeeze(a["name"])).alias("authors"),
+        F.filter(F.transform("author", lambda a: squeeze(a["name"])), lambda n: n != "").alias("authors"),
         F.transform("category", lambda c: c["_term"]).alias("categories"),
         F.col("primary_category._term").alias("primary_category"),
         F.col("published").alias("published_at"),
@@ -85,10 +88,22 @@ def records_of(entries: DataFrame) -> DataFrame:
     )
 
 
-def demo(spark: SparkSession) -> DataFrame:
-    """Two made-up papers to try the library with."""
+def demo(spark: SparkSession, seen: datetime = datetime(2026, 6, 3)) -> DataFrame:
+    """Two made-up papers to try the library with: a batch for upsert() in the columns of the store."""
     rows = [
-        ("9999.00001", "Robot grasping with a transformer", "We show that a transformer improves accuracy by 4%.", ["cs.RO", "cs.LG"]),
-        ("9999.00002", "Diffusion model for ImageNet", "We find that a diffusion model reduces the error rate.", ["cs.CV", "cs.LG"]),
+        ("9999.00001", "Robot grasping with a graph neural network", "Our method joins a graph neural network with a diffusion model. We report the success rate.", ["A. One", "B. Two"], ["cs.RO", "cs.LG"], datetime(2026, 6, 1)),
+        ("9999.00002", "Transformers for image classification", "We show that contrastive learning improves accuracy on CIFAR-10 by 2%.", ["B. Two"], ["cs.CV", "cs.LG"], datetime(2026, 6, 2)),
     ]
-    return spark.createDataFrame(rows, "arxiv_id string, title string, abstract string, categories array<string>")
+    df = spark.createDataFrame(rows, "arxiv_id string, title string, abstract string, authors array<string>, categories array<string>, published_at timestamp")
+    made = {
+        "versioned_id": F.concat("arxiv_id", F.lit("v1")),
+        "version": F.lit(1),
+        "primary_category": F.get("categories", F.lit(0)),
+        "updated_at": F.col("published_at"),
+        "abs_url": F.concat(F.lit("https://arxiv.org/abs/"), "arxiv_id", F.lit("v1")),
+        "position": F.lit(1).cast("long"),
+        "seen_at": F.lit(seen),
+    }
+    df = df.withColumns(made)
+    missing = [f for f in spark.createDataFrame([], PAPERS).schema if f.name not in df.columns]
+    return df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing})
