@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 from collections.abc import Iterable
 from dataclasses import dataclass
-from pathlib import Path
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
@@ -18,7 +16,7 @@ from vellumflow.functions.text import without_accents
 from vellumflow.operators.metrics import calibration_error, class_report, class_weights, confusion, ranked_labels, ratio, selective, summary, top_k_accuracy, worst_mistakes
 from vellumflow.operators.split import stratified, without_rare
 from vellumflow.operators.terms import char_grams, fit_vocabulary, grams, term_counts, tfidf, tokens
-from vellumflow.sources.swap import replace_directory
+from vellumflow.sources.swap import Files, replace_directory
 
 WORD_SHARE = 0.75
 FORMAT = 1
@@ -130,33 +128,35 @@ def train_and_evaluate(papers: DataFrame, label: str = "primary_category", least
     return Run(best, history, metrics, class_report(told, "label", "predicted"), confusion(told, "label", "predicted"), worst_mistakes(told, "label", "predicted", "confidence", "arxiv_id"), selective(told, "confidence", "correct"), split)
 
 
-def _digest(folder: Path) -> dict[str, str]:
-    return {str(p.relative_to(folder)): hashlib.sha256(p.read_bytes()).hexdigest() for p in sorted(folder.rglob("*")) if p.is_file() and not p.name.startswith((".", "_")) and p.name != "manifest.json"}
+def _digest(files: Files, folder: str) -> dict[str, str]:
+    return {name: files.sha256(f"{folder}/{name}") for name in files.under(folder) if name != "manifest.json"}
 
 
 def save(classifier: Classifier, folder: str) -> None:
     """Writes model, terms, labels and a manifest of hashes, then swaps the folder in; a failure keeps the old one."""
+    spark = classifier.vocabulary.terms.sparkSession
 
-    def write(stage: Path) -> None:
-        classifier.model.write().overwrite().save(f"file://{stage}/model")
-        classifier.vocabulary.terms.coalesce(1).write.mode("overwrite").parquet(f"file://{stage}/terms")
-        (stage / "labels.json").write_text(json.dumps(classifier.labels))
-        (stage / "manifest.json").write_text(json.dumps({"format": FORMAT, "size": classifier.vocabulary.size, "files": _digest(stage)}, sort_keys=True))
+    def write(stage: str) -> None:
+        files = Files(spark, stage)
+        classifier.model.write().overwrite().save(f"{stage}/model")
+        classifier.vocabulary.terms.coalesce(1).write.mode("overwrite").parquet(f"{stage}/terms")
+        files.write(f"{stage}/labels.json", json.dumps(classifier.labels))
+        files.write(f"{stage}/manifest.json", json.dumps({"format": FORMAT, "size": classifier.vocabulary.size, "files": _digest(files, stage)}, sort_keys=True))
 
-    replace_directory(Path(folder), write)
+    replace_directory(spark, folder, write)
 
 
 def load(spark: SparkSession, folder: str) -> Classifier:
     """Reads what save() wrote; unknown formats and files that differ from the manifest are errors."""
-    path = Path(folder)
-    manifest = json.loads((path / "manifest.json").read_text())
+    files = Files(spark, folder)
+    manifest = json.loads(files.read(f"{folder}/manifest.json"))
     if manifest.get("format") != FORMAT:
         raise ValueError("unknown model format")
-    if manifest["files"] != _digest(path):
+    if manifest["files"] != _digest(files, folder):
         raise ValueError("the model's files don't match its manifest")
-    model = LogisticRegressionModel.load(f"file://{path}/model")
-    terms = spark.read.parquet(f"file://{path}/terms")
-    labels = json.loads((path / "labels.json").read_text())
+    model = LogisticRegressionModel.load(f"{folder}/model")
+    terms = spark.read.parquet(f"{folder}/terms")
+    labels = json.loads(files.read(f"{folder}/labels.json"))
     if manifest["size"] != terms.count() or model.numClasses != len(labels):
         raise ValueError("the model's parts don't fit each other")
     return Classifier(Vocabulary(terms, manifest["size"]), model, labels)

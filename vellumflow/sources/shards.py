@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumflow.operators.claims import with_claims
+from vellumflow.operators.curation import EXCLUDED_PREFIXES
 from vellumflow.sources.jsonl import read_papers
-from vellumflow.sources.swap import replace_directory
+from vellumflow.sources.swap import Files, replace_directory
 
 SCHEMA_VERSION = "1.0"
 
@@ -34,47 +33,59 @@ def file_hashes(spark: SparkSession, folder: str) -> DataFrame:
 def write_claim_shards(spark: SparkSession, source: str, target: str, expected: int | None = None) -> dict:
     """Reads, extracts and writes one shard a day in source order, then swaps the folder in; returns the manifest.
 
-    A failure on any line, or a count other than expected, leaves the old folder as it was. source and target are
-    paths of the driver's file system that executors share.
+    A failure on any line, or a count other than expected, leaves the old folder as it was. source and target are paths of
+    file systems that driver and executors share. Each day's file is written by one task, which sorts on disk where it has to;
+    the driver only renames files and reads their hashes.
     """
     papers = with_claims(read_papers(spark, source)).persist()
     try:
         n = papers.count()
         if expected is not None and n != expected:
             raise ValueError(f"{n} papers, not {expected}")
+        # A row for each day.
         counts = {r.submitted_date: r for r in shard_counts(papers).collect()}
-
-        def write(stage: Path) -> None:
+        extracted = sum(r.with_envelopes for r in counts.values())
+        manifest = {
+            "schema_version": SCHEMA_VERSION,
+            "paper_count": n,
+            "papers_with_envelopes": extracted,
+            "papers_without_envelopes": n - extracted,
+            "envelope_count": sum(r.envelopes for r in counts.values()),
+        }
+
+        def write(stage: str) -> None:
+            files = Files(spark, stage)
             names = sorted(c for c in papers.columns if c != "line")
             rows = papers.select("line", F.col("submitted_date").alias("day"), *names)
             dealt = rows.repartition("day").sortWithinPartitions("day", "line").drop("line")
-            dealt.write.partitionBy("day").json(f"file://{stage}/parts")
+            dealt.write.partitionBy("day").option("maxRecordsPerFile", 0).json(f"{stage}/_parts")
             shards = []
             for day in sorted(counts):
-                data = b"".join(p.read_bytes() for p in sorted((stage / "parts" / f"day={day}").glob("part-*")))
-                (stage / f"{day}.jsonl").write_bytes(data)
-                shards.append({"file": f"{day}.jsonl", "paper_count": counts[day].paper_count, "sha256": hashlib.sha256(data).hexdigest()})
-            import shutil
-
-            shutil.rmtree(stage / "parts")
-            manifest.update(
-                schema_version=SCHEMA_VERSION,
-                source_sha256=hashlib.sha256(Path(source).read_bytes()).hexdigest(),
-                paper_count=n,
-                papers_with_envelopes=sum(r.with_envelopes for r in counts.values()),
-                papers_without_envelopes=n - sum(r.with_envelopes for r in counts.values()),
-                envelope_count=sum(r.envelopes for r in counts.values()),
-                shards=shards,
-            )
-            (stage / "manifest.json").write_text(json.dumps(manifest, indent=2, sort_keys=True) + "\n")
-
-        manifest: dict = {}
-        replace_directory(Path(target), write)
+                (part,) = (f for f in files.names(f"{stage}/_parts/day={day}") if f.startswith("part-"))
+                files.rename(f"{stage}/_parts/day={day}/{part}", f"{stage}/{day}.jsonl")
+                shards.append({"file": f"{day}.jsonl", "paper_count": counts[day].paper_count, "sha256": files.sha256(f"{stage}/{day}.jsonl")})
+            files.delete(f"{stage}/_parts")
+            manifest.update(source_sha256=Files(spark, source).sha256(source), shards=shards)
+            files.write(f"{stage}/manifest.json", json.dumps(manifest, indent=2, sort_keys=True) + "\n")
+
+        replace_directory(spark, target, write)
         return manifest
     finally:
         papers.unpersist()
 
 
-def write_metadata(path: str, **facts: object) -> None:
-    """Range, query and counts of a curation, as JSON with sorted keys."""
-    Path(path).write_text(json.dumps(facts, indent=2, sort_keys=True) + "\n")
+def curation_facts(first: str, last: str, target: int, source_count: int, papers: DataFrame, prefixes: tuple[str, ...] = EXCLUDED_PREFIXES) -> dict:
+    """What is told about a curated dataset: its days, and the counts before and after."""
+    n = papers.count()
+    return {
+        "date_range": {"start": first, "end": last, "inclusive": True, "timezone": "UTC"},
+        "sort": {"sortBy": "submittedDate", "sortOrder": "ascending"},
+        "curation": {"target_paper_count": target, "post_curation_paper_count": n, "removed_paper_count": source_count - n, "excluded_primary_category_prefixes": list(prefixes)},
+        "source_paper_count": source_count,
+        "paper_count": n,
+    }
+
+
+def write_metadata(spark: SparkSession, path: str, facts: dict) -> None:
+    """Facts as JSON with sorted keys."""
+    Files(spark, path).write(path, json.dumps(facts, indent=2, sort_keys=True) + "\n")
