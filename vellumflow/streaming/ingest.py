@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,42 +12,72 @@ from pyspark.sql.window import Window
 
 from vellumflow.operators.upsert import NEW_SUBMISSIONS, REVISIONS, advance, capped, in_window, state_key, status_counts, statuses, unseen, upsert, window_start
 from vellumflow.schemas import PAPERS, STATE
+from vellumflow.sources.swap import Files
 
 
 class Store:
-    """Papers and state under a folder of numbered generations, the largest complete one being current.
+    """Papers in buckets of their key, and state, under a folder.
 
-    A generation counts once its write is complete, so a crash leaves the last one in place.
+    A batch writes only the buckets that it touches, as a new generation, and then a list of the generation in which
+    each bucket stands. The latest list counts, so a crash leaves the store as it was. Generations that neither the
+    latest list nor the one before it names are removed.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _generation(self, table: str) -> int:
-        folder = self._path(f"{self.path}/{table}")
-        if not self._fs.exists(folder):
-            return 0
-        done = [s.getPath().getName() for s in self._fs.listStatus(folder)]
-        return max((int(n) for n in done if n.isdigit() and self._fs.exists(self._path(f"{self.path}/{table}/{n}/_SUCCESS"))), default=0)
-
-    def read(self, table: str, schema: str) -> DataFrame:
-        n = self._generation(table)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{table}/{n}") if n else self.spark.createDataFrame([], schema)
-
-    def write(self, table: str, df: DataFrame) -> None:
-        n = self._generation(table) + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/{table}/{n}")
-        if n > 2:
-            self._fs.delete(self._path(f"{self.path}/{table}/{n - 2}"), True)
+        self.files = Files(spark, self.path)
+        self._buckets = buckets
+
+    def _lists(self, table: str) -> list[int]:
+        folder = f"{self.path}/{table}"
+        names = self.files.names(folder) if self.files.exists(folder) else []
+        return sorted(int(n.removeprefix("list-").removesuffix(".json")) for n in names if n.startswith("list-") and n.endswith(".json"))
+
+    def _list(self, table: str, n: int) -> dict:
+        return json.loads(self.files.read(f"{self.path}/{table}/list-{n}.json"))
+
+    def _current(self, table: str) -> dict:
+        lists = self._lists(table)
+        return self._list(table, lists[-1]) if lists else {"buckets": self._buckets if table == "papers" else 1, "at": {}}
+
+    def read(self, table: str, schema: str, only: list[int] | None = None) -> DataFrame:
+        """A table, or some of its buckets."""
+        at = {int(b): n for b, n in self._current(table)["at"].items()}
+        paths = [f"{self.path}/{table}/{n}/bucket={b}" for b, n in sorted(at.items()) if only is None or b in only]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def write(self, table: str, df: DataFrame, touched: list[int] | None = None) -> None:
+        """Puts df, which has a column `bucket`, in the place of the touched buckets."""
+        current, lists = self._current(table), self._lists(table)
+        n = (lists[-1] if lists else 0) + 1
+        # What a broken-off write left under this number goes.
+        df.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{table}/{n}")
+        there = {int(x.removeprefix("bucket=")) for x in self.files.names(f"{self.path}/{table}/{n}") if x.startswith("bucket=")}
+        at = {b: g for b, g in current["at"].items() if int(b) not in set(touched or [])} | {str(b): n for b in there}
+        listed = f"{self.path}/{table}/list-{n}.json"
+        self.files.write(f"{listed}.new", json.dumps({"buckets": current["buckets"], "at": at}, sort_keys=True))
+        self.files.rename(f"{listed}.new", listed)
+        for old in lists[:-1]:
+            self.files.delete(f"{self.path}/{table}/list-{old}.json")
+        used = set(at.values()) | set(current["at"].values())
+        for name in self.files.names(f"{self.path}/{table}"):
+            if name.isdigit() and int(name) not in used and int(name) < n:
+                self.files.delete(f"{self.path}/{table}/{name}")
 
     papers = property(lambda self: self.read("papers", PAPERS))
     state = property(lambda self: self.read("state", STATE))
 
+    def set_state(self, state: DataFrame) -> None:
+        self.write("state", state.withColumn("bucket", F.lit(0)), [0])
+
     def merge(self, batch: DataFrame) -> None:
-        self.write("papers", upsert(self.papers, batch))
+        """Upserts a batch into the buckets of its papers."""
+        bucket = F.pmod(F.xxhash64("arxiv_id"), F.lit(self._current("papers")["buckets"])).cast("int")
+        # As many rows as there are buckets, at most.
+        touched = sorted(r.bucket for r in batch.select(bucket.alias("bucket")).distinct().collect())
+        if touched:
+            merged = upsert(self.read("papers", PAPERS, touched), batch)
+            self.write("papers", merged.withColumn("bucket", bucket), touched)
 
 
 class Saturated(RuntimeError):
@@ -78,7 +109,7 @@ def fetch(store: Store, landing: DataFrame, categories: list[str], now: datetime
             raise Saturated("revisions exceed the cap")
         report |= {"revision_start": cutoff, "revisions": sum(more.values())} | {k: report[k] + v for k, v in more.items()}
         done[keys[1]] = now
-    store.write("state", advance(store.state, done, now))
+    store.set_state(advance(store.state, done, now))
     return report
 
 
