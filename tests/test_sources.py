@@ -175,3 +175,26 @@ def test_accents_do_not_count(spark):
     docs = spark.createDataFrame([("1", "café naïve"), ("2", "cafe naive")], "arxiv_id string, text string")
     rows = docs.select(classifier._blocks()["w"].alias("w")).collect()
     assert rows[0].w == rows[1].w == ["cafe", "naive", "cafe naive"]
+
+
+def test_search_source(spark, monkeypatch):
+    from datetime import datetime
+    from pathlib import Path
+
+    from vellumflow.operators.upsert import capped
+    from vellumflow.sources import search
+
+    monkeypatch.syspath_prepend(str(Path(__file__).parent))
+    spark.sparkContext.addPyFile(str(Path(__file__).parent / "fake_search.py"))
+    query = search.search_query(["cs.LG", "cs.RO"], datetime(2026, 7, 3), datetime(2026, 7, 4, 1, 2))
+    assert query == "(cat:cs.LG OR cat:cs.RO) AND submittedDate:[202607030000 TO 202607040102]"
+    few = search.search(spark, "fake_search:client", query, 120, pause=0)
+    assert [r.arxiv_id for r in few.collect()] == [f"{i:04d}" for i in range(121)] and few.head().title == query
+    kept, over = capped(few, 120, ["arxiv_id"])
+    assert over and kept.count() == 120
+    every = search.search(spark, "fake_search:client", "q", 500, search.UPDATED, pause=0)
+    assert every.count() == 250 and every.head().arxiv_id == "0249"
+    with pytest.raises(Exception, match="no connection"):
+        search.search(spark, "fake_search:client", "down", 5, pause=0).collect()
+    with pytest.raises(ValueError):
+        search.search_query([])
