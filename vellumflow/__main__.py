@@ -8,7 +8,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import functions as F
 
-from vellumflow.operators.classifier import load, save, train_and_evaluate
+from vellumflow.operators import net
+from vellumflow.operators.classifier import LOGISTIC, NET, load, save, train_and_evaluate
 from vellumflow.session import session
 from vellumflow.sources.jsonl import read_examples
 
@@ -22,6 +23,11 @@ def parser() -> argparse.ArgumentParser:
     train.add_argument("--least", type=int, default=5, help="papers that a category needs")
     train.add_argument("--features", type=int, default=8000)
     train.add_argument("--seed", type=int, default=42)
+    train.add_argument("--kind", choices=(NET, LOGISTIC), default=NET)
+    train.add_argument("--epochs", type=int, default=net.EPOCHS)
+    train.add_argument("--hidden", type=int, default=net.HIDDEN)
+    train.add_argument("--dropout", type=float, default=net.DROPOUT)
+    train.add_argument("--patience", type=int, default=net.PATIENCE)
     predict = commands.add_parser("predict", help="print the most probable categories of a paper")
     predict.add_argument("model")
     predict.add_argument("--title", required=True)
@@ -34,7 +40,8 @@ def main(argv: Sequence[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = session()
     if args.command == "train":
-        run = train_and_evaluate(read_examples(spark, args.source), least=args.least, features=args.features, seed=args.seed)
+        options = {k: getattr(args, k) for k in ("epochs", "hidden", "dropout", "patience")} if args.kind == NET else {}
+        run = train_and_evaluate(read_examples(spark, args.source), least=args.least, features=args.features, seed=args.seed, model=args.kind, **options)
         save(run.classifier, args.model)
         print(json.dumps(run.metrics, sort_keys=True))
     else:

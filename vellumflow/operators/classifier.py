@@ -1,4 +1,4 @@
-"""Training, evaluating and using a category classifier on TF-IDF vectors, with MLlib."""
+"""Training, evaluating and using a category classifier on TF-IDF vectors: a net, or logistic regression by MLlib."""
 
 from __future__ import annotations
 
@@ -14,14 +14,17 @@ from pyspark.sql import functions as F
 
 from vellumflow.functions.text import without_accents
 from vellumflow.operators.metrics import calibration_error, class_report, class_weights, confusion, ranked_labels, ratio, selective, summary, top_k_accuracy, worst_mistakes
+from vellumflow.operators.net import Net, fit, unpacked
 from vellumflow.operators.split import stratified, without_rare
 from vellumflow.operators.terms import char_grams, fit_vocabulary, grams, term_counts, tfidf, tokens
 from vellumflow.sources.swap import Files, replace_directory
 
 WORD_SHARE = 0.75
 FORMAT = 1
-EPOCHS = (5, 10, 20, 40)
+#: Numbers of iterations that logistic regression tries, and how many may pass without a gain.
+ITERATIONS = (5, 10, 20, 40)
 LEAST_GAIN, PATIENCE = 1e-4, 2
+NET, LOGISTIC = "net", "logistic"
 
 
 def examples(papers: DataFrame, label: str = "primary_category", least: int = 5) -> DataFrame:
@@ -37,8 +40,7 @@ def _blocks() -> dict[str, Column]:
 
 @F.udf(VectorUDT())
 def _vector(size: int, index: list, value: list):
-    pairs = sorted(zip(index or [], value or [], strict=True))
-    return SparseVector(size, [i for i, _ in pairs], [v for _, v in pairs])
+    return SparseVector(size, index, value)
 
 
 @dataclass
@@ -58,29 +60,36 @@ class Vocabulary:
         return Vocabulary(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "number int, block string, term string, idf double"), len(rows))
 
     def transform(self, docs: DataFrame) -> DataFrame:
-        """docs with a sparse vector `features`."""
+        """docs with `features`: index and value of what isn't zero, by index."""
         parts = []
         for name, terms in _blocks().items():
             own = self.terms.where(F.col("block") == name)
             weights = tfidf(term_counts(docs, "arxiv_id", terms), F.broadcast(own), "arxiv_id")
             parts.append(weights.join(F.broadcast(own.select("term", "number")), "term").select("arxiv_id", "number", "weight"))
-        rows = parts[0].unionByName(parts[1]).groupBy("arxiv_id").agg(F.collect_list("number").alias("i"), F.collect_list("weight").alias("v"))
-        return docs.join(rows, "arxiv_id", "left").withColumn("features", _vector(F.lit(self.size), "i", "v")).drop("i", "v")
+        # A document has as many entries as the vocabulary has terms, at most.
+        rows = parts[0].unionByName(parts[1]).groupBy("arxiv_id").agg(F.sort_array(F.collect_list(F.struct("number", "weight"))).alias("_e"))
+        none = F.array().cast("array<struct<number:int,weight:double>>")
+        entries = docs.join(rows, "arxiv_id", "left").withColumn("_e", F.coalesce("_e", none))
+        return entries.withColumn("features", F.struct(F.col("_e.number").alias("index"), F.col("_e.weight").alias("value"))).drop("_e")
 
 
 @dataclass
 class Classifier:
     vocabulary: Vocabulary
-    model: LogisticRegressionModel
+    model: Net | LogisticRegressionModel
     labels: list[str]
 
     def predict(self, docs: DataFrame, k: int = 3) -> DataFrame:
         """arxiv_id, text columns, predicted, confidence and the k most probable labels. docs may have their vectors already."""
         vectors = docs if "features" in docs.columns else self.vocabulary.transform(docs)
-        scored = self.model.transform(vectors).withColumn("_p", vector_to_array("probability"))
+        index, value = F.col("features.index"), F.col("features.value")
+        if isinstance(self.model, Net):
+            scored = vectors.withColumn("_p", self.model.probability(docs.sparkSession, index, value, self.vocabulary.size))
+        else:
+            scored = self.model.transform(vectors.withColumn("_x", _vector(F.lit(self.vocabulary.size), index, value))).withColumn("_p", vector_to_array("probability"))
         ranked = scored.withColumn("ranked", ranked_labels(F.col("_p"), self.labels, k))
         first = F.get(F.col("ranked"), F.lit(0))
-        return ranked.withColumns({"predicted": first["label"], "confidence": first["probability"]}).drop("_p", "features", "rawPrediction", "probability", "prediction")
+        return ranked.withColumns({"predicted": first["label"], "confidence": first["probability"]}).drop("_p", "_x", "features", "rawPrediction", "probability", "prediction")
 
 
 @dataclass
@@ -96,36 +105,58 @@ class Run:
 
     def curve(self, spark: SparkSession) -> DataFrame:
         """The learning curve: a row for each number of iterations that was tried."""
-        return spark.createDataFrame([tuple(h.values()) for h in self.history], "epoch int, validation_accuracy double, validation_macro_f1 double")
+        return spark.createDataFrame(self.history, "epoch int, train_loss double, train_accuracy double, validation_loss double, validation_accuracy double, validation_macro_f1 double")
 
 
-def train_and_evaluate(papers: DataFrame, label: str = "primary_category", least: int = 5, features: int = 8000, validation: float = 0.15, test: float = 0.15, seed: int = 42, epochs: Iterable[int] = EPOCHS) -> Run:
-    """Fits on the training part only, picks the number of iterations on the validation part, reports on the test part."""
-    split = stratified(examples(papers, label, least), "arxiv_id", "label", validation, test, seed).persist()
-    labels = [r.label for r in split.select("label").distinct().orderBy("label").collect()]
-    index = F.create_map(*(x for i, name in enumerate(labels) for x in (F.lit(name), F.lit(float(i)))))
-    vocabulary = Vocabulary.fit(split.where("split = 'train'"), features)
-    # The vectors of all parts in one pass.
-    vectors = vocabulary.transform(split).persist()
-    part = lambda name: vectors.where(F.col("split") == name)
-    weights = class_weights(part("train"), "label").select("label", "weight")
-    train = part("train").join(F.broadcast(weights), "label").withColumn("y", F.element_at(index, F.col("label"))).persist()
-    best, best_score, waited, history = None, float("-inf"), 0, []
-    for n in epochs:
-        model = LogisticRegression(labelCol="y", weightCol="weight", maxIter=n, regParam=1e-4).fit(train)
+def _fit_logistic(vectors: DataFrame, vocabulary: Vocabulary, labels: list[str], weights: list[float], iterations: Iterable[int]) -> tuple[Classifier, dict]:
+    """Logistic regression with the number of iterations that does best on the validation part."""
+    size = F.lit(vocabulary.size)
+    weight = F.get(F.array(*map(F.lit, weights)), F.col("y"))
+    rows = vectors.where("split = 'train'").select(F.col("y").cast("double").alias("y"), weight.alias("weight"), _vector(size, "features.index", "features.value").alias("_x")).persist()
+    best, best_score, best_epoch, waited, history = None, float("-inf"), 0, 0, []
+    for n in iterations:
+        model = LogisticRegression(featuresCol="_x", labelCol="y", weightCol="weight", maxIter=n, regParam=1e-4).fit(rows)
         candidate = Classifier(vocabulary, model, labels)
-        score = summary(candidate.predict(part("validation")), "label", "predicted").head()
+        score = summary(candidate.predict(vectors.where("split = 'validation'")), "label", "predicted").head()
         history.append({"epoch": n, "validation_accuracy": score.accuracy, "validation_macro_f1": score.macro_f1})
         if score.macro_f1 > best_score + LEAST_GAIN:
-            best, best_score, waited = candidate, score.macro_f1, 0
+            best, best_score, best_epoch, waited = candidate, score.macro_f1, n, 0
         elif (waited := waited + 1) >= PATIENCE:
             break
+    rows.unpersist()
+    # Without training all labels are equally probable and the first one is guessed.
+    untrained = vectors.where("split = 'validation'").agg(ratio(F.count_if(F.col("y") == 0), F.count(F.lit(1)), 0.0)).head()[0]
+    return best, {"history": history, "best_epoch": best_epoch, "untrained_validation_accuracy": untrained}
+
+
+def train_and_evaluate(papers: DataFrame, label: str = "primary_category", least: int = 5, features: int = 8000, validation: float = 0.15, test: float = 0.15, seed: int = 42, model: str = NET, iterations: Iterable[int] = ITERATIONS, **options) -> Run:
+    """Fits on the training part only, picks the epoch on the validation part, reports on the test part.
+
+    model: net (options as in net.fit()) or logistic (iterations: the numbers to try).
+    """
+    if model not in (NET, LOGISTIC):
+        raise ValueError(f"no such model: {model}")
+    split = stratified(examples(papers, label, least), "arxiv_id", "label", validation, test, seed).persist()
+    # As many rows as there are labels.
+    labels = [r.label for r in split.select("label").distinct().orderBy("label").collect()]
+    index = F.create_map(*(x for i, name in enumerate(labels) for x in (F.lit(name), F.lit(i))))
+    train = split.where("split = 'train'")
+    vocabulary = Vocabulary.fit(train, features)
+    # The vectors of all parts in one pass.
+    vectors = vocabulary.transform(split).withColumn("y", F.element_at(index, F.col("label"))).persist()
+    by_label = {r.label: r.weight for r in class_weights(train, "label").collect()}
+    weights = [by_label[name] for name in labels]
+    if model == NET:
+        net, fitted = fit(vectors, "arxiv_id", vocabulary.size, weights, seed=seed, **options)
+        best = Classifier(vocabulary, net, labels)
+    else:
+        best, fitted = _fit_logistic(vectors, vocabulary, labels, weights, iterations)
+    part = lambda name: vectors.where(F.col("split") == name)
     told = best.predict(part("test")).withColumn("correct", F.col("label") == F.col("predicted")).persist()
     metrics = summary(told, "label", "predicted").head().asDict() | top_k_accuracy(told, "label", "ranked", min(3, len(labels))).head().asDict()
-    # Without training all labels are equally probable and the first one is guessed.
-    metrics["untrained_accuracy"] = told.agg(ratio(F.count_if(F.col("label") == labels[0]), F.count(F.lit(1)), 0.0)).head()[0]
+    metrics |= {k: fitted[k] for k in ("best_epoch", "untrained_validation_accuracy")}
     metrics |= calibration_error(told, "confidence", "correct").head().asDict()
-    return Run(best, history, metrics, class_report(told, "label", "predicted"), confusion(told, "label", "predicted"), worst_mistakes(told, "label", "predicted", "confidence", "arxiv_id"), selective(told, "confidence", "correct"), split)
+    return Run(best, fitted["history"], metrics, class_report(told, "label", "predicted"), confusion(told, "label", "predicted"), worst_mistakes(told, "label", "predicted", "confidence", "arxiv_id"), selective(told, "confidence", "correct"), split)
 
 
 def _digest(files: Files, folder: str) -> dict[str, str]:
@@ -138,10 +169,14 @@ def save(classifier: Classifier, folder: str) -> None:
 
     def write(stage: str) -> None:
         files = Files(spark, stage)
-        classifier.model.write().overwrite().save(f"{stage}/model")
+        net = isinstance(classifier.model, Net)
+        if net:
+            spark.createDataFrame([(classifier.model.weights,)], "weights binary").coalesce(1).write.parquet(f"{stage}/model")
+        else:
+            classifier.model.write().overwrite().save(f"{stage}/model")
         classifier.vocabulary.terms.coalesce(1).write.mode("overwrite").parquet(f"{stage}/terms")
         files.write(f"{stage}/labels.json", json.dumps(classifier.labels))
-        files.write(f"{stage}/manifest.json", json.dumps({"format": FORMAT, "size": classifier.vocabulary.size, "files": _digest(files, stage)}, sort_keys=True))
+        files.write(f"{stage}/manifest.json", json.dumps({"format": FORMAT, "kind": NET if net else LOGISTIC, "size": classifier.vocabulary.size, "files": _digest(files, stage)}, sort_keys=True))
 
     replace_directory(spark, folder, write)
 
@@ -154,9 +189,14 @@ def load(spark: SparkSession, folder: str) -> Classifier:
         raise ValueError("unknown model format")
     if manifest["files"] != _digest(files, folder):
         raise ValueError("the model's files don't match its manifest")
-    model = LogisticRegressionModel.load(f"{folder}/model")
+    if manifest["kind"] == NET:
+        model = Net(bytes(spark.read.parquet(f"{folder}/model").head().weights))
+        n_labels = unpacked(model.weights)[3].size
+    else:
+        model = LogisticRegressionModel.load(f"{folder}/model")
+        n_labels = model.numClasses
     terms = spark.read.parquet(f"{folder}/terms")
     labels = json.loads(files.read(f"{folder}/labels.json"))
-    if manifest["size"] != terms.count() or model.numClasses != len(labels):
+    if manifest["size"] != terms.count() or n_labels != len(labels):
         raise ValueError("the model's parts don't fit each other")
     return Classifier(Vocabulary(terms, manifest["size"]), model, labels)

