@@ -72,3 +72,95 @@ def test_sql(spark, name):
     assert sorted(names) == columns
     rows = [tuple(r[names.index(c)] for c in columns) for r in got.fetchall()]
     assert sorted(map(tuple, df.select(*columns).collect()), key=repr) == sorted(rows, key=repr)
+
+
+def brute_line_dedup(texts):
+    from test_operators import key_of
+
+    held = {}
+    for i, t in texts.items():
+        for line in t.split("\n"):
+            if len(key_of(line)) >= 40:
+                held.setdefault(key_of(line), set()).add(i)
+    gone = lambda i, line: len(held.get(key_of(line), ())) >= 5 and max(held[key_of(line)]) != i
+    return {i: "\n".join(x for x in t.split("\n") if not gone(i, x)) for i, t in texts.items()}
+
+
+def test_stages_by_brute_force(spark):
+    """Each stage on its own small table, against code of its own, with columns whose names operators use inside."""
+    import collections
+
+    import numpy as np
+    from test_operators import brute_components, spans_of, stats_of
+
+    rng = np.random.default_rng(21)
+    words = ["river", "stone", "under", "light", "green", "table", "often", "seven"]
+    words += [a + b for a in words for b in ("s", "ed", "ing", "ly")]
+    said = lambda n: " ".join(rng.choice(words, n))
+    common = "this line stands in many of the documents here, word for word"
+
+    def table(texts):
+        rows = [(i, t, "en", "s", len(t) if t is not None else None, "x", 1, "y") for i, t in texts.items()]
+        return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _d string, c int, kept string")
+
+    def result(stage, texts):
+        out = stage(spark, table(texts), SF)
+        assert out.columns == P.COLUMNS
+        rows = out.collect()
+        assert all(r.n_chars == (len(r.text) if r.text is not None else None) and (r.lang, r.source) == ("en", "s") for r in rows)
+        assert len({r.doc_id for r in rows}) == len(rows)
+        return {r.doc_id: r.text for r in rows}
+
+    # Base rules; all others are plain prose but for three texts far outside.
+    texts = {i: said(int(rng.integers(60, 200))) for i in range(80)} | {100: said(10), 101: said(8) + " " + said(9) * 9, 102: "", 103: None}
+    texts |= {200 + i: " ".join(w + "#&$" for w in rng.choice(words, 90)) for i in range(3)}
+    base = {i for i, t in texts.items() if not (stats_of(t or "")[0] < 20 or 100 * stats_of(t or "")[4] > 30 * stats_of(t or "")[0])}
+    assert result(P.quality_rules, texts) == {i: texts[i] for i in base if i < 200}
+
+    texts = {i: f"own {i}\n {common if i % 2 else common.upper()}\t\nend" for i in range(7)} | {10: None, 11: "", 12: f"{common}\n{common}"}
+    want = brute_line_dedup({i: t or "" for i, t in texts.items()})
+    assert result(P.line_dedup, texts) == {i: want[i] if texts[i] is not None else None for i in texts}
+
+    first = said(120).split()
+    texts = {i: " ".join(first[:40] + [f"new{i}"] + first[41:]) for i in range(6)} | {20: said(100), 21: said(100), 30: None, 31: "", 32: "a b", 33: "A  b"}
+    roots = brute_components({i: t or "" for i, t in texts.items()})
+    assert result(P.near_dedup, texts) == {i: texts[i] for i in texts if roots[i][1] == i}
+
+    texts = {i: f"{said(5)} token=abc{i}def0123 {said(3)} {'0a1b' * 8} {said(3)} AKIA{'QW12' * 5} end" for i in range(5)} | {10: "nothing here", 11: None, 12: ""}
+
+    def masked(t):
+        out, at = "", 0
+        for low, high in sorted((a, b) for a, _, b in spans_of(t)):
+            out, at = out + (t[at:low] + secret_scan.MASK if low > at or not at else ""), max(at, high)
+        return out + t[at:]
+
+    assert result(P.secret_scan, texts) == {i: t if t is None else masked(t) for i, t in texts.items()}
+
+    texts = {i: said(int(rng.integers(1, 3000))) for i in range(30)} | {40: None, 41: ""}
+    pieces = P.best_fit_packing(spark, table(texts), SF).collect()
+    own = collections.defaultdict(int)
+    for p in pieces:
+        own[p.doc_id] += p.length
+    path = packing.vocabulary_path()
+    assert own == {i: len(packing._slow(path).encode(t or "", add_special_tokens=False).ids) + 1 for i, t in texts.items()}
+    assert len({p.sequence_id for p in pieces}) == packing.lower_bound(collections.Counter(p.length for p in pieces), 2048)
+
+
+def test_stages_on_no_rows(spark, empty):
+    for name, stage in P.STAGES:
+        out = stage(spark, empty.withColumn("n_chars", F.lit(0).cast("long")), SF)
+        assert out.count() == 0 and (name == "best_fit_packing" or out.columns == P.COLUMNS)
+
+
+def test_scratch_tables_go(spark):
+    from vellumflow.llm.common import Scratch, passing
+
+    with passing():
+        kept = Scratch(spark)
+        kept.store(spark.range(3).toDF("k"), "a")
+        kept.store_sorted(spark.range(3).toDF("k"), "b", ["k"])
+        names = {t.name for t in spark.catalog.listTables()}
+        assert any(kept.run in n for n in names)
+    assert not any(kept.run in t.name for t in spark.catalog.listTables())
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(f"{kept.path}/a").count()

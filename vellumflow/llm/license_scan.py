@@ -1,9 +1,10 @@
 """License scans by diagonal voting.
 
 All rolling word k-gram hashes of the texts are joined with the positions of the same grams in license templates.
-A match votes for the diagonal (text position - template position). Diagonals at most SHIFT apart, whose matches
-follow on each other, merge into one span; a span is verified word by word on the text and counts with the
-share of the template that it covers. A diagonal on which a whole phrase matches is an exact place of the phrase.
+A match votes for the diagonal (text position - template position). Neighbouring diagonals at most SHIFT apart merge into
+one run, however many follow on each other; its matches are verified word by word on the text, and it counts with the
+share of the template's grams that stand on any of its diagonals. A diagonal on which a whole phrase matches is an exact
+place of the phrase.
 """
 
 from __future__ import annotations
