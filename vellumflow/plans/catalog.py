@@ -454,12 +454,13 @@ def vocabulary_match(spark, sf_dir):
 
 
 _CLAUSES = r"string_split(regexp_replace({}, '(?i)([;\n]+|\s*,?\s+\b(but|however|whereas)\b\s*)', chr(1), 'g'), chr(1))"
+_ONE_BLANK = r"regexp_replace(text, '[^\S\n]+', ' ', 'g')"
 _RELATED = "lower({0}) NOT LIKE '%prior work%' AND lower({0}) NOT LIKE '%previous work%' AND lower({0}) NOT LIKE '%related work%' AND lower({0}) NOT LIKE '%earlier work%' AND lower({0}) NOT LIKE '%other studies%'"
 
 
 @query(
     rf"""
-    WITH s AS (SELECT doc_id, unnest({SENTENCES.format("regexp_replace(text, '[^\S\n]+', ' ', 'g')")}) AS s FROM documents),
+    WITH s AS (SELECT doc_id, unnest({SENTENCES.format(_ONE_BLANK)}) AS s FROM documents),
     c AS (SELECT doc_id, unnest({_CLAUSES.format("s")}) AS c FROM s),
     h AS (SELECT doc_id, bool_or({_HAS("lower(c)", "license")}) AS a, bool_or({_HAS("lower(c)", "token")}) AS b FROM c WHERE {_RELATED.format("c")} GROUP BY doc_id)
     SELECT doc_id, concat_ws('|', CASE WHEN a THEN 'license' END, CASE WHEN b THEN 'token' END) AS labels FROM documents LEFT JOIN h USING (doc_id)
