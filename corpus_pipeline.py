@@ -1,7 +1,7 @@
 """The corpus pipeline: quality rules, line dedup, near dedup, secret masking and packing, one stage after the other.
 
 Every stage reads what its predecessor kept. All but the last return the columns of documents: doc_id, text, lang, source
-and n_chars. No stage can be written in SQL as a whole (robust models, Markov models, packing), so ORACLE_SQL is None
+and n_chars; other columns, whatever their names, are left behind. An empty table gives an empty table. No stage can be written in SQL as a whole (robust models, Markov models, packing), so ORACLE_SQL is None
 and the tests hold each stage against a brute-force version.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumflow.llm.common import KEY, Scratch, join_keyed, join_small
+from vellumflow.llm.common import KEY, Scratch, join_small, passing
 from vellumflow.llm.line_dedup import drop_common_lines
 from vellumflow.llm.near_dedup import near_duplicates
 from vellumflow.llm.packing import pack_documents
@@ -33,26 +33,36 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or lie far outside their language and source go."""
+    """Documents that fail the base rules or lie far outside their language and source go.
+
+    Null, empty and blank texts have no words and go. A null language or source is a group like others. Rows with one id are
+    judged each for itself; equal rows go or stay together.
+    """
     return _without(docs, judge(docs).where("not kept"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of at least 40 characters that stand in five documents or more stay in the largest document only; every document stays."""
-    store = Scratch(spark)
-    cleaned = drop_common_lines(docs).where("n_dropped > 0").select(*KEY, F.col("kept_text").alias("_kept")).dropDuplicates(KEY)
-    out = join_keyed(_keyed(docs), store.store(cleaned, "cleaned"), KEY, "left")
-    out = out.withColumn("text", F.coalesce("_kept", "text"))
+    """Lines of at least 40 characters that stand in five documents or more stay in the largest document only.
+
+    Every document stays, also with a null or empty text; a null text stays null. Rows of one id all keep a line that their id
+    keeps.
+    """
+    out = drop_common_lines(docs, carry=COLUMNS)
+    out = out.withColumn("text", F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text")))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the smallest document stays."""
+    """Of each component of near duplicates the smallest document stays.
+
+    Rows that repeat an id and a text stay together. Null and empty texts have no shingles and stay, each its own component,
+    as do rows without id, unless a row with one is in their component.
+    """
     return _without(docs, near_duplicates(docs).where("not kept"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the text; every document stays."""
+    """Secrets are masked in the text; every document stays, and so does a null text."""
     named = docs.select(F.struct("doc_id", "lang", "source", F.col("text").isNull().alias("none")).alias("row"), "text")
     found = find_secrets(named, id_col="row")
     text = F.when(~F.col("doc_id.none"), masked("text", "spans"))
@@ -61,7 +71,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces and their places in sequences."""
+    """Token pieces and their places in sequences. A null or empty text is one piece of one token; equal rows are packed each for itself."""
     return pack_documents(docs)
 
 
@@ -79,5 +89,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch = Scratch(spark)
     for name, stage in STAGES[:-1]:
-        docs = scratch.store(stage(spark, docs, sf_dir), name)
+        with passing():
+            docs = scratch.store(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
