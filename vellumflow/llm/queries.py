@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from vellumflow.llm.ann import op5_nearest_neighbours
 from vellumflow.llm.chat_format import op9_chat_format
+from vellumflow.llm.collocations import op13_phrase_collocations
 from vellumflow.llm.license_scan import op1_license_scan
 from vellumflow.llm.line_dedup import op8_line_dedup
 from vellumflow.llm.near_dedup import op10_minhash_near_dedup
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[..., DataFrame]] = {
         op8_line_dedup,
         op9_chat_format,
         op10_minhash_near_dedup,
+        op13_phrase_collocations,
     )
 }
 
@@ -97,4 +99,33 @@ ORACLE: dict[str, str] = {
         SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, d.doc_id = c AS kept
         FROM (SELECT doc_id, min(r) AS c FROM reach GROUP BY doc_id) d LEFT JOIN size USING (doc_id)
     """,
+    "op13_phrase_collocations": rf"""
+        WITH piece AS (
+            SELECT row_number() OVER () AS i, lang, regexp_extract_all(x, '[^ \t]+') AS w FROM (
+                SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\n\x0B\x0C\r]')) AS x FROM documents
+            )
+        ),
+        place AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM piece),
+        f AS (
+            SELECT lang, m, p, count(*) AS f FROM (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS p FROM place, range(1, 6) s(m) WHERE i + m - 1 <= len(w))
+            GROUP BY lang, m, p HAVING count(*) >= 100
+        ),
+        total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM piece GROUP BY lang),
+        cand AS (SELECT *, string_split(p, ' ') AS w FROM f WHERE m >= 2),
+        inner_part AS (
+            SELECT lang, array_to_string(w[1:m - 1], ' ') AS p, f FROM cand WHERE m > 2
+            UNION SELECT lang, array_to_string(w[2:m], ' '), f FROM cand WHERE m > 2
+        ),
+        kept AS (SELECT * FROM cand ANTI JOIN inner_part USING (lang, p, f)),
+        cut AS (
+            SELECT kept.lang, kept.p, kept.f AS a, n, k, l.f AS l, r.f AS r, (1000::HUGEINT * kept.f * n) // (l.f::HUGEINT * r.f) AS score
+            FROM kept JOIN total USING (lang), range(1, 5) s(k)
+            JOIN f l ON l.lang = kept.lang AND l.m = k AND l.p = array_to_string(kept.w[1:k], ' ')
+            JOIN f r ON r.lang = kept.lang AND r.m = kept.m - k AND r.p = array_to_string(kept.w[k + 1:], ' ')
+            WHERE k < kept.m
+        ),
+        best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank FROM best)
+        SELECT lang, rank, p AS phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+    """,
 }
