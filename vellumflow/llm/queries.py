@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from vellumflow.llm.ann import op5_nearest_neighbours
 from vellumflow.llm.chat_format import op9_chat_format
 from vellumflow.llm.collocations import op13_phrase_collocations
+from vellumflow.llm.hard_negatives import op12_hard_negatives
 from vellumflow.llm.license_scan import op1_license_scan
 from vellumflow.llm.line_dedup import op8_line_dedup
 from vellumflow.llm.near_dedup import op10_minhash_near_dedup
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[..., DataFrame]] = {
         op8_line_dedup,
         op9_chat_format,
         op10_minhash_near_dedup,
+        op12_hard_negatives,
         op13_phrase_collocations,
     )
 }
@@ -99,6 +101,21 @@ ORACLE: dict[str, str] = {
         SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, d.doc_id = c AS kept
         FROM (SELECT doc_id, min(r) AS c FROM reach GROUP BY doc_id) d LEFT JOIN size USING (doc_id)
     """,
+    "op12_hard_negatives": """
+        WITH r AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        scored AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS s
+            FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+        ),
+        positive AS (SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, vec_id) <= 5)
+        SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.s DESC, n.vec_id)::INTEGER AS rank,
+            n.vec_id AS negative_id, p.s AS positive_score, n.s AS negative_score
+        FROM positive p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 30 * p.s <= 100 * n.s AND 100 * n.s <= 90 * p.s
+        QUALIFY rank <= 10
+    """,
     "op13_phrase_collocations": rf"""
         WITH piece AS (
             SELECT row_number() OVER () AS i, lang, regexp_extract_all(x, '[^ \t]+') AS w FROM (
