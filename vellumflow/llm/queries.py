@@ -14,6 +14,7 @@ from vellumflow.llm.license_scan import op1_license_scan
 from vellumflow.llm.line_dedup import op8_line_dedup
 from vellumflow.llm.near_dedup import op10_minhash_near_dedup
 from vellumflow.llm.packing import op6_best_fit_packing
+from vellumflow.llm.pii import op11_personal_data
 from vellumflow.llm.quality import op3_quality_rules
 from vellumflow.llm.secret_scan import op2_secret_scan
 from vellumflow.llm.sentencepieces import op7_sentencepiece
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[..., DataFrame]] = {
         op8_line_dedup,
         op9_chat_format,
         op10_minhash_near_dedup,
+        op11_personal_data,
         op12_hard_negatives,
         op13_phrase_collocations,
     )
