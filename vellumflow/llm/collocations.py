@@ -2,10 +2,10 @@
 
 A word of a language is a 64-bit hash of both. Two passes over the texts count words and pairs, then triples of frequent
 pairs; what is frequent goes round as a bitmap of fixed size. A bitmap may let too much through but never loses
-anything, and whatever it lets through is counted exactly later on, so the bound on its size costs work and no results.
+anything, and triples that it lets through are counted by their words later on, so the bound on its size costs work and no results.
 
-The third pass emits a pointer for each place where a frequent pair begins: the words from there on, as far as their pairs
-and triples may be frequent. Equal pointers are counted before they are shuffled. Pointers are then dealt by their first
+The third pass emits a pointer for each place where a frequent triple may begin: the words from there on, as far as their
+triples may be frequent. Equal pointers are counted before they are shuffled. Pointers are then dealt by their first
 word, sorted, and each prefix is grown depth-first inside one task: its pointers are a range of the sorted rows, its
 extensions are subranges. A prefix with too many pointers for a task is counted by an aggregation instead and its
 pointers are dealt by one word more, so that no task holds a hot prefix.
@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumflow.llm.common import Scratch, arrow_map, buckets, give_back
+from vellumflow.llm.common import Scratch, arrow_map, buckets, give_back, join_small
 from vellumflow.llm.kernel import Texts, Words, as_signed, mix, slices, span_hashes
 
 LEAST = 100
@@ -68,83 +68,88 @@ class Phrases:
         return out
 
 
+def _pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """As words are hashes already, their bits are enough; Spark computes the same."""
+    return (first >> np.uint64(13)) ^ second
+
+
 def _held(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Which hashes a bitmap lets through."""
     slot = x & np.uint64(len(bits) * 8 - 1)
     return (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def _counted(size: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    values, counts = np.unique(x, return_counts=True)
-    return np.full(len(values), size, np.int8), as_signed(values), counts.astype(np.int64)
+def _distinct(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of some columns and how often each is there."""
+    key = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + c)
+    _, first, of, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    # Rows of one key are equal; were they not, all would go out uncounted.
+    if all((c == c[first][of]).all() for c in columns):
+        return [as_signed(c[first]) for c in columns], counts.astype(np.int64)
+    return [as_signed(np.ascontiguousarray(c)) for c in columns], np.ones(len(key), np.int64)
 
 
 def _words_and_pairs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """(size, k, c): words of a language (size 0, k its hash), of each word (1) and each pair (2)."""
+    """(size, k0, k1, c): words of a language (size 0, k0 its hash), of each word (1) and each pair (2)."""
     for part in slices(batch, "text", SLICE):
         p = Phrases(part)
         languages, of = np.unique(np.asarray(part["g"]), return_inverse=True)
         totals = np.bincount(of, np.diff(p.words.first), len(languages)).astype(np.int64)
-        rows = [(np.zeros(len(languages), np.int8), languages, totals), _counted(1, p.k), _counted(2, p.grams(2, np.flatnonzero(p.next)))]
-        yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], ["size", "k", "c"])
+        (words,), n_words = _distinct([p.k])
+        at = np.flatnonzero(p.next)
+        (first, second), n_pairs = _distinct([p.k[at], p.k[at + 1]])
+        size = np.repeat(np.array([0, 1, 2], np.int8), [len(languages), len(words), len(first)])
+        columns = [size, np.concatenate([languages, words, first]), np.concatenate([np.zeros(len(languages) + len(words), np.int64), second]), np.concatenate([totals, n_words, n_pairs])]
+        yield pa.record_batch([pa.array(c) for c in columns], ["size", "k0", "k1", "c"])
 
 
 def _pairs_held(p: Phrases, words: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each word whether it may be frequent, and whether the pair that begins there may be."""
+    """For each word whether it may be frequent, and whether the two pairs may be that begin there and at the next word."""
     some = _held(words, p.k)
     pair = p.next.copy()
     pair[:-1] &= some[:-1] & some[1:]
     at = np.flatnonzero(pair)
-    pair[at] = _held(pairs, p.grams(2, at))
-    return some, pair
+    pair[at] = _held(pairs, _pair_hash(p.k[at], p.k[at + 1]))
+    both = pair.copy()
+    both[:-1] &= pair[1:]
+    both[-1:] = False
+    return some, both
 
 
 def _triples(batch: pa.RecordBatch, words: Broadcast, pairs: Broadcast) -> Iterator[pa.RecordBatch]:
-    """(size, k, c, word): triples of frequent pairs (3); the letters of each frequent word (1, with c 0)."""
+    """(size, k, c, word, g): triples of frequent pairs (3); the letters and language of each frequent word (1, with c 0)."""
     for part in slices(batch, "text", SLICE):
         p = Phrases(part)
-        some, pair = _pairs_held(p, words.value, pairs.value)
-        triple = pair.copy()
-        triple[:-1] &= pair[1:]
-        triple[-1:] = False
-        size, k, c = _counted(3, p.grams(3, np.flatnonzero(triple)))
+        some, both = _pairs_held(p, words.value, pairs.value)
+        (k,), c = _distinct([p.grams(3, np.flatnonzero(both))])
+        yield pa.record_batch([pa.array(np.full(len(k), 3, np.int8)), pa.array(k), pa.array(c), pa.nulls(len(k), pa.string()), pa.nulls(len(k), pa.int64())], ["size", "k", "c", "word", "g"])
         _, first = np.unique(p.k[some], return_index=True)
         at = np.flatnonzero(some)[first]
         start, end = p.words.start[at], p.words.end[at]
         offsets = np.concatenate([[0], np.cumsum(end - start)])
         letters = p.words.data[np.repeat(start - offsets[:-1], end - start) + np.arange(offsets[-1])]
         word = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(letters.tobytes())).cast(pa.string())
-        yield pa.record_batch([pa.array(size), pa.array(k), pa.array(c), pa.nulls(len(k), pa.string()), pa.nulls(len(k), pa.int64())], ["size", "k", "c", "word", "g"])
         g = np.asarray(part["g"])[p.words.doc[at]]
         yield pa.record_batch([pa.array(np.ones(len(at), np.int8)), pa.array(as_signed(p.k[at])), pa.array(np.zeros(len(at), np.int64)), word, pa.array(g)], ["size", "k", "c", "word", "g"])
 
 
 def _pointers(batch: pa.RecordBatch, words: Broadcast, pairs: Broadcast, triples: Broadcast, longest: int) -> Iterator[pa.RecordBatch]:
-    """(k0, k1, ..., c): the words from each frequent pair on, as far as they may be part of a frequent phrase, then zeros."""
+    """(k0, k1, ..., c): the words from each frequent triple on, as far as they may be part of a frequent phrase, then zeros."""
     for part in slices(batch, "text", SLICE):
         p = Phrases(part)
-        _, pair = _pairs_held(p, words.value, pairs.value)
-        at = np.flatnonzero(pair)
-        after = np.zeros(len(pair), bool)
-        after[:-1] = pair[1:]
-        inner = at[after[at]]
-        triple = np.zeros(len(pair), bool)
-        triple[inner] = _held(triples.value, p.grams(3, inner))
-        columns, on = [p.k[at], p.k[at + 1]], np.ones(len(at), bool)
-        for i in range(2, longest):
+        _, triple = _pairs_held(p, words.value, pairs.value)
+        at = np.flatnonzero(triple)
+        triple[at] = _held(triples.value, p.grams(3, at))
+        at = np.flatnonzero(triple)
+        columns, on = [p.k[at + i] for i in range(3)], np.ones(len(at), bool)
+        for i in range(3, longest):
             # Word i belongs to it if the triple that ends there may be frequent, and all before it.
-            on &= triple[np.minimum(at + i - 2, len(pair) - 1)]
-            columns.append(np.where(on, p.k[np.minimum(at + i, len(pair) - 1)], np.uint64(0)))
-        key = np.zeros(len(at), np.uint64)
-        for c in columns:
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + c)
-        _, first, of, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        # Rows of one key are equal; were they not, all would go out uncounted.
-        if all((c == c[first][of]).all() for c in columns):
-            columns = [c[first] for c in columns]
-        else:
-            counts = np.ones(len(at), np.int64)
-        yield pa.record_batch([*(pa.array(as_signed(np.ascontiguousarray(c))) for c in columns), pa.array(counts.astype(np.int64))], [*_names(longest), "c"])
+            on &= triple[np.minimum(at + i - 2, len(triple) - 1)]
+            columns.append(np.where(on, p.k[np.minimum(at + i, len(triple) - 1)], np.uint64(0)))
+        columns, counts = _distinct(columns[:longest])
+        yield pa.record_batch([*map(pa.array, columns), pa.array(counts)], [*_names(longest), "c"])
 
 
 def _names(longest: int) -> list[str]:
@@ -223,15 +228,17 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, least: int = LEAST, long
     The first table has k0, k1 ... (hashes of the words, zeros behind), size and f; the second k, word, lang, n (words of
     that language).
     """
+    if longest < 2:
+        raise ValueError("phrases have two words or more")
     spark = docs.sparkSession
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.xxhash64(lang).alias("g"))
     names = _names(longest)
 
-    counted = arrow_map(rows, _words_and_pairs, "size tinyint, k long, c long").groupBy("size", "k").agg(F.sum("c").alias("c"))
+    counted = arrow_map(rows, _words_and_pairs, "size tinyint, k0 long, k1 long, c long").groupBy("size", "k0", "k1").agg(F.sum("c").alias("c"))
     counted = scratch.store(counted.where(f"size = 0 or c >= {least}"), "counted")
-    words = _bitmap(spark, counted.where("size = 1"), slots)
-    pairs = _bitmap(spark, counted.where("size = 2"), slots)
+    words = _bitmap(spark, counted.where("size = 1").select(F.col("k0").alias("k")), slots)
+    pairs = _bitmap(spark, counted.where("size = 2").select(F.shiftrightunsigned("k0", 13).bitwiseXOR(F.col("k1")).alias("k")), slots)
     triples = arrow_map(rows, lambda b: _triples(b, words, pairs), "size tinyint, k long, c long, word string, g long")
     triples = triples.groupBy("size", "k").agg(F.sum("c").alias("c"), F.min("word").alias("word"), F.min("g").alias("g"))
     triples = scratch.store(triples.where(f"size = 1 or c >= {least}"), "triples")
@@ -257,13 +264,14 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, least: int = LEAST, long
     phrases = found[0]
     for f in found[1:]:
         phrases = phrases.unionByName(f)
-    zeros = [F.lit(0).cast("long").alias(c) for c in names[1:]]
-    single = counted.where("size = 1").select(F.col("k").alias("k0"), *zeros, F.lit(1).alias("size"), F.col("c").alias("f"))
-    phrases = scratch.store(phrases.where("size > 1").unionByName(single), "phrases")
+    # Words and pairs are counted by the first pass.
+    zeros = [F.lit(0).cast("long").alias(c) for c in names[2:]]
+    short = counted.where(f"size between 1 and least(2, {longest})").select("k0", "k1", *zeros, F.col("size").cast("int").alias("size"), F.col("c").alias("f"))
+    phrases = scratch.store(phrases.where("size > 2").unionByName(short), "phrases")
 
     languages = docs.select(lang.alias("lang")).distinct().select("lang", F.xxhash64("lang").alias("g"))
-    languages = languages.join(counted.where("size = 0").select(F.col("k").alias("g"), F.col("c").alias("n")), "g")
-    words = triples.where("size = 1").select("k", "word", "g").join(languages, "g")
+    languages = scratch.store(languages.join(counted.where("size = 0").select(F.col("k0").alias("g"), F.col("c").alias("n")), "g"), "languages")
+    words = join_small(triples.where("size = 1").select("k", "word", "g"), languages, ["g"], "inner", 64)
     return phrases, scratch.store(words.select("k", "word", "lang", "n"), "words")
 
 
