@@ -373,6 +373,21 @@ def test_special_string_reads_as_by_tokenizers():
     assert packing.token_ids(text, path) == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
 
 
+LONG_RUNS = {"blanks": " " * 2_000_000, "lines": "\n" * 2_000_000, "mixed": "a " + " \n\t\u00a0" * 400_000 + " word" + "\u3000 " * 200_000, "between": "x" + " " * 70_000 + "y", "letters": "x" * 500_000}
+
+
+def test_long_runs_of_blanks(spark):
+    path = packing.vocabulary_path()
+    df = spark.createDataFrame(list(enumerate(LONG_RUNS.values())), "doc_id long, text string").repartition(2)
+    got = {}
+    for r in packing.pack_documents(df).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32))
+    for i, text in enumerate(LONG_RUNS.values()):
+        ids = np.array([*packing._slow(path).encode(text, add_special_tokens=False).ids, 0], "<u4")
+        assert sum(n for _, n, _ in got[i]) == len(ids)
+        assert all(zlib.crc32(ids[a : a + n].tobytes()) == c for a, n, c in got[i])
+
+
 def test_local_search_empties_bins():
     bins = collections.Counter({(6,): 2, (4, 4): 1, (3,): 2})
     out = packing.local_search(bins, 10)

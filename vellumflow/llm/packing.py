@@ -27,6 +27,8 @@ from vellumflow.llm.common import Scratch, arrow_map
 from vellumflow.llm.kernel import slices
 
 CAPACITY = 2048
+#: A run of white space of twice as many characters is never read by the fast reader.
+BLANKS = 50_000
 #: Pieces in a bucket in which ranks are dealt.
 BUCKET = 10_000
 # How byte-level vocabularies split text, and the one string they read as a token of its own.
@@ -60,8 +62,16 @@ def _fast(path: str):
     return tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _mostly_blank(text: str) -> bool:
+    """Whether some block of BLANKS characters is all white space, as it is in any run of twice as many."""
+    return any(text[i : i + BLANKS].isspace() for i in range(0, len(text) - BLANKS + 1, BLANKS))
+
+
 def token_ids(text: str, path: str) -> list[int]:
-    if END_OF_TEXT in text:
+    """Ids of a text of any length. The fast reader goes back over a run of blanks once for each of them and breaks off at about a
+    million, so texts with a long run go to the other one, which gives the same ids.
+    """
+    if END_OF_TEXT in text or _mostly_blank(text):
         return _slow(path).encode(text, add_special_tokens=False).ids
     return _fast(path).encode_ordinary(text)
 
@@ -84,7 +94,8 @@ def _pieces(batch: pa.RecordBatch, path: str, capacity: int, keep_ids: bool) ->
 def cut(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Token pieces of every row: ids by the byte-level vocabulary at path, then id 0.
 
-    Longer documents are cut into full pieces; the first piece takes what is left over. Null text is empty, one id.
+    Longer documents are cut into full pieces; the first piece takes what is left over. Null text is empty, one id. Texts may
+    be of any length, long runs of blanks included.
     """
     path = path or vocabulary_path()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

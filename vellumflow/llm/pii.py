@@ -212,7 +212,7 @@ class Model:
         return F.get(F.array(*(F.lit(self.thresholds.get(i, 2.0)) for i in range(len(KINDS)))), kind)
 
 
-def train(sample: DataFrame, rounds: int = 10, depth: int = 4, precision: float = 0.99) -> Model:
+def train(sample: DataFrame, rounds: int = 10, depth: int = 4, precision: float = 0.97) -> Model:
     """Trees from three quarters of a labelled sample, thresholds from the last one.
 
     A kind's threshold is the least probability from which on held-out candidates are personal data with this precision.
