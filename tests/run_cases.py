@@ -1,4 +1,4 @@
-"""Queries that write files in the shared folder and read them again: ingest, streams, shards, sinks, searches, swaps.
+"""Cases that write files in a folder and read them again: ingest, streams, shards, sinks, searches, swaps.
 
 What they return is a handful of rows that tell what happened; their files go before they end.
 """
@@ -11,11 +11,13 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from datetime import datetime, timedelta
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumflow.plans.registry import query, values
+from given import query, values
+
 from vellumflow.schemas import PAPERS
 from vellumflow.sources import jsonl, shards
 from vellumflow.sources import search as searches
@@ -195,18 +197,13 @@ def swapped_folder(spark, sf_dir):
     return spark.createDataFrame(told, "step string, content string")
 
 
-def results(query: str, sort: str, first: int, size: int) -> list[dict]:
-    """A client of the search source with 250 made-up results."""
-    rows = [{"arxiv_id": f"{i:04d}", "title": query} for i in range(250)]
-    return (rows[::-1] if sort == searches.UPDATED else rows)[first : first + size]
-
-
 @query(values("sort n first last over", [("ascending", 121, "0000", "0120", True), ("descending", 250, "0000", "0249", False)]))
 def search_pages(spark, sf_dir):
     """Pages of a search up to one row beyond the cap, which tells that there are more."""
+    spark.sparkContext.addPyFile(str(Path(__file__).parent / "fake_search.py"))
     out = None
     for sort, order, cap in (("ascending", searches.SUBMITTED, 120), ("descending", searches.UPDATED, 500)):
-        found = searches.search(spark, f"{__name__}:results", searches.search_query(["cs.LG"]), cap, order, 0)
+        found = searches.search(spark, "fake_search:client", searches.search_query(["cs.LG"]), cap, order, 0)
         df = found.agg(F.lit(sort).alias("sort"), F.count(F.lit(1)).alias("n"), F.min("arxiv_id").alias("first"), F.max("arxiv_id").alias("last")).withColumn("over", F.col("n") > cap)
         out = df if out is None else out.unionByName(df)
     return out

@@ -4,7 +4,10 @@ import collections
 import re
 
 import duckdb
+import fixed_rows  # noqa: F401  (it registers its cases)
 import pytest
+import run_cases  # noqa: F401
+from given import CASES, RESULTS
 
 from vellumflow.operators import claims, terms
 from vellumflow.plans.catalog import ORACLE, QUERIES
@@ -25,17 +28,24 @@ def canon(rows):
     return sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(ORACLE))
-def test_matches_sql(spark, con, name):
-    df = QUERIES[name](spark, SF)
+def compared(df, got):
     columns = sorted(df.columns)
-    got = con.execute(ORACLE[name])
     names = [d[0] for d in got.description]
     assert sorted(names) == columns
     places = [names.index(c) for c in columns]
     assert canon(map(tuple, df.select(*columns).collect())) == canon(tuple(r[i] for i in places) for r in got.fetchall())
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_matches_sql(spark, con, name):
+    compared(QUERIES[name](spark, SF), con.execute(ORACLE[name]))
+
+
+@pytest.mark.parametrize("name", sorted(CASES))
+def test_fixed_rows(spark, con, name):
+    compared(CASES[name](spark, SF), con.execute(RESULTS[name]))
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0

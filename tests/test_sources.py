@@ -4,11 +4,11 @@ import hashlib
 import json
 
 import pytest
+from fixed_rows import ENTRIES
 from pyspark.sql import functions as F
 
 from vellumflow import __main__ as command
 from vellumflow.operators import classifier, features
-from vellumflow.plans.examples import ENTRIES
 from vellumflow.sources import feed, jsonl, shards
 from vellumflow.sources.swap import Files, recover, replace_directory
 

@@ -1,8 +1,8 @@
 """Rule-based features of papers with their evidence, as column expressions.
 
-Terms of a vocabulary match longest first. A longer alias takes its span out of the text, so that no shorter one can
-match inside: aliases are applied by descending length, and what matched is replaced by a mark. What is left of the text is
-bound at each length, so that a text is read once for each length of aliases, and once if none of them is in it.
+Values and evidence are spans that one automaton finds (operators/spans.py). `matched` is the same for one small vocabulary as a
+column expression: a longer alias takes its span out of the text, so that no shorter one can match inside, and what is left of
+the text is bound at each length of aliases.
 """
 
 from __future__ import annotations
@@ -13,8 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumflow.functions.text import clauses, code_urls, contains_any, empty_strings, first_sentence, fold, marked_statements, once, sentences, short_statement, squeeze, squeeze_but_newlines
+from vellumflow.functions.text import clauses, code_urls, contains_any, empty_strings, first_sentence, fold, marked_statements, once, sentences, squeeze_but_newlines
 from vellumflow.operators.claims import envelopes
+from vellumflow.operators.spans import RELATED_WORK, alias_table, with_feature_terms
 
 Vocabulary = dict[str, list[str]]
 
@@ -78,8 +79,7 @@ DOMAINS: Vocabulary = {
     "time series": ["time series", "temporal data"],
     "graphs": ["graph-structured", "graph data", "network data"],
 }
-# Phrases that mark related work, contributions and limitations.
-RELATED_WORK = ("prior work", "previous work", "related work", "earlier work", "other studies")
+# Phrases that mark contributions and limitations.
 CONTRIBUTIONS = ("our contribution", "our main contribution", "we contribute", "this paper contributes")
 LIMITATIONS = ("a limitation is", "limitations are", "our limitation", "we are limited by", "limited to")
 NOT_LIMITED = r"(?iU)\b(?:not|never)\s+limited to\b"
@@ -135,57 +135,52 @@ def titled_or_used(title: Column, body: Column, vocabulary: Vocabulary) -> Colum
     return matched(F.concat_ws("\n", title, own_clauses(body)), vocabulary)
 
 
-def _evidence(field: str, values: Column, title: Column, body: Column, vocabulary: Vocabulary, usage: bool) -> Column:
-    """One statement for each value that has any: the title, else the first sentence or own clause with it."""
-    pieces = F.filter(body_clauses(body), _unmarked) if usage else sentences(squeeze_but_newlines(body))
-    places = F.concat(F.array(squeeze(title)), pieces)
-    labelled = F.transform(places, lambda p: F.struct(p.alias("s"), matched(p, vocabulary).alias("m")))
+VOCABULARIES: dict[str, Vocabulary] = {"research_tasks": TASKS, "methods": METHODS, "datasets": DATASETS, "metrics": METRICS, "domains": DOMAINS}
+#: Values of these count in the title and in clauses without a mark of related work.
+USAGE = ("methods", "datasets", "metrics")
 
-    def rows(marked: Column) -> Column:
-        def row(v: Column) -> Column:
-            first = F.get(F.filter(marked, lambda p: F.array_contains(p["m"], v)), F.lit(0))
-            return F.struct(F.lit(field).alias("field"), v.alias("value"), short_statement(first["s"]).alias("statement"))
 
-        return F.filter(F.transform(values, row), lambda e: F.coalesce(e["statement"], F.lit("")) != "")
+def aliases_of(papers: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """The five vocabularies as a table, with further rows of the same columns."""
+    own = alias_table(papers.sparkSession, VOCABULARIES)
+    return own if more is None else own.unionByName(more.select("vocabulary", "label", "place", "alias"))
 
-    none = F.array().cast("array<struct<field:string,value:string,statement:string>>")
-    return F.when(F.size(values) > 0, once(labelled, rows)).otherwise(none)
 
+def _values(terms: str, field: str) -> Column:
+    """The labels of a field's terms, each once, in the vocabulary's order."""
+    some = F.filter(terms, lambda x: (x["vocabulary"] == field) & x["used"])
+    return F.transform(F.array_sort(F.array_distinct(F.transform(some, lambda x: F.struct(x["place"].alias("place"), x["label"].alias("label"))))), lambda x: x["label"])
 
-def with_features(papers: DataFrame, title: str = "title", abstract: str = "abstract", paper_text: str = "paper_text") -> DataFrame:
-    """papers with a struct `features`: summary, terms, statements, URLs, evidence and claim envelopes."""
+
+def _evidence(terms: str, field: str) -> Column:
+    """One statement for each value that has any, in the vocabulary's order."""
+    some = F.filter(terms, lambda x: (x["vocabulary"] == field) & x["statement"].isNotNull())
+    rows = F.array_sort(F.transform(some, lambda x: F.struct(x["place"].alias("place"), x["label"].alias("value"), x["statement"].alias("statement"))))
+    return F.transform(rows, lambda x: F.struct(F.lit(field).alias("field"), x["value"].alias("value"), x["statement"].alias("statement")))
+
+
+def with_features(papers: DataFrame, title: str = "title", abstract: str = "abstract", paper_text: str = "paper_text", aliases: DataFrame | None = None) -> DataFrame:
+    """papers with a struct `features`: summary, terms, statements, URLs, evidence and claim envelopes.
+
+    aliases: further rows of vocabulary (a field of terms), label, place and alias, any number of them.
+    """
     t, a, p = (F.coalesce(F.col(c), F.lit("")) for c in (title, abstract, paper_text))
     df = papers.withColumns({"_t": t, "_a": a, "_b": F.concat(a, F.lit("\n"), p)})
+    df = with_feature_terms(df, aliases_of(papers, aliases), USAGE, "_t", "_b", "_terms")
     t, a, b = F.col("_t"), F.col("_a"), F.col("_b")
     whole = F.concat(t, F.lit("\n"), b)
-    df = df.withColumns(
-        {
-            "research_tasks": matched(whole, TASKS),
-            "methods": titled_or_used(t, b, METHODS),
-            "datasets": titled_or_used(t, b, DATASETS),
-            "metrics": titled_or_used(t, b, METRICS),
-            "domains": matched(whole, DOMAINS),
-            "contributions": marked_statements(b, CONTRIBUTIONS),
-            "limitations": marked_statements(b, LIMITATIONS, NOT_LIMITED),
-        }
-    )
+    values = {field: _values("_terms", field) for field in VOCABULARIES}
+    df = df.withColumns({**values, "contributions": marked_statements(b, CONTRIBUTIONS), "limitations": marked_statements(b, LIMITATIONS, NOT_LIMITED)})
     said = lambda f: F.transform(f, lambda v: F.struct(F.lit(f).alias("field"), v.alias("value"), v.alias("statement")))
-    evidence = F.concat(
-        _evidence("research_tasks", F.col("research_tasks"), t, b, TASKS, False),
-        _evidence("methods", F.col("methods"), t, b, METHODS, True),
-        _evidence("datasets", F.col("datasets"), t, b, DATASETS, True),
-        _evidence("metrics", F.col("metrics"), t, b, METRICS, True),
-        _evidence("domains", F.col("domains"), t, b, DOMAINS, False),
-        said("contributions"),
-        said("limitations"),
-    )
+    evidence = F.concat(*(_evidence("_terms", field) for field in VOCABULARIES), said("contributions"), said("limitations"))
     summary = first_sentence(a)
     from vellumflow.operators.terms import keywords
 
-    parts = ["research_tasks", "methods", "datasets", "metrics", "domains", "contributions", "limitations"]
     record = F.struct(
         F.when(summary == "", NO_SUMMARY).otherwise(summary).alias("one_sentence_summary"),
-        *parts,
+        *VOCABULARIES,
+        "contributions",
+        "limitations",
         code_urls(whole).alias("code_urls"),
         keywords(F.concat_ws(" ", t, a)).alias("keywords"),
         evidence.alias("evidence"),

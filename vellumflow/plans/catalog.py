@@ -13,7 +13,7 @@ from vellumflow.operators import classifier, curation, library, metrics, split,
 from vellumflow.operators.claims import CLAIM, with_claims
 from vellumflow.operators.features import matched, used
 from vellumflow.operators.selection import prompt_text
-from vellumflow.plans import examples, runs  # noqa: F401  (they register their queries)
+from vellumflow.plans import extraction  # noqa: F401  (it registers its queries)
 from vellumflow.plans.registry import ORACLE, QUERIES, query, table  # noqa: F401
 from vellumflow.schemas import PAPERS
 from vellumflow.sources.shards import shard_counts

@@ -23,18 +23,3 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _literal(x: object) -> str:
-    if x is None:
-        return "NULL"
-    if isinstance(x, bool):
-        return str(x).upper()
-    if isinstance(x, float):
-        return f"{x!r}::DOUBLE"
-    return str(x) if isinstance(x, int) else "'" + str(x).replace("'", "''") + "'"
-
-
-def values(columns: str, rows: list[tuple]) -> str:
-    """SQL for fixed rows."""
-    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows) + f") v({', '.join(columns.split())})"
