@@ -63,16 +63,45 @@ def without_accents(c: Column | str) -> Column:
     return F.translate(F.regexp_replace(col(c), r"\p{Mn}+", ""), *_accented())
 
 
+def firsts(values: Column, key: Callable[[Column], Column]) -> Column:
+    """Of values with one key the first, in order. Sorted by key once, so that only neighbours are compared."""
+    placed = F.transform(values, lambda v, i: F.struct(key(v).alias("k"), i.alias("i"), v.alias("v")))
+    new = lambda every: F.filter(every, lambda x, j: (j == 0) | ~F.get(every, j - 1)["k"].eqNullSafe(x["k"]))
+    kept = once(F.sort_array(placed), new)
+    return F.transform(F.sort_array(F.transform(kept, lambda x: F.struct(x["i"].alias("i"), x["v"].alias("v")))), lambda x: x["v"])
+
+
 def distinct_folded(values: Column) -> Column:
     """The first spelling of each value, compared without case."""
-    state = F.struct(empty_strings().alias("out"), empty_strings().alias("keys"))
+    return firsts(F.coalesce(values, empty_strings()), fold)
+
+
+def running_sums(values: Column) -> Column:
+    """The sum up to each place. With each round a place takes in what stands twice as far before it, so rounds are as many as the length has bits."""
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int"))
+
+    def step(acc: Column, k: Column) -> Column:
+        back = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(acc, lambda x, i: F.when(i >= back, x + F.get(acc, i - back)).otherwise(x))
+
+    return F.aggregate(rounds, values, step)
+
+
+def placed_pieces(text: Column, border: str) -> Column:
+    """(value, start) of the pieces between borders."""
+    pieces, borders = F.split(text, border, -1), F.regexp_extract_all(text, F.lit(border), F.lit(0))
+    sizes = F.zip_with(pieces, borders, lambda p, b: F.length(p) + F.coalesce(F.length(b), F.lit(0)))
+    placed = lambda n: F.transform(F.arrays_zip(pieces.alias("p"), n.alias("n"), running_sums(n).alias("e")), lambda x: F.struct(x["p"].alias("value"), (x["e"] - x["n"]).alias("start")))
+    return once(sizes, placed)
 
-    def step(acc: Column, v: Column) -> Column:
-        known = F.array_contains(acc["keys"], fold(v))
-        added = F.struct(F.array_append(acc["out"], v).alias("out"), F.array_append(acc["keys"], fold(v)).alias("keys"))
-        return F.when(known, acc).otherwise(added)
 
-    return F.aggregate(F.coalesce(values, empty_strings()), state, step, lambda acc: acc["out"])
+def placed_matches(text: Column, pattern: str, group: int = 0) -> Column:
+    """(value, start) of all matches. A group other than 0 has to end where its match ends."""
+    whole, values = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (0, group))
+    gaps = F.split(text, pattern, -1)
+    sizes = F.zip_with(F.slice(gaps, F.lit(1), F.size(whole)), whole, lambda g, m: F.length(g) + F.length(m))
+    found = lambda ends: F.zip_with(values, ends, lambda v, e: F.struct(v.alias("value"), (e - F.length(v)).alias("start")))
+    return F.when(F.size(whole) > 0, once(sizes, lambda n: found(running_sums(n)))).otherwise(F.array().cast("array<struct<value:string,start:int>>"))
 
 
 def tidy(values: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumflow.functions.text import claim_clauses, fold, once, squeeze, tidy, tight_sentences
+from vellumflow.functions.text import CLAUSE_END, NOT_ONLY, SENTENCE_END_TIGHT, firsts, fold, once, placed_matches, placed_pieces, squeeze, tidy, tight_sentences
 from vellumflow.schemas import ENVELOPE
 
 MOST_ENVELOPES, MOST_BOUNDARIES, LONGEST_CLAIM = 5, 3, 1000
@@ -126,14 +126,57 @@ def boundaries(clean: Column) -> Column:
 
 
 def claims(clean: Column) -> Column:
-    """(index of the sentence, claim): distinct without case, in order, the first MOST_ENVELOPES."""
-    per_sentence = F.transform(
-        tight_sentences(clean),
-        lambda s, i: F.transform(claim_clauses(s), lambda c: F.struct(i.alias("sentence_index"), F.regexp_replace(c, r"(?U)^\s+|\s+$", "").alias("claim"))),
-    )
-    found = F.filter(F.flatten(per_sentence), lambda x: (x["claim"] != "") & ~x["claim"].rlike(RELATED) & x["claim"].rlike(CLAIM))
-    new = once(found, lambda every: F.filter(every, lambda x, i: ~F.exists(F.slice(every, F.lit(1), i), lambda y: fold(y["claim"]) == fold(x["claim"]))))
-    return F.slice(new, 1, MOST_ENVELOPES)
+    """(index of the sentence, claim, its place in the text): distinct without case, in order, the first MOST_ENVELOPES.
+
+    Sentences, clauses and claims are nested spans of the squeezed text.
+    """
+
+    def of_sentence(s: Column, i: Column) -> Column:
+        whole = F.array(F.struct(s["value"].alias("value"), F.lit(0).alias("start")))
+        parts = F.when(s["value"].rlike(NOT_ONLY), whole).otherwise(placed_pieces(s["value"], CLAUSE_END))
+
+        def of_clause(c: Column) -> Column:
+            left = F.regexp_replace(c["value"], r"(?U)^\s+", "")
+            start = s["start"] + c["start"] + F.length(c["value"]) - F.length(left)
+            return F.struct(i.alias("sentence_index"), F.regexp_replace(left, r"(?U)\s+$", "").alias("claim"), start.alias("start"))
+
+        return F.transform(parts, of_clause)
+
+    # A text's sentences are cut into clauses only where a claim phrase is.
+    told = F.filter(F.transform(placed_pieces(clean, SENTENCE_END_TIGHT), lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda x: x["s"]["value"].rlike(CLAIM))
+    found = F.filter(F.flatten(F.transform(told, lambda x: of_sentence(x["s"], x["i"]))), lambda x: (x["claim"] != "") & ~x["claim"].rlike(RELATED) & x["claim"].rlike(CLAIM))
+    return F.slice(firsts(found, lambda x: fold(x["claim"])), 1, MOST_ENVELOPES)
+
+
+#: Patterns of each detail, and the group that holds it; a group other than 0 ends its match.
+DETAIL_PATTERNS = {
+    "comparators": (COMPARATORS, 1),
+    "evaluation_contexts": (CONTEXTS, 1),
+    "metrics": (METRIC_NAMES, 0),
+    "reported_values": (VALUES, 1),
+    "effect_sizes": (EFFECTS, 0),
+    "uncertainty": (UNCERTAINTY, 0),
+    "conditions": ((CONDITIONS,), 0),
+}
+
+
+def claim_spans(papers: DataFrame, key: str, abstract: str = "abstract") -> DataFrame:
+    """Claims and their details as spans: key, claim_index, kind, value, start, end.
+
+    kind is `claim` or a detail; a detail lies inside its claim. Positions are code points of the squeezed abstract, ends exclusive.
+    All matches of a detail's patterns are there, as they stand, also those that an envelope has once only.
+    """
+    clean = squeeze(F.coalesce(F.col(abstract), F.lit("")))
+    found = papers.select(F.col(key).alias("key"), F.posexplode(once(clean, lambda c: F.when(c.rlike(CLAIM), claims(c)))).alias("claim_index", "c"))
+    text, at = F.col("c.claim"), F.col("c.start")
+    whole = F.struct(F.lit("claim").alias("kind"), text.alias("value"), at.alias("start"))
+    details = [_detail(kind, text, at, p, group) for kind, (patterns, group) in DETAIL_PATTERNS.items() for p in patterns]
+    rows = found.select("key", "claim_index", F.explode(F.concat(F.array(whole), *details)).alias("x"))
+    return rows.select(F.col("key").alias(key), "claim_index", "x.kind", "x.value", "x.start", (F.col("x.start") + F.length("x.value")).alias("end"))
+
+
+def _detail(kind: str, text: Column, at: Column, pattern: str, group: int) -> Column:
+    return F.transform(placed_matches(text, pattern, group), lambda m: F.struct(F.lit(kind).alias("kind"), m["value"].alias("value"), (at + m["start"]).alias("start")))
 
 
 def _envelope(c: Column, limits: Column) -> Column:
@@ -170,7 +213,7 @@ def envelopes(abstract: Column) -> Column:
 
     Text, claims and the paper's limits are bound, so that each is found once, and limits only where there are claims.
     """
-    too_long = F.raise_error(F.lit("a claim is too long")).cast("array<struct<sentence_index:int,claim:string>>")
+    too_long = F.raise_error(F.lit("a claim is too long")).cast("array<struct<sentence_index:int,claim:string,start:int>>")
     none = F.array().cast(f"array<{ENVELOPE}>")
 
     def of_claims(found: Column, clean: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vellumflow.operators.claims import claim_spans, with_claims
 from vellumflow.operators.features import VOCABULARIES, aliases_of, with_features
 from vellumflow.operators.spans import with_terms
 from vellumflow.plans.registry import query, table
@@ -135,3 +136,92 @@ def document_evidence(spark, sf_dir):
     """The evidence of every value: the title, or the first sentence or own clause that holds it."""
     rows = _with_features(spark, sf_dir).select("doc_id", F.explode("features.evidence").alias("e")).select("doc_id", "e.*")
     return rows.where(F.col("field").isin(*NAMES))
+
+
+# Claims. Documents hold none, so each abstract begins with sentences made of the document's own columns, of one of six shapes.
+SHAPES = (
+    "Compared with {source} baselines, we find {a}.{b} percentage points higher accuracy on Set{id} under {lang} noise (p < 0.0{c}).",
+    "Our results show that {source} leads to a factor of {a} change within {n} samples.",
+    "We observe no improvement in recall on Set{id}, but we report that {lang} text is linked to delay. We observe no improvement in recall on set{id}.",
+    "We show that the score predicts {source} with AUROC 0.{b}{c}.",
+    "Some words first.We find a plain fact about {source}. A limitation is item {id}.",
+    "There is nothing of the kind in {id}.",
+)
+_PARTS = {"source": "source", "lang": "lang", "id": "doc_id", "n": "n_chars", "a": "doc_id % 9 + 1", "b": "doc_id % 10", "c": "doc_id % 5 + 1"}
+
+
+def _filled_sql(shape: str) -> str:
+    out = _sql_text(shape)
+    for k, v in _PARTS.items():
+        out = out.replace("{" + k + "}", f"' || ({v}) || '")
+    return f"({out})"
+
+
+def _claimed(spark, sf_dir):
+    parts = {k: F.expr(v).cast("string") for k, v in _PARTS.items()}
+
+    def filled(shape: str):
+        pieces = [F.lit(x) if i % 2 == 0 else parts[x] for i, x in enumerate(shape.replace("}", "{").split("{"))]
+        return F.concat(*pieces)
+
+    shape = F.get(F.array(*map(filled, SHAPES)), F.pmod("doc_id", F.lit(len(SHAPES))).cast("int"))
+    docs = table(spark, sf_dir, "documents").withColumns({"lang": F.coalesce("lang", F.lit("xx")), "source": F.coalesce("source", F.lit("none"))})
+    return docs.select("doc_id", F.concat(shape, F.lit(" "), F.coalesce("text", F.lit(""))).alias("abstract"))
+
+
+# For each shape: the claims with sentence, type, direction, details by field, and the number of groups that support them.
+_TOLD = {
+    0: [(0, SHAPES[0], "comparative", "positive", {"comparators": "{source} baselines", "evaluation_contexts": "Set{id}", "metrics": "accuracy", "reported_values": "{a}.{b} percentage points", "effect_sizes": "{a}.{b} percentage points", "uncertainty": "p < 0.0{c}", "conditions": "under {lang} noise"}, 6)],
+    1: [(0, SHAPES[1], "causal_language", "unclear", {"evaluation_contexts": "{n} samples", "reported_values": "factor of {a}", "effect_sizes": "factor of {a}", "conditions": "within {n} samples"}, 3)],
+    2: [
+        (0, "We observe no improvement in recall on Set{id}", "comparative", "negative", {"evaluation_contexts": "Set{id}", "metrics": "recall"}, 2),
+        (0, "we report that {lang} text is linked to delay.", "associational", "unclear", {}, 0),
+        (1, "We observe no improvement in recall on set{id}.", "comparative", "negative", {"metrics": "recall"}, 1),
+    ],
+    3: [(0, SHAPES[3], "predictive", "unclear", {"metrics": "AUROC", "reported_values": "0.{b}{c}"}, 2)],
+    4: [(1, "We find a plain fact about {source}.", "descriptive", "unclear", {}, 0)],
+}
+FIELDS = ["comparators", "evaluation_contexts", "metrics", "reported_values", "effect_sizes", "uncertainty", "conditions"]
+_CLAIMS = " UNION ALL ".join(
+    f"SELECT doc_id, {k} AS claim_index, {i} AS sentence_index, {_filled_sql(claim)} AS claim, '{kind}' AS claim_type, '{way}' AS direction, "
+    + ", ".join(f"{_filled_sql(d[f]) if f in d else _sql_text('')} AS {f}" for f in FIELDS)
+    + f", least(0.55::DOUBLE + {n} * 0.05::DOUBLE, 0.9) AS confidence FROM doc WHERE doc_id % {len(SHAPES)} = {shape}"
+    for shape, some in _TOLD.items()
+    for k, (i, claim, kind, way, d, n) in enumerate(some)
+)
+_SHAPED = f"""
+    doc AS (SELECT doc_id, coalesce(source, 'none') AS source, coalesce(lang, 'xx') AS lang, n_chars, coalesce(text, '') AS text FROM documents),
+    told AS ({_CLAIMS}),
+    abstract AS (
+        SELECT doc_id, trim(regexp_replace(CASE doc_id % {len(SHAPES)} {" ".join(f"WHEN {i} THEN {_filled_sql(s)}" for i, s in enumerate(SHAPES))} END || ' ' || text, '\\s+', ' ', 'g')) AS t FROM doc
+    )
+"""
+
+
+@query(
+    f"""
+    WITH {_SHAPED}
+    SELECT told.*, CASE WHEN doc_id % {len(SHAPES)} = 4 THEN 'A limitation is item ' || doc_id || '.' ELSE '' END AS paper_level_boundaries, 'abstract' AS evidence_source, claim AS statement FROM told
+    """
+)
+def document_claims(spark, sf_dir):
+    """Every field of every claim of every document; texts are read whole."""
+    papers = with_claims(_claimed(spark, sf_dir)).select("doc_id", F.posexplode("validity_envelopes").alias("claim_index", "e"))
+    lists = [F.concat_ws("|", F.col(f"e.{c}")).alias(c) for c in (*FIELDS, "paper_level_boundaries")]
+    return papers.select("doc_id", "claim_index", "e.evidence.sentence_index", "e.claim", "e.claim_type", "e.direction", *lists, "e.confidence", F.col("e.evidence.source").alias("evidence_source"), "e.evidence.statement")
+
+
+@query(
+    f"""
+    WITH {_SHAPED},
+    part AS (
+        SELECT doc_id, claim_index, claim, 'claim' AS kind, claim AS value FROM told
+        {" ".join(f"UNION ALL SELECT doc_id, claim_index, claim, '{f}', {f} FROM told WHERE {f} <> ''" for f in FIELDS)}
+    )
+    SELECT doc_id, claim_index, kind, value, (strpos(t, claim) + strpos(claim, value) - 2)::INTEGER AS start_at, (strpos(t, claim) + strpos(claim, value) - 2 + length(value))::INTEGER AS end_at
+    FROM part JOIN abstract USING (doc_id)
+    """
+)
+def claim_places(spark, sf_dir):
+    """Claims and their details by position."""
+    return claim_spans(_claimed(spark, sf_dir), "doc_id").withColumnsRenamed({"start": "start_at", "end": "end_at"})
