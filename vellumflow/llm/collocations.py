@@ -36,7 +36,7 @@ HOT = 20_000
 SHARE = 2
 #: Parts of a language that are ranked apart before the best of them are ranked together.
 RANK_PARTS = 64
-SLICE = 8 << 20
+SLICE = 2 << 20
 
 #: Bytes that end a piece, and bytes of words.
 BREAKS = np.zeros(256, bool)
