@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vellumflow.functions.text import n_words, squeeze
+from vellumflow.operators.ranks import ranked
 
 # Prefixes of primary categories that are left out, and words that mark withdrawn papers.
 EXCLUDED_PREFIXES = ("astro-ph.", "cond-mat.", "econ.")
@@ -48,22 +49,19 @@ def quotas(sizes: DataFrame, target: int, group: str = "category", size: str = "
     return shared.withColumn("quota", 1 + F.col("whole") + F.when(place <= left - given, 1).otherwise(0)).drop("share", "whole")
 
 
-def curate(papers: DataFrame, target: int, by: list[Column] | None = None, key: str = "versioned_id", salts: int = 64) -> DataFrame:
+def curate(papers: DataFrame, target: int, by: list[Column] | None = None, key: str = "versioned_id") -> DataFrame:
     """The best papers of each category within its quota; repeated rows of a kept key all stay.
 
-    No task sorts a whole category, unless most of it is kept: of each of `salts` shares of it only the first rows, as many as the quota, can be kept,
-    and among these the ranks of the category are taken. Only key, category and order columns move.
+    No task sorts a whole category: ranks come from ranges of category and order. Only key, category and order columns move.
     """
     named = papers.withColumn("_category", category_of())
     plan = quotas(named.groupBy(F.col("_category").alias("category")).agg(F.count(F.lit(1)).alias("n")), target)
     parts = list(by or quality())
     marks = [f"_o{i}" for i in range(len(parts))]
-    order = [F.col(m).desc() for m in marks]
     rows = named.select(key, F.col("_category").alias("category"), *(c.alias(m) for c, m in zip(parts, marks, strict=True)))
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(key, *marks), F.lit(salts))).join(plan.select("category", "quota"), "category")
-    first = rows.withColumn("place", F.row_number().over(Window.partitionBy("category", "_salt").orderBy(*order))).where("place <= quota")
-    ranked = first.withColumn("place", F.row_number().over(Window.partitionBy("category").orderBy(*order)))
-    keep = ranked.where("place <= quota").select(key).distinct()
+    places = ranked(rows, "category", [F.col(m).desc() for m in marks], [key])
+    # A row for each category.
+    keep = places.join(F.broadcast(plan.select("category", "quota")), "category").where("place <= quota").select(key).distinct()
     return papers.join(keep, key, "left_semi")
 
 

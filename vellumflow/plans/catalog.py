@@ -12,6 +12,7 @@ from vellumflow.functions import text as T
 from vellumflow.operators import classifier, curation, library, metrics, split, terms, upsert
 from vellumflow.operators.claims import CLAIM, with_claims
 from vellumflow.operators.features import matched, used
+from vellumflow.operators.ranks import ranked
 from vellumflow.operators.selection import prompt_text
 from vellumflow.plans import extraction, streams  # noqa: F401  (they register their queries)
 from vellumflow.plans.registry import ORACLE, QUERIES, query, table  # noqa: F401
@@ -167,6 +168,12 @@ def category_quotas(spark, sf_dir):
     return curation.quotas(docs.groupBy(F.col("source").alias("category")).agg(F.count(F.lit(1)).alias("n")), docs.count() // 3)
 
 
+@query("SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS place FROM events")
+def event_places(spark, sf_dir):
+    """The place of every event among those of its type: four groups, none of which one task holds."""
+    return ranked(table(spark, sf_dir, "events"), "event_type", [F.col("value").desc_nulls_last(), F.col("event_id").asc()], ["event_id"])
+
+
 @query(
     f"""{_QUOTAS}
     SELECT doc_id, source FROM (
