@@ -232,3 +232,27 @@ def test_search_source(spark, monkeypatch):
         search.search(spark, "fake_search:client", "down", 5, pause=0).collect()
     with pytest.raises(ValueError):
         search.search_query([])
+
+
+def test_net_learns_alike_on_any_partitions(spark):
+    """The same loss curve with one block, and with rows spread over 1 and 8 partitions, to a thousandth."""
+    import numpy as np
+
+    from vellumflow.operators import net
+
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 3, 300)
+    index = [sorted({int(c) * 4 + int(i) for i in rng.integers(0, 5, 3)}) for c in y]
+    rows = [(str(i), "train" if i % 4 else "validation", (ix, [1.0] * len(ix)), int(c)) for i, (ix, c) in enumerate(zip(index, y, strict=True))]
+    df = spark.createDataFrame(rows, "id string, split string, features struct<index:array<int>,value:array<double>>, y int")
+    told = [net.fit(df.repartition(n), "id", 16, [1.0, 2.0, 1.0], hidden=8, batch=32, rate=0.02, epochs=4, patience=4)[1] for n in (1, 8)]
+    assert told[0]["best_epoch"] == told[1]["best_epoch"]
+    for a, b in zip(*(t["history"] for t in told), strict=True):
+        assert a == pytest.approx(b, abs=1e-3)
+    assert told[0]["history"][-1]["train_loss"] < 0.9 * told[0]["history"][0]["train_loss"]
+
+
+def test_dense_vectors(spark):
+    df = spark.createDataFrame([(1, ([0, 3, 5], [1.0, 2.0, 3.0])), (2, ([], [])), (3, ([5], [4.0]))], "id int, features struct<index:array<int>,value:array<double>>")
+    got = {r.id: r.v.toArray().tolist() for r in df.select("id", classifier._vector(6, "features.index", "features.value").alias("v")).collect()}
+    assert got == {1: [1, 0, 0, 2, 0, 3], 2: [0] * 6, 3: [0] * 5 + [4]}

@@ -7,8 +7,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,9 +37,14 @@ def _blocks() -> dict[str, Column]:
     return {"w": grams(tokens(without_accents(F.lower(text))), 1, 2), "c": char_grams(text, 3, 5)}
 
 
-@F.udf(VectorUDT())
-def _vector(size: int, index: list, value: list):
-    return SparseVector(size, index, value)
+def _vector(size: int, index: str, value: str) -> Column:
+    """The dense vector of a sparse one. Its entries are in order of their numbers; gaps between them are runs of zeros."""
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    n, last = F.size(index), F.element_at(F.col(index), -1)
+    gaps = F.transform(index, lambda at, i: at - F.when(i > 0, F.get(index, i - 1)).otherwise(-1) - 1)
+    parts = F.zip_with(gaps, F.col(value), lambda gap, x: F.concat(zeros(gap), F.array(x)))
+    filled = F.when(n > 0, F.concat(F.flatten(parts), zeros(size - 1 - last))).otherwise(zeros(F.lit(size)))
+    return array_to_vector(filled)
 
 
 @dataclass
@@ -86,7 +90,7 @@ class Classifier:
         if isinstance(self.model, Net):
             scored = vectors.withColumn("_p", self.model.probability(docs.sparkSession, index, value, self.vocabulary.size))
         else:
-            scored = self.model.transform(vectors.withColumn("_x", _vector(F.lit(self.vocabulary.size), index, value))).withColumn("_p", vector_to_array("probability"))
+            scored = self.model.transform(vectors.withColumn("_x", _vector(self.vocabulary.size, "features.index", "features.value"))).withColumn("_p", vector_to_array("probability"))
         ranked = scored.withColumn("ranked", ranked_labels(F.col("_p"), self.labels, k))
         first = F.get(F.col("ranked"), F.lit(0))
         return ranked.withColumns({"predicted": first["label"], "confidence": first["probability"]}).drop("_p", "_x", "features", "rawPrediction", "probability", "prediction")
@@ -110,9 +114,8 @@ class Run:
 
 def _fit_logistic(vectors: DataFrame, vocabulary: Vocabulary, labels: list[str], weights: list[float], iterations: Iterable[int]) -> tuple[Classifier, dict]:
     """Logistic regression with the number of iterations that does best on the validation part."""
-    size = F.lit(vocabulary.size)
     weight = F.get(F.array(*map(F.lit, weights)), F.col("y"))
-    rows = vectors.where("split = 'train'").select(F.col("y").cast("double").alias("y"), weight.alias("weight"), _vector(size, "features.index", "features.value").alias("_x")).persist()
+    rows = vectors.where("split = 'train'").select(F.col("y").cast("double").alias("y"), weight.alias("weight"), _vector(vocabulary.size, "features.index", "features.value").alias("_x")).persist()
     best, best_score, best_epoch, waited, history = None, float("-inf"), 0, 0, []
     for n in iterations:
         model = LogisticRegression(featuresCol="_x", labelCol="y", weightCol="weight", maxIter=n, regParam=1e-4).fit(rows)
