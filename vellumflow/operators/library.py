@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellumflow.functions.unicode import casefolded
+
 NEWEST = 500
 # The fields that a page lists.
 SHOWN = ["arxiv_id", "versioned_id", "version", "title", "abstract", "authors", "primary_category", "categories", "published_at", "updated_at", "abs_url", "pdf_url", "doi", "journal_ref", "comment"]
@@ -37,8 +39,8 @@ def search(papers: DataFrame, needle: str = "", category: str = "", limit: int =
     if category:
         page = page.where(F.array_contains("categories", category))
     if needle.strip():
-        text = F.lower(F.concat_ws(" ", "title", "abstract", key, F.concat_ws(" ", "authors")))
-        page = page.where(text.contains(needle.strip().lower()))
+        text = casefolded(F.concat_ws(" ", "title", "abstract", key, F.concat_ws(" ", "authors")))
+        page = page.where(text.contains(needle.strip().casefold()))
     return page.orderBy(F.col(by).desc(), F.col(key)).limit(clamp_limit(limit))
 
 

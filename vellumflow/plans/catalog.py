@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vellumflow.functions import text as T
+from vellumflow.functions.unicode import casefolded
 from vellumflow.operators import classifier, curation, library, metrics, split, terms, upsert
 from vellumflow.operators.claims import CLAIM, with_claims
 from vellumflow.operators.features import matched, used
@@ -17,7 +18,7 @@ from vellumflow.operators.selection import prompt_text
 from vellumflow.plans import extraction, streams  # noqa: F401  (they register their queries)
 from vellumflow.plans.registry import ORACLE, QUERIES, query, table  # noqa: F401
 from vellumflow.schemas import PAPERS
-from vellumflow.sources.shards import shard_counts
+from vellumflow.sources.shards import digests, shard_counts
 
 SENTENCES = r"string_split(regexp_replace({}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
 SQUEEZED = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
@@ -503,6 +504,32 @@ def shard_manifest(spark, sf_dir):
     return shard_counts(events, "day")
 
 
+@query(
+    """
+    WITH r AS (SELECT source, sha256(doc_id || chr(9) || coalesce(text, '')) AS h, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents),
+    c AS (SELECT source, (place - 1) // 50 AS c, sha256(string_agg(h, '' ORDER BY place)) AS d, count(*) AS n FROM r GROUP BY 1, 2)
+    SELECT source, sum(n)::BIGINT AS row_count, count(*) AS chunk_count, sha256(string_agg(d, '' ORDER BY c)) AS sha256 FROM c GROUP BY source
+    """
+)
+def document_manifest(spark, sf_dir):
+    """Counts and digests of the documents of each source, in chunks of 50."""
+    line = F.concat(F.col("doc_id").cast("string"), F.lit("\t"), F.coalesce("text", F.lit("")))
+    return digests(table(spark, sf_dir, "documents"), "source", [F.col("doc_id")], line, 50)
+
+
+@query("SELECT doc_id, lang, n_chars FROM (SELECT * FROM documents ORDER BY doc_id DESC LIMIT 500) WHERE contains(replace(lower(text), 'ß', 'ss'), 'ssheit') ORDER BY doc_id DESC LIMIT 100")
+def folded_search(spark, sf_dir):
+    """A page of what holds a needle with a sharp s, however either is written."""
+    docs = table(spark, sf_dir, "documents").select("*", F.array("lang").alias("categories"), F.col("text").alias("title"), F.lit("").alias("abstract"), F.array().cast("array<string>").alias("authors"), F.col("doc_id").cast("string").alias("key"))
+    return library.search(docs, "ẞHEIT", "", 100, by="doc_id", key="key").select("doc_id", "lang", "n_chars")
+
+
+@query("SELECT doc_id, sha256(replace(lower(text), 'ß', 'ss')) AS folded_sha256 FROM documents")
+def folded_texts(spark, sf_dir):
+    """Whole texts, case-folded."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(casefolded("text"), 256).alias("folded_sha256"))
+
+
 # More of the evaluation, the store and the curation on tables
 
 
