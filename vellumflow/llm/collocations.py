@@ -37,6 +37,8 @@ SHARE = 2
 #: Parts of a language that are ranked apart before the best of them are ranked together.
 RANK_PARTS = 64
 SLICE = 2 << 20
+#: Pointers that a task holds before it hands them on.
+BUFFER = 400_000
 
 #: Bytes that end a piece, and bytes of words.
 BREAKS = np.zeros(256, bool)
@@ -79,16 +81,16 @@ def _held(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def _distinct(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows of some columns and how often each is there."""
+def _distinct(columns: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of some columns and how often each is there, or the sums of their counts."""
     key = np.zeros(len(columns[0]), np.uint64)
     for c in columns:
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + c)
-    _, first, of, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + c.view(np.uint64))
+    _, first, of, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
     # Rows of one key are equal; were they not, all would go out uncounted.
     if all((c == c[first][of]).all() for c in columns):
-        return [as_signed(c[first]) for c in columns], counts.astype(np.int64)
-    return [as_signed(np.ascontiguousarray(c)) for c in columns], np.ones(len(key), np.int64)
+        return [as_signed(c[first]) for c in columns], (n if counts is None else np.bincount(of, counts, len(n))).astype(np.int64)
+    return [as_signed(np.ascontiguousarray(c)) for c in columns], np.ones(len(key), np.int64) if counts is None else counts
 
 
 def _words_and_pairs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -135,21 +137,43 @@ def _triples(batch: pa.RecordBatch, words: Broadcast, pairs: Broadcast) -> Itera
         yield pa.record_batch([pa.array(np.ones(len(at), np.int8)), pa.array(as_signed(p.k[at])), pa.array(np.zeros(len(at), np.int64)), word, pa.array(g)], ["size", "k", "c", "word", "g"])
 
 
-def _pointers(batch: pa.RecordBatch, words: Broadcast, pairs: Broadcast, triples: Broadcast, longest: int) -> Iterator[pa.RecordBatch]:
-    """(k0, k1, ..., c): the words from each frequent triple on, as far as they may be part of a frequent phrase, then zeros."""
-    for part in slices(batch, "text", SLICE):
-        p = Phrases(part)
-        _, triple = _pairs_held(p, words.value, pairs.value)
-        at = np.flatnonzero(triple)
-        triple[at] = _held(triples.value, p.grams(3, at))
-        at = np.flatnonzero(triple)
-        columns, on = [p.k[at + i] for i in range(3)], np.ones(len(at), bool)
-        for i in range(3, longest):
-            # Word i belongs to it if the triple that ends there may be frequent, and all before it.
-            on &= triple[np.minimum(at + i - 2, len(triple) - 1)]
-            columns.append(np.where(on, p.k[np.minimum(at + i, len(triple) - 1)], np.uint64(0)))
-        columns, counts = _distinct(columns[:longest])
-        yield pa.record_batch([*map(pa.array, columns), pa.array(counts)], [*_names(longest), "c"])
+def _pointers(p: Phrases, words: Broadcast, pairs: Broadcast, triples: Broadcast, longest: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The words from each frequent triple on, as far as they may be part of a frequent phrase, then zeros; each with its count."""
+    _, triple = _pairs_held(p, words.value, pairs.value)
+    at = np.flatnonzero(triple)
+    triple[at] = _held(triples.value, p.grams(3, at))
+    at = np.flatnonzero(triple)
+    columns, on = [p.k[at + i] for i in range(3)], np.ones(len(at), bool)
+    for i in range(3, longest):
+        # Word i belongs to it if the triple that ends there may be frequent, and all before it.
+        on &= triple[np.minimum(at + i - 2, len(triple) - 1)]
+        columns.append(np.where(on, p.k[np.minimum(at + i, len(triple) - 1)], np.uint64(0)))
+    return _distinct(columns[:longest])
+
+
+def _projected(rows: DataFrame, words: Broadcast, pairs: Broadcast, triples: Broadcast, longest: int) -> DataFrame:
+    """(k0, k1, ..., c): the pointers of all texts. A task adds up equal ones of its texts, up to BUFFER at once, before it hands them on."""
+    names = _names(longest)
+
+    def run(batches):
+        held, counts = [np.zeros(0, np.int64)] * longest, np.zeros(0, np.int64)
+        out = lambda: pa.record_batch([*map(pa.array, held), pa.array(counts)], [*names, "c"])
+        try:
+            for batch in batches:
+                for part in slices(batch, "text", SLICE):
+                    columns, n = _pointers(Phrases(part), words, pairs, triples, longest)
+                    held, counts = [np.concatenate(c) for c in zip(held, columns, strict=True)], np.concatenate([counts, n])
+                    if len(counts) > BUFFER:
+                        held, counts = _distinct(held, counts)
+                        if len(counts) > BUFFER // 2:
+                            yield out()
+                            held, counts = [np.zeros(0, np.int64)] * longest, np.zeros(0, np.int64)
+            held, counts = _distinct(held, counts)
+            yield out()
+        finally:
+            give_back()
+
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", c long")
 
 
 def _names(longest: int) -> list[str]:
@@ -243,7 +267,7 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, least: int = LEAST, long
     triples = triples.groupBy("size", "k").agg(F.sum("c").alias("c"), F.min("word").alias("word"), F.min("g").alias("g"))
     triples = scratch.store(triples.where(f"size = 1 or c >= {least}"), "triples")
     longer = _bitmap(spark, triples.where("size = 3"), slots)
-    pointers = arrow_map(rows, lambda b: _pointers(b, words, pairs, longer, longest), ", ".join(f"{c} long" for c in names) + ", c long")
+    pointers = _projected(rows, words, pairs, longer, longest)
     pointers = scratch.store(pointers.groupBy(*names).agg(F.sum("c").alias("c")), "pointers")
 
     total = pointers.count()
