@@ -15,7 +15,7 @@ from vellumflow.operators.claims import CLAIM, with_claims
 from vellumflow.operators.features import matched, used
 from vellumflow.operators.ranks import ranked
 from vellumflow.operators.selection import prompt_text
-from vellumflow.plans import extraction, streams  # noqa: F401  (they register their queries)
+from vellumflow.plans import extraction, records, streams  # noqa: F401  (they register their queries)
 from vellumflow.plans.registry import ORACLE, QUERIES, query, table  # noqa: F401
 from vellumflow.schemas import PAPERS
 from vellumflow.sources.shards import digests, shard_counts

@@ -96,7 +96,7 @@ _PIECES = r"""
         UNION ALL SELECT doc_id, 'clause', i, t FROM clause WHERE NOT regexp_matches(lower(t), '(prior|previous|related|earlier) work|other studies')
     )
 """
-_FEATURES = f"""
+FEATURES_SQL = f"""
     WITH {_ALIASES}, {_PIECES}, {_CHOSEN},
     usage AS (SELECT *, vocabulary IN ('methods', 'datasets', 'metrics') AS use FROM chosen),
     value AS (SELECT DISTINCT doc_id, vocabulary, x.label AS label, x.place AS place FROM usage WHERE CASE WHEN use THEN layer IN ('raw title', 'clause') ELSE layer = 'whole' END),
@@ -120,21 +120,21 @@ def _documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.substring_index(text, "\n", 1).alias("title"), text.alias("abstract"), F.lit(None).cast("string").alias("paper_text"))
 
 
-def _with_features(spark, sf_dir):
+def featured(spark, sf_dir):
     return with_features(_documents(spark, sf_dir), aliases=benchmark_aliases(spark, sf_dir))
 
 
-@query(f"{_FEATURES} SELECT documents.doc_id, {_LISTS} FROM documents LEFT JOIN shown USING (doc_id) GROUP BY documents.doc_id")
+@query(f"{FEATURES_SQL} SELECT documents.doc_id, {_LISTS} FROM documents LEFT JOIN shown USING (doc_id) GROUP BY documents.doc_id")
 def document_features(spark, sf_dir):
     """The values of every field of every document."""
     f = F.col("features")
-    return _with_features(spark, sf_dir).select("doc_id", *(F.concat_ws("|", f[v]).alias(v) for v in NAMES))
+    return featured(spark, sf_dir).select("doc_id", *(F.concat_ws("|", f[v]).alias(v) for v in NAMES))
 
 
-@query(f"{_FEATURES} SELECT doc_id, vocabulary AS field, label AS value, statement FROM shown WHERE statement <> ''")
+@query(f"{FEATURES_SQL} SELECT doc_id, vocabulary AS field, label AS value, statement FROM shown WHERE statement <> ''")
 def document_evidence(spark, sf_dir):
     """The evidence of every value: the title, or the first sentence or own clause that holds it."""
-    rows = _with_features(spark, sf_dir).select("doc_id", F.explode("features.evidence").alias("e")).select("doc_id", "e.*")
+    rows = featured(spark, sf_dir).select("doc_id", F.explode("features.evidence").alias("e")).select("doc_id", "e.*")
     return rows.where(F.col("field").isin(*NAMES))
 
 

@@ -60,7 +60,9 @@ def _blank(c: str) -> Column:
 
 
 def _again(key: str) -> Column:
-    return F.row_number().over(Window.partitionBy(key).orderBy("line")) > 1
+    # Lines without a key are no group: each is alone.
+    alone = F.when(F.col(key).isNull(), F.col("line"))
+    return F.row_number().over(Window.partitionBy(key, alone).orderBy("line")) > 1
 
 
 def paper_problems(lines: DataFrame) -> DataFrame:
