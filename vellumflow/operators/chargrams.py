@@ -1,0 +1,131 @@
+"""TF-IDF of character runs, hash-first: runs are counted as 64-bit hashes, and only those that can get into the vocabulary are spelt.
+
+Texts are read as code points. Words, padded by one blank on both sides, are laid out one after the other, and a run's hash is a
+rolling sum over its letters, so that no Python code runs per word or run.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from vellumflow.operators.terms import tfidf
+from vellumflow.sources.shared import run_folder
+
+LEAST, MOST = 3, 5
+#: Characters of a batch that are laid out at once; a longer text is alone.
+SLICE_CHARS = 1 << 20
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+class Runs:
+    """The runs of `size` letters of some texts: text number, place of the first letter, hash. letters: all code points, 0 between words."""
+
+    def __init__(self, texts: list[str]):
+        words = [f" {w} " for t in texts for w in t.split()]
+        counts = np.array([len(t.split()) for t in texts], np.int64)
+        self.letters = np.frombuffer("\0".join([*words, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.cumsum([len(w) + 1 for w in words]) if words else np.zeros(0, np.int64)
+        self.doc = np.repeat(np.repeat(np.arange(len(texts)), counts), np.diff(ends, prepend=0))
+        self.codes = _mixed(self.letters.astype(np.uint64) + np.uint64(1))
+
+    def of(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the runs that lie in one word."""
+        n = len(self.letters) - size + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        inside, h = np.ones(n, bool), np.full(n, size, np.uint64)
+        for i in range(size):
+            inside &= self.letters[i : i + n] != 0
+            h = h * _ODD + self.codes[i : i + n]
+        at = np.flatnonzero(inside)
+        return at, _mixed(h[at])
+
+
+def _slices(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    a = room = 0
+    for i, t in enumerate(texts):
+        if i > a and room + len(t) > SLICE_CHARS:
+            yield a, texts[a:i]
+            a, room = i, 0
+        room += len(t)
+    if a < len(texts):
+        yield a, texts[a:]
+
+
+def run_counts(docs: DataFrame, key: str, text: str, least: int = LEAST, most: int = MOST) -> DataFrame:
+    """key, h, tf: how often each run of least..most letters stands in each row's lower-cased text. A null text has none."""
+    lower = F.lower(F.coalesce(F.col(text), F.lit("")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in _slices(batch["t"].to_pylist()):
+                runs = Runs(texts)
+                found = [runs.of(n) for n in range(least, most + 1)]
+                doc, h = np.concatenate([runs.doc[at] for at, _ in found]), np.concatenate([h for _, h in found])
+                order = np.lexsort((h, doc))
+                doc, h = doc[order], h[order]
+                new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])])) if len(h) else np.zeros(0, np.int64)
+                tf = np.diff(np.append(new, len(h)))
+                yield pa.record_batch([batch[key].take(pa.array(doc[new] + first)), pa.array(h[new].view(np.int64)), pa.array(tf.astype(np.int64))], [key, "h", "tf"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, lower.alias("t")).mapInArrow(run, f"{key} {kind}, h long, tf long")
+
+
+def spelt(docs: DataFrame, text: str, wanted: Broadcast, least: int = LEAST, most: int = MOST) -> DataFrame:
+    """h, term of the wanted hashes (sorted)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(len(wanted.value), bool)
+        for batch in batches:
+            for _, texts in _slices(batch["t"].to_pylist()):
+                runs = Runs(texts)
+                for n in range(least, most + 1):
+                    at, h = runs.of(n)
+                    place = np.searchsorted(wanted.value, h.view(np.int64))
+                    some = np.flatnonzero((place < len(wanted.value)) & (wanted.value[np.minimum(place, len(seen) - 1)] == h.view(np.int64)))
+                    new, first = np.unique(place[some], return_index=True)
+                    first = first[~seen[new]]
+                    seen[new] = True
+                    terms = ["".join(map(chr, runs.letters[a : a + n])) for a in at[some][first]]
+                    yield pa.record_batch([pa.array(h[some][first].view(np.int64)), pa.array(terms, pa.string())], ["h", "term"])
+
+    rows = docs.select(F.lower(F.coalesce(F.col(text), F.lit(""))).alias("t")).mapInArrow(run, "h long, term string")
+    return rows.groupBy("h").agg(F.min("term").alias("term"))
+
+
+def char_tfidf(docs: DataFrame, key: str, text: str, size: int, min_df: int = 2, max_df: float = 0.995, least: int = LEAST, most: int = MOST) -> DataFrame:
+    """key, term, weight over the `size` runs with most occurrences, equal ones in order of the run; keys are distinct.
+
+    Texts are counted in one pass, stored, and read once more for the letters of the hashes that may be in the vocabulary: those
+    with at least as many occurrences as the last one that is.
+    """
+    spark = docs.sparkSession
+    path = run_folder(spark, "runs")
+    run_counts(docs, key, text, least, most).write.parquet(path)
+    counts = spark.read.parquet(path)
+    n = docs.count()
+    stats = counts.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
+    stats.write.parquet(f"{path}-stats")
+    stats = spark.read.parquet(f"{path}-stats")
+    # `size` numbers at most.
+    last = stats.orderBy(F.desc("cf")).limit(size).agg(F.min("cf")).head()[0]
+    survivors = stats.where(F.col("cf") >= F.lit(last if last is not None else 0))
+    hashes = np.sort(survivors.select("h").toArrow()["h"].to_numpy())
+    terms = spelt(docs, text, spark.sparkContext.broadcast(hashes), least, most) if len(hashes) else spark.createDataFrame([], "h long, term string")
+    vocab = survivors.join(terms, "h").orderBy(F.desc("cf"), "term").limit(size)
+    vocab = vocab.select("h", "term", (F.log((F.lit(1.0) + n) / (1 + F.col("df"))) + 1).alias("idf"))
+    vocab.write.parquet(f"{path}-vocabulary")
+    vocab = F.broadcast(spark.read.parquet(f"{path}-vocabulary"))
+    return tfidf(counts.join(vocab.select("h", "term"), "h").select(key, "term", "tf"), vocab, key)

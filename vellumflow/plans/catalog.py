@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from vellumflow.functions import text as T
 from vellumflow.functions.unicode import casefolded
-from vellumflow.operators import classifier, curation, library, metrics, split, terms, upsert
+from vellumflow.operators import chargrams, classifier, curation, library, metrics, split, terms, upsert
 from vellumflow.operators.claims import CLAIM, with_claims
 from vellumflow.operators.features import matched, used
 from vellumflow.operators.ranks import ranked
@@ -19,6 +19,7 @@ from vellumflow.plans import extraction, records, streams  # noqa: F401  (they r
 from vellumflow.plans.registry import ORACLE, QUERIES, query, table  # noqa: F401
 from vellumflow.schemas import PAPERS
 from vellumflow.sources.shards import digests, shard_counts
+from vellumflow.sources.shared import run_folder
 
 SENTENCES = r"string_split(regexp_replace({}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
 SQUEEZED = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
@@ -437,7 +438,10 @@ def keywords(spark, sf_dir):
 )
 def tfidf(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    counts = terms.term_counts(docs, "doc_id", terms.tokens(F.col("text")))
+    # Tokens are made and counted once, and read again for the vocabulary and for the weights.
+    path = run_folder(spark, "counts")
+    terms.term_counts(docs, "doc_id", terms.tokens(F.col("text"))).write.parquet(path)
+    counts = spark.read.parquet(path)
     vocab = terms.vocabulary(counts, docs.count(), 500, 2, 0.995)
     return terms.tfidf(counts, vocab, "doc_id").select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
@@ -530,6 +534,21 @@ def folded_texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(casefolded("text"), 256).alias("folded_sha256"))
 
 
+@query(
+    r"""
+    WITH w AS (SELECT doc_id, ' ' || unnest(string_split_regex(lower(text), '\s+')) || ' ' AS w FROM documents),
+    g AS (SELECT doc_id, substr(w, i, n) AS term FROM (SELECT doc_id, w, n, unnest(range(1, length(w) - n + 2)) AS i FROM w, range(3, 6) s(n) WHERE w <> '  ')),
+    c AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY 1, 2), d AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM c GROUP BY 1), n AS (SELECT count(*) AS n FROM documents),
+    v AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf FROM d, n WHERE df >= 2 AND df <= 0.995 * n ORDER BY cf DESC, encode(term) LIMIT 300),
+    x AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS raw FROM c JOIN v USING (term)), m AS (SELECT doc_id, sqrt(sum(raw * raw)) AS norm FROM x GROUP BY 1)
+    SELECT doc_id, term, round(raw / norm, 6) AS weight FROM x JOIN m USING (doc_id)
+    """
+)
+def char_tfidf(spark, sf_dir):
+    """Weights of runs of 3 to 5 letters of whole texts, counted as hashes."""
+    return chargrams.char_tfidf(table(spark, sf_dir, "documents"), "doc_id", "text", 300).select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
 # More of the evaluation, the store and the curation on tables
 
 
