@@ -49,6 +49,58 @@ def test_license_notice_with_edits(spark):
     assert got[3].labels == "" and got[3].first_word is None
 
 
+def brute_notices(t):
+    """Labels and score of a text: of each notice's diagonals, neighbouring ones in a run, the share of its 3-word runs that are covered."""
+    k = license_scan.GRAM
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(UPPER))
+    places = collections.defaultdict(list)
+    for i in range(len(words) - k + 1):
+        places[tuple(words[i : i + k])].append(i)
+    labels, score = set(), 0.0
+    for phrase, label in license_scan.PHRASES.items():
+        p = phrase.split()
+        if any(words[i : i + len(p)] == p for i in range(len(words))):
+            labels.add(label)
+            score = 1.0
+    for notice, label in license_scan.NOTICES.items():
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", notice.translate(UPPER))
+        n = len(w) - k + 1
+        votes = collections.defaultdict(set)
+        for at in range(n):
+            for i in places.get(tuple(w[at : at + k]), []):
+                votes[i - at].add(at)
+        run, last = set(), None
+        best = 0.0
+        for d in sorted(votes):
+            run = run | votes[d] if last is not None and d - last <= license_scan.SHIFT else set(votes[d])
+            last = d
+            best = max(best, len(run) / n)
+        if best >= license_scan.COVER:
+            labels.add(label)
+            score = max(score, best)
+    return ",".join(sorted(labels)), score
+
+
+def test_license_labels_and_score(spark, docs):
+    """Whole, cut, shuffled and edited notices at any place of other text, and the given documents."""
+    rng = np.random.default_rng(8)
+    made = []
+    for notice in license_scan.NOTICES:
+        w = notice.split()
+        for share in (1.0, 0.9, 0.75, 0.6, 0.4):
+            kept = [x for x in w if rng.random() < 0.3 + 0.7 * share]
+            made.append(" ".join(["lorem"] * int(rng.integers(0, 30)) + kept + ["ipsum"] * int(rng.integers(0, 30))))
+            made.append(" ".join(w[: int(len(w) * share)]) + " dolor " * int(rng.integers(0, 9)) + " ".join(w[int(len(w) * share) :]))
+        made.append(" ".join(rng.permutation(w)))
+        made.append(notice + " " + notice)
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(made)], "doc_id long, text string"))
+    want = {r.doc_id: brute_notices(r.text or "") for r in df.collect()}
+    got = {i: (r.labels, r.score) for i, r in by_id(license_scan.scan_licenses(df)).items()}
+    assert {i: x for i, (x, _) in got.items()} == {i: x for i, (x, _) in want.items()}
+    assert all(got[i][1] == pytest.approx(want[i][1]) for i in want)
+    assert 0 < sum(bool(want[10**6 + i][0]) for i in range(len(made))) < len(made)
+
+
 def spans_of(t):
     out = []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A):
