@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from vellumflow.functions import text as T
 from vellumflow.functions.unicode import casefolded
 from vellumflow.operators import chargrams, classifier, curation, library, metrics, split, terms, upsert
+from vellumflow.operators.bucketed import BucketedStore
 from vellumflow.operators.claims import CLAIM, with_claims
 from vellumflow.operators.features import matched, used
 from vellumflow.operators.ranks import ranked
@@ -549,6 +550,24 @@ def char_tfidf(spark, sf_dir):
     return chargrams.char_tfidf(table(spark, sf_dir, "documents"), "doc_id", "text", 300).select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
+@query(
+    """
+    SELECT doc_id AS arxiv_id, CASE WHEN l.doc_id IS NULL THEN 'v' || (d.doc_id % 2) ELSE 'v' || quality END AS source_versioned_id, CASE WHEN l.doc_id IS NULL THEN '1' ELSE '2' END AS extractor_version,
+        CASE WHEN l.doc_id IS NULL THEN lang ELSE toxic::VARCHAR END AS features
+    FROM documents d FULL JOIN (SELECT * FROM labels UNION ALL SELECT -doc_id, quality, toxic FROM labels WHERE doc_id % 10 = 1) l USING (doc_id)
+    """
+)
+def merged_features(spark, sf_dir):
+    """Labels as new feature rows, some of papers that are not there, merged into a store made of documents."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("arxiv_id"), F.concat(F.lit("v"), F.pmod("doc_id", F.lit(2)).cast("string")).alias("source_versioned_id"), F.lit("1").alias("extractor_version"), F.col("lang").alias("features"))
+    labels = table(spark, sf_dir, "labels")
+    labels = labels.unionByName(labels.where("doc_id % 10 = 1").withColumn("doc_id", -F.col("doc_id")))
+    new = labels.select(F.col("doc_id").alias("arxiv_id"), F.concat(F.lit("v"), F.col("quality").cast("string")).alias("source_versioned_id"), F.lit("2").alias("extractor_version"), F.col("toxic").cast("string").alias("features"))
+    store = BucketedStore(spark, docs, "arxiv_id")
+    store.merge(new)
+    return store.rows
+
+
 # More of the evaluation, the store and the curation on tables
 
 
