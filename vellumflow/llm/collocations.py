@@ -269,6 +269,8 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, least: int = LEAST, long
     longer = _bitmap(spark, triples.where("size = 3"), slots)
     pointers = _projected(rows, words, pairs, longer, longest)
     pointers = scratch.store(pointers.groupBy(*names).agg(F.sum("c").alias("c")), "pointers")
+    for sent in (words, pairs, longer):
+        sent.destroy()
 
     total = pointers.count()
     hot = max(hot, total // (SHARE * buckets(spark)))

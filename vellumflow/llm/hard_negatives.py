@@ -274,7 +274,7 @@ class Forest:
 
     def top(self, asks: list[Asks], k: int, name: str) -> DataFrame:
         first = F.pmod(F.xxhash64("tree"), F.lit(SHARE)) == 0
-        begun = self.scratch.store(self.asked(self.trees.where(first), asks), f"{name}_first")
+        begun = self.asked(self.trees.where(first), asks, f"{name}_first")
         worst = _best(begun, k).where(F.col("rank") == k).select("anchor", "number", "score").toArrow()
         # At most one number for each of the group's asks.
         anchor, number, score = (worst[c].to_numpy() for c in ("anchor", "number", "score"))
@@ -283,11 +283,16 @@ class Forest:
             for r, j, s in zip(anchor.tolist(), number.tolist(), score.tolist(), strict=True):
                 if (r, j) in keys:
                     x.low[keys[r, j]] = max(x.low[keys[r, j]], s)
-        rest = self.scratch.store(self.asked(self.trees.where(~first), asks), f"{name}_rest")
+        rest = self.asked(self.trees.where(~first), asks, f"{name}_rest")
         return _best(begun.unionByName(rest), k)
 
-    def asked(self, trees: DataFrame, asks: list[Asks]) -> DataFrame:
-        return _search(trees, self.spark.sparkContext.broadcast(asks))
+    def asked(self, trees: DataFrame, asks: list[Asks], name: str) -> DataFrame:
+        """What the trees hold for the asks, stored, so that the asks needn't stay on the executors."""
+        sent = self.spark.sparkContext.broadcast(asks)
+        try:
+            return self.scratch.store(_search(trees, sent), name)
+        finally:
+            sent.destroy()
 
 
 def mine_hard_negatives(
