@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumflow.functions.text import without_accents
+from vellumflow.operators import hashed
 from vellumflow.operators.metrics import calibration_error, class_report, class_weights, confusion, ranked_labels, ratio, selective, summary, top_k_accuracy, worst_mistakes
 from vellumflow.operators.net import Net, fit, unpacked
 from vellumflow.operators.split import stratified, without_rare
-from vellumflow.operators.terms import char_grams, fit_vocabulary, grams, term_counts, tfidf, tokens
 from vellumflow.sources.swap import Files, replace_directory
 
 WORD_SHARE = 0.75
@@ -32,9 +32,8 @@ def examples(papers: DataFrame, label: str = "primary_category", least: int = 5)
     return without_rare(df, "label", least)
 
 
-def _blocks() -> dict[str, Column]:
-    text = F.col("text")
-    return {"w": grams(tokens(without_accents(F.lower(text))), 1, 2), "c": char_grams(text, 3, 5)}
+def _blocks() -> dict[str, hashed.Terms]:
+    return {"w": hashed.word_runs(1, 2, lambda text: without_accents(F.lower(text))), "c": hashed.letter_runs(3, 5)}
 
 
 def _vector(size: int, index: str, value: str) -> Column:
@@ -57,23 +56,24 @@ class Vocabulary:
     @staticmethod
     def fit(train: DataFrame, features: int) -> Vocabulary:
         sizes = {"w": int(features * WORD_SHARE), "c": features - int(features * WORD_SHARE)}
-        rows = []
+        rows, n = [], train.count()
+        # Frequency bounds that suit the number of documents.
+        least, most = 1 if n < 4 else 2, n if n < 3 else 0.995 * n
         for name, terms in _blocks().items():
-            rows += [(name, r.term, r.idf) for r in fit_vocabulary(train, "arxiv_id", terms, sizes[name]).orderBy("term").collect()]
+            chosen = hashed.vocabulary(train, "text", terms, sizes[name], least, most).select("term", hashed.idf(n).alias("idf"))
+            rows += [(name, r.term, r.idf) for r in chosen.orderBy("term").collect()]
         spark = train.sparkSession
         return Vocabulary(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "number int, block string, term string, idf double"), len(rows))
 
     def transform(self, docs: DataFrame) -> DataFrame:
-        """docs with `features`: index and value of what isn't zero, by index."""
-        parts = []
+        """docs with `features`: index and value of what isn't zero, by index. Each text's are made of it and the vocabulary."""
+        parts, first = [], 0
+        rows = self.terms.orderBy("number").collect()
         for name, terms in _blocks().items():
-            own = self.terms.where(F.col("block") == name)
-            weights = tfidf(term_counts(docs, "arxiv_id", terms), F.broadcast(own), "arxiv_id")
-            parts.append(weights.join(F.broadcast(own.select("term", "number")), "term").select("arxiv_id", "number", "weight"))
-        # A document has as many entries as the vocabulary has terms, at most.
-        rows = parts[0].unionByName(parts[1]).groupBy("arxiv_id").agg(F.sort_array(F.collect_list(F.struct("number", "weight"))).alias("_e"))
-        none = F.array().cast("array<struct<number:int,weight:double>>")
-        entries = docs.join(rows, "arxiv_id", "left").withColumn("_e", F.coalesce("_e", none))
+            own = [(r.term, r.idf) for r in rows if r.block == name]
+            parts.append(hashed.weights(docs, "text", terms, own, first))
+            first += len(own)
+        entries = docs.withColumn("_e", F.concat(*parts))
         return entries.withColumn("features", F.struct(F.col("_e.number").alias("index"), F.col("_e.weight").alias("value"))).drop("_e")
 
 

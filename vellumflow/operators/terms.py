@@ -49,9 +49,9 @@ def char_grams(text: Column, least: int = 3, most: int = 5) -> Column:
     return F.flatten(F.transform(words, of))
 
 
-def keywords(text: Column, n: int = 12) -> Column:
-    """The n most frequent 1- and 2-word terms, equal counts in order of the term."""
-    return once(tokens(text), lambda words: once(F.sort_array(grams(words)), lambda terms: _ranked(terms, n)))
+def keywords(text: Column, n: int = 12, most: int = 2) -> Column:
+    """The n most frequent terms of 1..most words, equal counts in order of the term."""
+    return once(tokens(text), lambda words: once(F.sort_array(grams(words, 1, most)), lambda terms: _ranked(terms, n)))
 
 
 def _ranked(terms: Column, n: int) -> Column:
@@ -66,6 +66,18 @@ def _ranked(terms: Column, n: int) -> Column:
     return once(firsts, rank)
 
 
+def one_text(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, text; rows of one key, if there are such, are one text with a line for each. Texts are shuffled in that case only."""
+    if docs.groupBy(key).count().where("count > 1").isEmpty():
+        return docs.select(key, text)
+    return docs.groupBy(key).agg(F.concat_ws("\n", F.collect_list(text)).alias(text))
+
+
+def top_words(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """key, terms: the n most frequent words of each key that has any, ranked in its text; counts are not shuffled."""
+    return one_text(docs, key, text).select(key, keywords(F.col(text), n, 1).alias("terms")).where(F.size("terms") > 0)
+
+
 def term_counts(docs: DataFrame, key: str, terms: Column) -> DataFrame:
     """key, term, tf; combined before the shuffle."""
     return docs.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
