@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from vellumflow.functions import text as T
 from vellumflow.functions.unicode import casefolded
-from vellumflow.operators import chargrams, classifier, curation, library, metrics, split, terms, upsert
+from vellumflow.operators import classifier, curation, hashed, library, metrics, split, terms, upsert
 from vellumflow.operators.bucketed import BucketedStore
 from vellumflow.operators.claims import CLAIM, with_claims
 from vellumflow.operators.features import matched, used
@@ -406,10 +406,7 @@ def json_field(spark, sf_dir):
     """.replace("STOP", ", ".join(f"'{w}'" for w in terms.STOP_WORDS))
 )
 def top_words(spark, sf_dir):
-    counts = terms.term_counts(table(spark, sf_dir, "documents"), "doc_id", terms.tokens(F.col("text")))
-    ranked = counts.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("tf").desc(), "term"))).where("place <= 12")
-    rows = ranked.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "term"))).alias("r"))
-    return rows.select("doc_id", F.concat_ws("|", "r.term").alias("terms"))
+    return terms.top_words(table(spark, sf_dir, "documents"), "doc_id", "text", 12).select("doc_id", F.concat_ws("|", "terms").alias("terms"))
 
 
 @query(
@@ -438,13 +435,8 @@ def keywords(spark, sf_dir):
     """.replace("STOP", ", ".join(f"'{w}'" for w in terms.STOP_WORDS))
 )
 def tfidf(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    # Tokens are made and counted once, and read again for the vocabulary and for the weights.
-    path = run_folder(spark, "counts")
-    terms.term_counts(docs, "doc_id", terms.tokens(F.col("text"))).write.parquet(path)
-    counts = spark.read.parquet(path)
-    vocab = terms.vocabulary(counts, docs.count(), 500, 2, 0.995)
-    return terms.tfidf(counts, vocab, "doc_id").select("doc_id", "term", F.round("weight", 6).alias("weight"))
+    """Weights of the words of whole texts."""
+    return hashed.tfidf(table(spark, sf_dir, "documents"), "doc_id", "text", hashed.word_runs(1, 1), 500).select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
 VOCABULARY = {"apache": ["apache license"], "license": ["license"], "token": ["token"], "the": ["the"]}
