@@ -76,30 +76,3 @@ def one_text(docs: DataFrame, key: str, text: str) -> DataFrame:
 def top_words(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """key, terms: the n most frequent words of each key that has any, ranked in its text; counts are not shuffled."""
     return one_text(docs, key, text).select(key, keywords(F.col(text), n, 1).alias("terms")).where(F.size("terms") > 0)
-
-
-def term_counts(docs: DataFrame, key: str, terms: Column) -> DataFrame:
-    """key, term, tf; combined before the shuffle."""
-    return docs.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def vocabulary(counts: DataFrame, n_docs: int, size: int, min_df: int, max_df: float) -> DataFrame:
-    """term, df, idf of the `size` terms with most occurrences among those in min_df documents and max_df of them at most."""
-    stats = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    kept = stats.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs)).orderBy(F.col("cf").desc(), "term").limit(size)
-    return kept.select("term", "df", (F.log((F.lit(1.0) + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
-
-
-def tfidf(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
-    """key, term, weight: (1 + ln tf) * idf, each document scaled to length 1."""
-    raw = counts.join(vocab.select("term", "idf"), "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
-    # A document's weights meet once, at most as many as the vocabulary has terms; in the order of terms their sum is the same each time.
-    whole = raw.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("term", "raw"))).alias("r"))
-    length = F.sqrt(F.aggregate("r", F.lit(0.0), lambda acc, x: acc + x["raw"] * x["raw"]))
-    return whole.withColumn("_length", length).select(key, F.explode("r").alias("x"), "_length").select(key, "x.term", (F.col("x.raw") / F.col("_length")).alias("weight"))
-
-
-def fit_vocabulary(train: DataFrame, key: str, terms: Column, size: int) -> DataFrame:
-    """The vocabulary of training documents, with the frequency bounds that suit their number."""
-    n = train.count()
-    return vocabulary(term_counts(train, key, terms), n, size, 1 if n < 4 else 2, 1.0 if n < 3 else 0.995)

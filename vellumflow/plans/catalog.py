@@ -20,7 +20,6 @@ from vellumflow.plans import extraction, records, streams  # noqa: F401  (they r
 from vellumflow.plans.registry import ORACLE, QUERIES, query, table  # noqa: F401
 from vellumflow.schemas import PAPERS
 from vellumflow.sources.shards import digests, shard_counts
-from vellumflow.sources.shared import run_folder
 
 SENTENCES = r"string_split(regexp_replace({}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
 SQUEEZED = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
@@ -539,7 +538,7 @@ def folded_texts(spark, sf_dir):
 )
 def char_tfidf(spark, sf_dir):
     """Weights of runs of 3 to 5 letters of whole texts, counted as hashes."""
-    return chargrams.char_tfidf(table(spark, sf_dir, "documents"), "doc_id", "text", 300).select("doc_id", "term", F.round("weight", 6).alias("weight"))
+    return hashed.tfidf(table(spark, sf_dir, "documents"), "doc_id", "text", hashed.letter_runs(), 300).select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
 @query(
