@@ -4,6 +4,7 @@ import collections
 import math
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,15 +36,21 @@ def brute(texts, terms_of, size, min_df, max_df):
     return out
 
 
-@pytest.mark.parametrize("room", [hashed.SLICE_BYTES, 10])
 @pytest.mark.parametrize("kind,terms_of,size", [(hashed.letter_runs(), letters, 12), (hashed.word_runs(1, 2), words, 5)])
-def test_weights_by_brute_force(spark, monkeypatch, room, kind, terms_of, size):
-    monkeypatch.setattr(hashed, "SLICE_BYTES", room)
+def test_weights_by_brute_force(spark, kind, terms_of, size):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "k int, t string").repartition(3)
     got = {(r.k, r.term): round(r.weight, 9) for r in hashed.tfidf(df, "k", "t", kind, size, 2, 0.9).collect()}
     assert got == brute({k: t or "" for k, t in enumerate(TEXTS)}, terms_of, size, 2, 0.9 * len(TEXTS))
 
 
+def test_slices_hold_all_terms(monkeypatch):
+    texts = pa.array([(t or "").lower() for t in TEXTS])
+    told = lambda: sorted(laid.term(int(at), n) for laid in hashed.Terms(hashed.Letters, None, 3, 5).slices(texts) for n in (3, 4, 5) for at in laid.of(n)[0])
+    whole = told()
+    monkeypatch.setattr(hashed, "SLICE_BYTES", 10)
+    assert told() == whole == sorted(x for t in TEXTS for x in letters(t or ""))
+
+
 def test_rows_of_one_key_are_one_text(spark):
     df = spark.createDataFrame([(1, "ab cd"), (1, "ab ef"), (None, "cd"), (None, "cd ab"), (2, None), (3, "the")], "k int, t string")
     assert {r.k: r.terms for r in terms.top_words(df, "k", "t", 2).collect()} == {1: ["ab", "cd"], None: ["cd", "ab"]}

@@ -96,3 +96,13 @@ def test_claim_places(spark):
     clean = " ".join(text.split())
     assert all(clean[r.start : r.end] == r.value for r in rows) and {r.i for r in rows} == {1}
     assert {(r.claim_index, r.kind, r.value) for r in rows} >= {(0, "claim", "However we find that heat helps (p < 0.01)"), (0, "uncertainty", "p < 0.01"), (1, "claim", "our model improves recall on MNIST."), (1, "metrics", "recall"), (1, "evaluation_contexts", "MNIST")}
+
+
+def test_candidates_stay_in_the_task(spark):
+    """One pass of Python gives the chosen terms; rows of several slices and texts without terms keep their places."""
+    table = spark.createDataFrame([("v", "net", 0, "net")], "vocabulary string, label string, place int, alias string")
+    df = spark.createDataFrame([(i, "a net, net" if i % 3 else None, "net") for i in range(2 * spans.SLICE_ROWS + 5)], "i int, text string, t string").coalesce(1)
+    for out, least in ((spans.with_terms(df, table, out="x"), 2), (spans.with_feature_terms(df, table, ["v"], "t", "text", "x"), 1)):
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+        sizes = {r.i: len(r.x) for r in out.collect()}
+        assert len(sizes) == df.count() and all((n >= least) == (i % 3 > 0 or least == 1) for i, n in sizes.items())

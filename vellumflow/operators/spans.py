@@ -12,11 +12,15 @@ from __future__ import annotations
 
 import re
 import uuid
+from array import array
 from bisect import bisect_right
 from collections.abc import Callable, Iterable
+from itertools import chain
 
 import ahocorasick
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,9 +36,10 @@ STATEMENT = 240
 Span = tuple[int, int, int]
 Entry = tuple[str, str, int, str]
 TERM = "vocabulary string, label string, place int, start int, end int"
-TERMS = f"array<struct<{TERM}>>"
 #: used: whether the span counts as a value of the paper; statement: the evidence, at one span of each value.
-FEATURE_TERMS = f"array<struct<{TERM}, used boolean, statement string>>"
+FEATURE_TERM = f"{TERM}, used boolean, statement string"
+#: Rows whose terms are Python objects at one time.
+SLICE_ROWS = 256
 WHOLE, TITLE, BODY = range(3)
 
 
@@ -172,31 +177,55 @@ def _matcher(name: str, sent: Broadcast) -> Matcher:
     return BUILT[name]
 
 
-def _finder(spark: SparkSession, part: list[Entry], texts_of: Callable[..., list[str]]) -> Callable[[Column], Column]:
-    sent, name = spark.sparkContext.broadcast(part), uuid.uuid4().hex
-
-    @F.pandas_udf("array<struct<layer:int,start:int,end:int,vocabulary:string,label:string,place:int>>")
-    def find(rows: pd.DataFrame) -> pd.Series:
-        matcher = _matcher(name, sent)
-        out = []
-        for row in zip(*(rows[c] for c in rows.columns), strict=True):
-            found = []
+def _candidates(texts: list[pa.Array], sent: list[tuple[str, Broadcast]], texts_of: Callable[..., list[str]]) -> np.ndarray:
+    """Row, layer, start, end and entry of all candidates of a batch, by row; entries are numbered through all parts. One row's texts are read at a time."""
+    out, first = array("i"), 0
+    for name, part in sent:
+        matcher = _matcher(name, part)
+        for row in range(len(texts[0])):
             before, spans = None, []
-            for layer, text in enumerate(texts_of(*row)):
+            for layer, text in enumerate(texts_of(*(t[row].as_py() for t in texts))):
                 # Layers of one text are read once.
                 if text != before:
                     before, spans = text, matcher.spans(text)
-                found += [(layer, a, b, *matcher.entries[i][:3]) for a, b, i in spans]
-            out.append(found)
-        return pd.Series(out)
+                for a, b, i in spans:
+                    out.extend((row, layer, a, b, first + i))
+        first += len(part.value)
+    found = np.frombuffer(out, np.int32).reshape(-1, 5)
+    return found[np.argsort(found[:, 0], kind="stable")]
+
 
-    return find
+def _told(spark: SparkSession, aliases: DataFrame, texts_of: Callable[..., list[str]], columns: list[Column], choose: Callable[..., list[tuple]], fields: str) -> Column:
+    """What choose() makes of each row's texts and candidates (layer, start, end, entry); rows without candidates have none.
 
+    Candidates stay in the task, as numbers, and what is chosen becomes Arrow columns SLICE_ROWS rows at a time, so that a worker
+    holds no objects for each term of a batch.
+    """
+    sent = [(uuid.uuid4().hex, spark.sparkContext.broadcast(part)) for part in _parts(aliases) or [[]]]
+    names = [x.split() for x in fields.split(", ")]
+    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+    n = len(columns)
+
+    @F.arrow_udf(f"array<struct<{fields}>>")
+    def find(rows: pa.Array) -> pa.Array:
+        texts = [pc.struct_field(rows, i) for i in range(n)]
+        entries = list(chain.from_iterable(part.value for _, part in sent))
+        found = _candidates(texts, sent, texts_of)
+        borders = np.searchsorted(found[:, 0], np.arange(len(rows) + 1))
+        out = []
+        for low in range(0, len(rows), SLICE_ROWS):
+            told, offsets = [], [0]
+            for row in range(low, min(low + SLICE_ROWS, len(rows))):
+                a, b = borders[row], borders[row + 1]
+                if a < b:
+                    some = [(layer, x, y, entries[i]) for _, layer, x, y, i in found[a:b].tolist()]
+                    told += choose(*(t[row].as_py() for t in texts), some)
+                offsets.append(len(told))
+            parts = [pa.array([x[i] for x in told], kinds[kind]) for i, (_, kind) in enumerate(names)]
+            out.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(parts, [name for name, _ in names])))
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.struct([(name, kinds[kind]) for name, kind in names])))
 
-def _found(spark: SparkSession, aliases: DataFrame, texts_of: Callable[..., list[str]], columns: list[Column]) -> Column:
-    """Candidates of all parts."""
-    parts = _parts(aliases) or [[]]
-    return F.concat(*(_finder(spark, part, texts_of)(F.struct(*(c.alias(f"c{i}") for i, c in enumerate(columns)))) for part in parts))
+    return find(F.struct(*(c.alias(f"c{i}") for i, c in enumerate(columns))))
 
 
 def with_terms(docs: DataFrame, aliases: DataFrame, text: str = "text", out: str = "terms") -> DataFrame:
@@ -206,28 +235,25 @@ def with_terms(docs: DataFrame, aliases: DataFrame, text: str = "text", out: str
     nothing.
     """
 
-    @F.pandas_udf(TERMS)
-    def choose(found: pd.Series) -> pd.Series:
-        return found.map(lambda f: [(v, label, place, a, b) for v, a, b, label, place in _chosen(f, WHOLE)])
+    def choose(_: str, found: list[tuple]) -> list[tuple]:
+        return [(v, label, place, a, b) for v, a, b, label, place in _chosen(found, WHOLE)]
 
-    columns = [F.coalesce(F.col(text), F.lit(""))]
-    found = _found(docs.sparkSession, aliases, _only, columns)
-    return docs.withColumn("_found", found).withColumn(out, F.when(F.size("_found") > 0, choose("_found")).otherwise(F.array().cast(TERMS))).drop("_found")
+    return docs.withColumn(out, _told(docs.sparkSession, aliases, _only, [F.coalesce(F.col(text), F.lit(""))], choose, TERM))
 
 
 def _only(text: str) -> list[str]:
     return [text]
 
 
-def _by_vocabulary(found: Iterable[dict], layer: int) -> dict[str, list[tuple]]:
+def _by_vocabulary(found: Iterable[tuple], layer: int) -> dict[str, list[tuple]]:
     out: dict[str, list[tuple]] = {}
-    for x in found:
-        if x["layer"] == layer:
-            out.setdefault(x["vocabulary"], []).append((x["start"], x["end"], x["label"], x["place"]))
+    for own, start, end, (vocabulary, label, place, _) in found:
+        if own == layer:
+            out.setdefault(vocabulary, []).append((start, end, label, place))
     return out
 
 
-def _chosen(found: Iterable[dict], layer: int) -> list[tuple]:
+def _chosen(found: Iterable[tuple], layer: int) -> list[tuple]:
     """(vocabulary, start, end, label, place), each vocabulary longest first."""
     return [(v, *s) for v, spans in sorted(_by_vocabulary(found, layer).items()) for s in longest_first(spans)]
 
@@ -237,7 +263,7 @@ def _layers(title: str, body: str) -> list[str]:
     return [f"{title}\n{body}", squeezed(title), squeezed_lines(body)]
 
 
-def _feature_terms(title: str, body: str, found: list[dict], usage: frozenset[str]) -> list[tuple]:
+def _feature_terms(title: str, body: str, found: list[tuple], usage: frozenset[str]) -> list[tuple]:
     whole, titled, inner = (_by_vocabulary(found, layer) for layer in (WHOLE, TITLE, BODY))
     clean = squeezed_lines(body)
     sentences = sentence_spans(clean)
@@ -272,13 +298,8 @@ def with_feature_terms(papers: DataFrame, aliases: DataFrame, usage: Iterable[st
     """
     usage = frozenset(usage)
     columns = [F.coalesce(F.col(c), F.lit("")) for c in (title, body)]
-    found = _found(papers.sparkSession, aliases, _layers, columns)
 
-    @F.pandas_udf(FEATURE_TERMS)
-    def choose(title: pd.Series, body: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([_feature_terms(t or "", b or "", f, usage) if len(f) else [] for t, b, f in zip(title, body, found, strict=True)])
+    def choose(title: str, body: str, found: list[tuple]) -> list[tuple]:
+        return _feature_terms(title, body, found, usage)
 
-    df = papers.withColumn("_found", found)
-    some = F.size("_found") > 0
-    # Texts without a candidate don't go to Python again.
-    return df.withColumn(out, choose(F.when(some, columns[0]), F.when(some, columns[1]), F.col("_found"))).drop("_found")
+    return papers.withColumn(out, _told(papers.sparkSession, aliases, _layers, columns, choose, FEATURE_TERM))
