@@ -27,6 +27,8 @@ HIDDEN, DROPOUT, BATCH, RATE, DECAY, EPOCHS, PATIENCE = 384, 0.25, 128, 1e-3, 1e
 #: Steps of an epoch, at most: with more rows a batch has more than BATCH rows.
 STEPS = 32
 LEAST_GAIN = 1e-4
+#: Tasks whose sums the driver adds up itself.
+FEW_TASKS = 16
 Weights = list[np.ndarray]
 
 
@@ -127,7 +129,9 @@ class Spread(Blocks):
     def total(self, f: Callable[[Block, Weights], list], w: Weights) -> list:
         sent = self.rdd.context.broadcast(w)
         try:
-            return self.rdd.map(lambda b: f(b, sent.value)).treeReduce(lambda a, b: _added([a, b]), 2)
+            # Sums of few tasks come together at once, those of many by one stage more.
+            depth = 1 if self.rdd.getNumPartitions() <= FEW_TASKS else 2
+            return self.rdd.map(lambda b: f(b, sent.value)).treeReduce(lambda a, b: _added([a, b]), depth)
         finally:
             sent.destroy()
 
