@@ -1,6 +1,10 @@
 """The stateful stream: restarts, late arrivals, equal marks, null marks."""
 
-from vellumflow.streaming.revisions import replay, store_of
+import random
+
+import pandas as pd
+
+from vellumflow.streaming.revisions import Revisions, replay, store_of
 
 SCHEMA = "id long, paper string, version string, size int, seen long"
 
@@ -27,3 +31,57 @@ def test_restarts_change_nothing(spark, tmp_path):
     assert run() == second
     assert sorted(map(tuple, store_of(told()).collect())) == [("a", 3, 1, 30), ("b", 8, 5, 6), ("c", 7, 7, 7)]
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
+def brute(batches):
+    """What replay tells of batches of (id, paper, version, size, seen)."""
+    states, told = {}, []
+    for rows in batches:
+        for i, paper, version, size, seen in sorted(rows, key=lambda r: (r[4] is None, r[4] or 0, r[0] is None, r[0] or 0)):
+            mark, old = (version, size), states.get(paper)
+            n, last, kept, first, latest = old or (0, None, None, None, None)
+            status = "inserted" if old is None else "unchanged" if last == mark else "updated"
+            times = [t for t in (first, latest, seen) if t is not None]
+            states[paper] = (n + 1, mark, kept if status == "unchanged" else i, min(times, default=None), max(times, default=None))
+            told.append((paper, n + 1, i, status, *states[paper][2:]))
+    return told
+
+
+def test_batches_against_brute_force(spark, tmp_path):
+    # Nulls in every column, longs that no float holds, and a batch whose rows lie in several files.
+    path, rng, big = str(tmp_path), random.Random(5), 2**53
+    batches, n = [], 0
+    for _ in range(3):
+        rows = []
+        for _ in range(300):
+            n += 1
+            paper = rng.choice([None, "", *(f"p{i}" for i in range(40))])
+            rows.append((None if paper is None and n % 50 == 0 else big + n, paper, rng.choice([None, "v1", "v2"]), rng.choice([None, 1]), rng.choice([None, *(big + i for i in range(200))])))
+        # Two rows without an id are never of the same paper and time.
+        rows = list({(r[1], r[4]) if r[0] is None else r[0]: r for r in rows}.values())
+        batches.append(rows)
+        spark.createDataFrame(rows, SCHEMA).repartition(5).write.mode("append").parquet(f"{path}/landing")
+        replay(spark, f"{path}/landing", SCHEMA, "paper", ["version", "size"], "seen", "id", f"{path}/out", f"{path}/checkpoint", None, 3).awaitTermination()
+    got = spark.read.schema("key string, place long, id long, status string, kept long, first_seen long, last_seen long").parquet(f"{path}/out")
+    text = lambda rows: sorted(map(repr, map(tuple, rows)))
+    assert text(got.collect()) == text(brute(batches))
+
+
+def test_papers_share_calls_of_the_state():
+    class Papers:
+        calls, rows = [], []
+
+        def get(self):
+            self.calls.append("get")
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.calls.append("put")
+            self.rows = rows
+
+    slot = Revisions()
+    slot.papers = Papers()
+    rows = pd.DataFrame({"key": [f"p{i % 500}" for i in range(2000)], "id": range(2000), "seen": range(2000), "mark": "m", "nulls": 0})
+    out = pd.concat(slot.handleInputRows((0,), iter([rows[:900], rows[900:]]), None))
+    assert Papers.calls == ["get", "put"] and len(slot.papers.rows) == 500
+    assert out["status"].value_counts().to_dict() == {"unchanged": 1500, "inserted": 500}

@@ -9,7 +9,7 @@ from vellumflow.plans.registry import query, table
 from vellumflow.sources.shared import run_folder
 from vellumflow.streaming.revisions import replay, store_of
 
-# Events land in four files by day; every tenth one comes late, with the next file.
+# Events land in four deliveries by day; every tenth one comes late, with the next delivery.
 FILES = 4
 _FILE = "least(((day(ts) - 1) // 8)::INTEGER, 3)"
 _ARRIVED = f"""
@@ -21,7 +21,7 @@ ARRIVAL = "event_id long, user_id long, event_type string, seen long"
 
 
 def _replayed(spark, sf_dir) -> DataFrame:
-    """The stream's rows, after a first run over two files, a second one over all, and a third one with nothing new."""
+    """The stream's rows, after a run over each delivery as it lands, and one with nothing new. A delivery has as many parts as its tasks."""
     events = table(spark, sf_dir, "events")
     file = F.least(F.floor((F.dayofmonth("ts") - 1) / 8).cast("int"), F.lit(FILES - 1))
     late = F.when(F.col("event_id") % 10 == 0, 1).otherwise(0)
@@ -30,13 +30,15 @@ def _replayed(spark, sf_dir) -> DataFrame:
     arrivals = events.withColumn("file", F.least(file + late, F.lit(FILES - 1))).select("event_id", "user_id", "event_type", seen.alias("seen"), "file")
     path = run_folder(spark, "replay")
 
+    # Each part of the state costs a Python worker a batch.
+    parts = 2 * spark.sparkContext.defaultParallelism
+
     def run() -> None:
-        replay(spark, f"{path}/landing", ARRIVAL, "user_id", ["event_type"], "seen", "event_id", f"{path}/out", f"{path}/checkpoint").awaitTermination()
+        replay(spark, f"{path}/landing", ARRIVAL, "user_id", ["event_type"], "seen", "event_id", f"{path}/out", f"{path}/checkpoint", None, parts).awaitTermination()
 
     for i in range(FILES):
-        arrivals.where(F.col("file") == i).drop("file").coalesce(1).write.mode("append").parquet(f"{path}/landing")
-        if i in (1, FILES - 1):
-            run()
+        arrivals.where(F.col("file") == i).drop("file").write.mode("append").parquet(f"{path}/landing")
+        run()
     run()
     return spark.read.schema("key long, place long, id long, status string, kept long, first_seen long, last_seen long").parquet(f"{path}/out")
 
