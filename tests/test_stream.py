@@ -1,9 +1,12 @@
 """The stateful stream: restarts, late arrivals, equal marks, null marks."""
 
+import json
 import random
+from pathlib import Path
 
 import pandas as pd
 
+from vellumflow.plans import streams
 from vellumflow.streaming.revisions import Revisions, replay, store_of
 
 SCHEMA = "id long, paper string, version string, size int, seen long"
@@ -85,3 +88,21 @@ def test_papers_share_calls_of_the_state():
     out = pd.concat(slot.handleInputRows((0,), iter([rows[:900], rows[900:]]), None))
     assert Papers.calls == ["get", "put"] and len(slot.papers.rows) == 500
     assert out["status"].value_counts().to_dict() == {"unchanged": 1500, "inserted": 500}
+
+
+def test_deliveries_have_a_part_for_each_task(spark, tmp_path, monkeypatch):
+    rows = [(i, f"2024-01-{1 + i % 30:02d} 00:00:0{i % 10}", i % 7, "abc"[i % 3]) for i in range(600)]
+    df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string").withColumn("ts", streams.F.col("ts").cast("timestamp_ntz"))
+    df.repartition(6).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(streams, "run_folder", lambda spark, name: f"{tmp_path}/{name}")
+    with_conf = {"spark.sql.files.maxPartitionBytes": "8k", "spark.sql.files.openCostInBytes": "8k"}
+    for k, v in with_conf.items():
+        spark.conf.set(k, v)
+    try:
+        assert streams.stream_status(spark, str(tmp_path)).count() == 600
+    finally:
+        for k in with_conf:
+            spark.conf.unset(k)
+    batches = [f for f in Path(f"{tmp_path}/replay/checkpoint/sources/0").iterdir() if f.name.isdigit()]
+    assert [len(f.read_text().splitlines()) - 1 for f in sorted(batches)] == [6] * 4
+    assert all(json.loads(line)["path"] for f in batches for line in f.read_text().splitlines()[1:])
