@@ -106,3 +106,42 @@ def test_deliveries_have_a_part_for_each_task(spark, tmp_path, monkeypatch):
     batches = [f for f in Path(f"{tmp_path}/replay/checkpoint/sources/0").iterdir() if f.name.isdigit()]
     assert [len(f.read_text().splitlines()) - 1 for f in sorted(batches)] == [6] * 4
     assert all(json.loads(line)["path"] for f in batches for line in f.read_text().splitlines()[1:])
+
+
+def test_states_of_a_slot_are_one_value():
+    class Value:
+        held, updates = None, 0
+
+        def get(self):
+            return self.held
+
+        def update(self, held):
+            self.held, self.updates = held, self.updates + 1
+
+    class Handle:
+        value = Value()
+
+        def getValueState(self, name, schema):
+            return self.value
+
+    slot, handle = Revisions(), Handle()
+    slot.init(handle)
+    rows = pd.DataFrame({"key": [None, *(f"p{i % 99}" for i in range(999))], "id": range(1000), "seen": range(1000), "mark": "m", "nulls": [3, *[0] * 999]})
+    one, two = (pd.concat(slot.handleInputRows((0,), iter([part]), None)) for part in (rows[:500], rows[500:]))
+    assert handle.value.updates == 2 and [len(column) for column in handle.value.held] == [100] * 6
+    assert one["status"].value_counts().to_dict() == {"unchanged": 400, "inserted": 100} and set(two["status"]) == {"unchanged"}
+    assert dict(zip(handle.value.held[0], zip(*handle.value.held[2:], strict=True), strict=True))[None] == (None, None, None, 1)
+
+
+def test_times_in_any_zone(spark):
+    times = ["1969-12-31 23:59:59.999999", "1970-01-01 00:00:00", "2024-03-31 02:30:01.000001", "2024-12-31 23:59:59.5", "1582-10-04 12:34:56.789012", None]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        df = spark.createDataFrame([(t,) for t in times], "ts string").select(streams.F.col("ts").cast("timestamp_ntz").alias("ts"))
+        got = [r[0] for r in df.select(streams._micros("ts")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    epoch = pd.Timestamp(0).to_pydatetime()
+    want = [None if t is None else (pd.Timestamp(t).to_pydatetime() - epoch) // pd.Timedelta(microseconds=1).to_pytimedelta() for t in times]
+    assert got == want

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumflow.plans.registry import query, table
@@ -20,18 +20,22 @@ _ARRIVED = f"""
 ARRIVAL = "event_id long, user_id long, event_type string, seen long"
 
 
+def _micros(time: str) -> Column:
+    """Microseconds since the epoch, whatever the session's zone."""
+    seconds = F.unix_date(F.col(time).cast("date")).cast("long") * 86_400 + F.hour(time) * 3_600 + F.minute(time) * 60
+    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), time) * 1_000_000).cast("long")
+
+
 def _replayed(spark, sf_dir) -> DataFrame:
     """The stream's rows, after a run over each delivery as it lands, and one with nothing new. A delivery has as many parts as its tasks."""
     events = table(spark, sf_dir, "events")
     file = F.least(F.floor((F.dayofmonth("ts") - 1) / 8).cast("int"), F.lit(FILES - 1))
     late = F.when(F.col("event_id") % 10 == 0, 1).otherwise(0)
-    # Microseconds since the epoch, whatever the session's zone.
-    seen = F.unix_micros(F.to_timestamp_ltz(F.concat(F.col("ts").cast("string"), F.lit("Z"))))
-    arrivals = events.withColumn("file", F.least(file + late, F.lit(FILES - 1))).select("event_id", "user_id", "event_type", seen.alias("seen"), "file")
+    arrivals = events.withColumn("file", F.least(file + late, F.lit(FILES - 1))).select("event_id", "user_id", "event_type", _micros("ts").alias("seen"), "file")
     path = run_folder(spark, "replay")
 
     # Each part of the state costs a Python worker a batch.
-    parts = 2 * spark.sparkContext.defaultParallelism
+    parts = spark.sparkContext.defaultParallelism
 
     def run() -> None:
         replay(spark, f"{path}/landing", ARRIVAL, "user_id", ["event_type"], "seen", "event_id", f"{path}/out", f"{path}/checkpoint", None, parts).awaitTermination()

@@ -2,7 +2,7 @@
 
 A micro-batch only reads and writes the slots of the papers that arrive in it, and the checkpoint holds states and offsets
 together, so that a restart goes on where the last batch ended and none counts twice. A slot's papers share a call of Python and
-their states a call of the state store, as calls for single papers cost more than all else.
+their states a value of the state store, as calls for single papers, and values converted one by one, cost more than all else.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ValueState
 
 #: Keyed state of any size is kept on disk, and changes to it in the checkpoint.
 STATE_STORE = {
@@ -26,11 +27,26 @@ SLOTS = 1024
 _LEAST, _MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
+class Papers:
+    """The states of a slot's papers, kept as one value of arrays."""
+
+    SCHEMA = "keys array<string>, marks array<string>, kept array<long>, first_seen array<long>, last_seen array<long>, arrivals array<long>"
+
+    def __init__(self, value: ValueState):
+        self.value = value
+
+    def get(self) -> Iterator[tuple]:
+        return zip(*(self.value.get() or ()), strict=True)
+
+    def put(self, rows: list[tuple]) -> None:
+        self.value.update(tuple(map(list, zip(*rows, strict=True))))
+
+
 class Revisions(StatefulProcessor):
     """What each arrival does to its paper. State of a paper: mark, the id of the arrival whose fields stay, first and last time seen, arrivals so far."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.papers = handle.getListState("papers", "key string, mark string, kept long, first_seen long, last_seen long, arrivals long")
+        self.papers = Papers(handle.getValueState("papers", Papers.SCHEMA))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         # A batch's arrivals of one slot's papers.
