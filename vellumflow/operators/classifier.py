@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -12,10 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumflow.functions.text import without_accents
-from vellumflow.operators import hashed
+from vellumflow.operators import hashed, scanned
 from vellumflow.operators.metrics import calibration_error, class_report, class_weights, confusion, ranked_labels, ratio, selective, summary, top_k_accuracy, worst_mistakes
 from vellumflow.operators.net import Net, fit, unpacked
-from vellumflow.operators.split import stratified, without_rare
+from vellumflow.operators.split import borders, stratified, within, without_rare
+from vellumflow.sources.shared import run_folder
 from vellumflow.sources.swap import Files, replace_directory
 
 WORD_SHARE = 0.75
@@ -24,12 +26,30 @@ FORMAT = 1
 ITERATIONS = (5, 10, 20, 40)
 LEAST_GAIN, PATIENCE = 1e-4, 2
 NET, LOGISTIC = "net", "logistic"
+#: Bytes of vectors and texts that a task holds before it writes them.
+ROW_GROUP = 16 << 20
+
+
+def _shaped(papers: DataFrame, label: str) -> DataFrame:
+    return papers.select("arxiv_id", "title", F.concat_ws("\n\n", "title", "abstract").alias("text"), F.col(label).alias("label"))
 
 
 def examples(papers: DataFrame, label: str = "primary_category", least: int = 5) -> DataFrame:
     """arxiv_id, title, text, label of papers in classes that are frequent enough."""
-    df = papers.select("arxiv_id", "title", F.concat_ws("\n\n", "title", "abstract").alias("text"), F.col(label).alias("label"))
-    return without_rare(df, "label", least)
+    return without_rare(_shaped(papers, label), "label", least)
+
+
+def _split(papers: DataFrame, label: str, least: int, validation: float, test: float, seed: int) -> tuple[DataFrame, list[str], int | None]:
+    """The examples with split, their labels, and the number of training rows if it is told. Keys and labels, which are read once, tell each row's part."""
+    keys = papers.select("arxiv_id", F.col(label).alias("label")).persist()
+    frequent = without_rare(keys, "label", least)
+    told = borders(frequent, "arxiv_id", "label", validation, test, seed)
+    # As many rows as there are labels.
+    labels = sorted(told[0]) if told else [r.label for r in frequent.select("label").distinct().orderBy("label").collect()]
+    keys.unpersist()
+    if told:
+        return within(_shaped(papers, label), "arxiv_id", "label", told[0], seed), labels, told[1]
+    return stratified(examples(papers, label, least), "arxiv_id", "label", validation, test, seed), labels, None
 
 
 def _blocks() -> dict[str, hashed.Terms]:
@@ -54,27 +74,22 @@ class Vocabulary:
     size: int
 
     @staticmethod
-    def fit(train: DataFrame, features: int) -> Vocabulary:
+    def fit(train: DataFrame, features: int, n: int | None = None) -> Vocabulary:
+        """n: the number of rows, if it is known."""
         sizes = {"w": int(features * WORD_SHARE), "c": features - int(features * WORD_SHARE)}
-        rows, n = [], train.count()
+        n = train.count() if n is None else n
         # Frequency bounds that suit the number of documents.
         least, most = 1 if n < 4 else 2, n if n < 3 else 0.995 * n
-        for name, terms in _blocks().items():
-            chosen = hashed.vocabulary(train, "text", terms, sizes[name], least, most).select("term", hashed.idf(n).alias("idf"))
-            rows += [(name, r.term, r.idf) for r in chosen.orderBy("term").collect()]
+        chosen = scanned.vocabulary(train, "text", _blocks(), sizes, n, least, most)
+        rows = [(name, term, math.log((1 + n) / (1 + df)) + 1) for name in _blocks() for term, df in chosen[name]]
         spark = train.sparkSession
         return Vocabulary(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "number int, block string, term string, idf double"), len(rows))
 
     def transform(self, docs: DataFrame) -> DataFrame:
         """docs with `features`: index and value of what isn't zero, by index. Each text's are made of it and the vocabulary."""
-        parts, first = [], 0
         rows = self.terms.orderBy("number").collect()
-        for name, terms in _blocks().items():
-            own = [(r.term, r.idf) for r in rows if r.block == name]
-            parts.append(hashed.weights(docs, "text", terms, own, first))
-            first += len(own)
-        entries = docs.withColumn("_e", F.concat(*parts))
-        return entries.withColumn("features", F.struct(F.col("_e.number").alias("index"), F.col("_e.weight").alias("value"))).drop("_e")
+        own = {name: [(r.term, r.idf) for r in rows if r.block == name] for name in _blocks()}
+        return docs.withColumn("features", scanned.features(docs, "text", own))
 
 
 @dataclass
@@ -139,14 +154,19 @@ def train_and_evaluate(papers: DataFrame, label: str = "primary_category", least
     """
     if model not in (NET, LOGISTIC):
         raise ValueError(f"no such model: {model}")
-    split = stratified(examples(papers, label, least), "arxiv_id", "label", validation, test, seed).persist()
-    # As many rows as there are labels.
-    labels = [r.label for r in split.select("label").distinct().orderBy("label").collect()]
+    split, labels, n = _split(papers, label, least, validation, test, seed)
     index = F.create_map(*(x for i, name in enumerate(labels) for x in (F.lit(name), F.lit(i))))
-    train = split.where("split = 'train'")
-    vocabulary = Vocabulary.fit(train, features)
-    # The vectors of all parts in one pass.
-    vectors = vocabulary.transform(split).withColumn("y", F.element_at(index, F.col("label"))).persist()
+    spark, path = papers.sparkSession, run_folder(papers.sparkSession, "vectors")
+    if n is None:
+        # Rows of one key are in no order of their own, so that they are dealt once.
+        split.write.parquet(f"{path}-split")
+        split = spark.read.schema(split.schema).parquet(f"{path}-split")
+    vocabulary = Vocabulary.fit(split.where("split = 'train'"), features, n)
+    # The vectors of all parts in one pass, beside the texts: what learns reads their columns only, and nothing is held in memory.
+    made = vocabulary.transform(split).withColumn("y", F.element_at(index, F.col("label")))
+    made.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    vectors = spark.read.schema(made.schema).parquet(path)
+    split, train = vectors.drop("features", "y"), vectors.where("split = 'train'")
     by_label = {r.label: r.weight for r in class_weights(train, "label").collect()}
     weights = [by_label[name] for name in labels]
     if model == NET:
@@ -155,7 +175,9 @@ def train_and_evaluate(papers: DataFrame, label: str = "primary_category", least
     else:
         best, fitted = _fit_logistic(vectors, vocabulary, labels, weights, iterations)
     part = lambda name: vectors.where(F.col("split") == name)
-    told = best.predict(part("test")).withColumn("correct", F.col("label") == F.col("predicted")).persist()
+    told = best.predict(part("test")).withColumn("correct", F.col("label") == F.col("predicted"))
+    told.write.option("parquet.block.size", ROW_GROUP).parquet(f"{path}-told")
+    told = spark.read.schema(told.schema).parquet(f"{path}-told")
     metrics = summary(told, "label", "predicted").head().asDict() | top_k_accuracy(told, "label", "ranked", min(3, len(labels))).head().asDict()
     metrics |= {k: fitted[k] for k in ("best_epoch", "untrained_validation_accuracy")}
     metrics |= calibration_error(told, "confidence", "correct").head().asDict()
