@@ -1,10 +1,11 @@
 """Words and letters of one read of each text, against the expressions and against a count of all terms."""
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from vellumflow.functions.text import without_accents
-from vellumflow.operators import classifier, hashed, scanned, split, terms
+from vellumflow.operators import classifier, hashed, net, scanned, split, terms
 
 ODD = ["Café NAÏVE\tcafé ẞß straße", "the a an x y", "", None, "ab́c d‍e ⓐⓑ Ⅷⅷ x_y 12 3", "𝒳𝒴 𐐀𐐨　世界 ﻿bom﻿ zero", "İI ΣΑΣ ος \x00nul\x1fsep\x85nel", "ab " * 5000 + "Ω"]
 
@@ -82,3 +83,12 @@ def test_training_holds_no_texts(spark):
     run = classifier.train_and_evaluate(papers, features=20, model=classifier.LOGISTIC, iterations=(2,))
     plan = run.split._jdf.queryExecution().executedPlan().toString()
     assert "InMemoryTableScan" not in plan and "Exchange" not in plan and run.metrics["accuracy"] == 1.0
+
+
+def test_blocks_are_small_and_made_of_arrow_lists(spark):
+    index, value = pa.array([[9], [1, 2], None, [], [3]], pa.list_(pa.int32())).slice(1), pa.array([[9.0], [1.0, 2.0], None, [], [3.0]]).slice(1)
+    got = net.Sparse.of_lists(index, value, 4)
+    assert got.dense(np.arange(4)).tolist() == net.Sparse(index.to_pylist(), value.to_pylist(), 4).dense(np.arange(4)).tolist() == [[0, 1, 2, 0], [0] * 4, [0] * 4, [0, 0, 0, 3]]
+    rows = spark.range(5000).coalesce(1).selectExpr("id", "struct(array(cast(id % 3 as int)) as index, array(double(id)) as value) as features", "0 as y")
+    told = net.spread(rows, "id", 3, 1).rdd.map(lambda b: (len(b.x), float(b.x.value.sum()))).collect()
+    assert sorted(n for n, _ in told) == [0, 904, 2048, 2048] and sum(x for _, x in told) == 5000 * 4999 / 2

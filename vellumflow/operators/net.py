@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.rdd import RDD
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +28,8 @@ HIDDEN, DROPOUT, BATCH, RATE, DECAY, EPOCHS, PATIENCE = 384, 0.25, 128, 1e-3, 1e
 #: Steps of an epoch, at most: with more rows a batch has more than BATCH rows.
 STEPS = 32
 LEAST_GAIN = 1e-4
+#: Rows of a block, at most.
+BLOCK = 2048
 #: Tasks whose sums the driver adds up itself.
 FEW_TASKS = 16
 Weights = list[np.ndarray]
@@ -41,6 +44,15 @@ class Sparse:
         join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *(np.asarray(x, kind) for x in parts if x is not None)])
         self.index, self.value, self.size = join(index, np.int64), join(value, np.float32), size
 
+    @classmethod
+    def of_lists(cls, index: pa.ListArray, value: pa.ListArray, size: int) -> Sparse:
+        """The same of Arrow's lists, without an object for each number."""
+        out = cls([], [], size)
+        out.counts = pc.fill_null(pc.list_value_length(index), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        out.first = np.concatenate([[0], np.cumsum(out.counts)])
+        out.index, out.value = index.flatten().to_numpy(zero_copy_only=False).astype(np.int32), value.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+        return out
+
     def __len__(self) -> int:
         return len(self.counts)
 
@@ -250,7 +262,7 @@ class Net:
 
 
 def _blocks(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
-    x = Sparse(batch["index"].to_pylist(), batch["value"].to_pylist(), size)
+    x = Sparse.of_lists(batch["index"], batch["value"], size)
     block = Block(x, np.asarray(batch["y"], np.int64), np.asarray(batch["h"]).view(np.uint64))
     yield pa.record_batch([pa.array([pickle.dumps(block)], pa.binary())], ["block"])
 
@@ -262,8 +274,8 @@ def spread(rows: DataFrame, key: str, size: int, seed: int) -> Spread:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield from _blocks(batch, size)
+            for a in range(0, batch.num_rows, BLOCK):
+                yield from _blocks(batch.slice(a, BLOCK), size)
 
     path = run_folder(spark, "blocks")
     plain.mapInArrow(run, "block binary").write.parquet(path)
